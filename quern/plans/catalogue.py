@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import corpus, search, serving
+
 FLAGSHIP = "bm25_topk"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES = corpus.QUERIES | search.QUERIES | serving.QUERIES
+ORACLES = corpus.ORACLES | search.ORACLES | serving.ORACLES

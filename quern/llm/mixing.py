@@ -24,13 +24,16 @@ _AGAIN = "\u0001again"
 class MixConfig:
     """``sample``: labelled rows to learn from, at most; ``buckets``: of hashed words; ``prior``:
     the weight, in words, of the corpus in a domain's word frequencies; ``deviation``: how many
-    standard deviations a bucket must stand out in a domain to count by itself; ``tolerance``:
-    of the largest difference from a target, as a share of all tokens."""
+    standard deviations a bucket must stand out in a domain to count by itself; ``ridge``: what moving a
+    rate costs; ``max_repeat``: how often a domain's tokens may repeat, on average;
+    ``tolerance``: of the largest slope, as a share of all tokens."""
 
     sample: int = 12_000
     buckets: int = 1 << 16
     prior: float = 200.0
     deviation: float = 5.0
+    ridge: float = 1e-4
+    max_repeat: float = 16.0
     rounds: int = 40
     tolerance: float = 1e-6
 
@@ -51,9 +54,24 @@ def _solve(a: list[list[float]]) -> list[list[float]]:
     return [row[n:] for row in m]
 
 
-def _stutter(words: Column) -> Column:
-    """A column of words, with one sign for every word that repeats the one before it."""
-    return F.transform(words, lambda w, i: F.when(w == F.get(words, i - 1), F.lit(_AGAIN)).otherwise(w))
+def _words(text: Column) -> Column:
+    """The words between white space; an empty text has one empty word."""
+    return F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n\f\u000b")), r"\s+")
+
+
+def _size(words: Column) -> Column:
+    return F.when(F.get(words, F.lit(0)) == "", 0).otherwise(F.size(words))
+
+
+def _with_next(words: Column) -> Column:
+    """Each word with the one after it, and at the end a null that stands for the document."""
+    return F.arrays_zip(F.concat(words, F.array(F.lit(None).cast("string"))).alias("w"), F.slice(words, F.lit(2), F.size(words)).alias("v"))
+
+
+def _bucket(pair: Column, buckets: int) -> Column:
+    """A word's bucket, one bucket for every word that the same word follows, and -1 for the document."""
+    word = F.when(pair["w"] == pair["v"], F.lit(_AGAIN)).otherwise(pair["w"])
+    return F.when(pair["w"].isNull(), -1).otherwise(F.pmod(F.xxhash64(word), F.lit(buckets))).cast("int")
 
 
 def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], config: MixConfig = MixConfig(), id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -65,7 +83,7 @@ def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str],
     count together.  A text without words, or null, has the prior of the labelled rows; without
     labelled rows, every domain is as likely.
     """
-    key, domain, row, kept_ = absent(docs, "key", "domain", "row", "keep")
+    key, domain, words = absent(docs, "key", "domain", "words")
     chosen = (
         labelled.where(F.col(id_col).isNotNull() & F.col("domain").isin(domains))
         .groupBy(F.col(id_col).alias(key))
@@ -73,18 +91,15 @@ def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str],
         .orderBy(F.xxhash64(key), key)
         .limit(config.sample)
     )
-    # an empty text splits into one empty word, which counts as none
-    tokens = lambda text: F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n\f\u000b")), r"\s+")
-    size = lambda w: F.when(F.get(w, F.lit(0)) == "", 0).otherwise(F.size(w))
-    bucket = lambda w: F.pmod(F.xxhash64(w), F.lit(config.buckets)).cast("int")
     # the sample has config.sample rows at most
     texts = docs.select(id_col, text_col).join(F.broadcast(written(chosen)), F.col(id_col) == F.col(key)).groupBy(key, domain).agg(F.min(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    texts = written(texts.select(domain, tokens(F.col("text")).alias("w")).select(domain, _stutter(F.col("w")).alias("w")))
-    by_domain = {r[0]: (r[1], r[2]) for r in texts.groupBy(domain).agg(F.count(F.lit(1)), F.sum(size("w"))).collect()}
+    texts = written(texts.select(domain, _words(F.col("text")).alias("w")))
+    by_domain = {r[0]: (r[1], r[2]) for r in texts.groupBy(domain).agg(F.count(F.lit(1)), F.sum(_size(F.col("w")))).collect()}
     docs_in = [by_domain.get(d, (0, 0))[0] for d in domains]
     words_in = [float(by_domain.get(d, (0, 0))[1]) for d in domains]
     everything = max(1.0, sum(words_in))
-    counted = texts.select(domain, F.explode("w").alias("word")).groupBy(bucket(F.col("word")).alias("bucket")).agg(
+    paired = texts.select(domain, F.explode(_with_next(F.col("w"))).alias("pair")).where("pair.w IS NOT NULL")
+    counted = paired.groupBy(_bucket(F.col("pair"), config.buckets).alias("bucket")).agg(
         *[F.sum((F.col(domain) == d).cast("double")).alias(f"n{i}") for i, d in enumerate(domains)]
     )
     share = sum((F.col(f"n{i}") for i in range(len(domains))), F.lit(0.0)) / everything
@@ -101,44 +116,41 @@ def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str],
     # one row per bucket at most, and -1, which stands for a document as such
     none = docs.sparkSession.range(1).select(F.lit(-1).alias("bucket"), *[F.lit(0.0).alias(f"w{i}") for i in range(len(domains))])
     weights = F.broadcast(weights.unionByName(none))
-    prior = [F.lit(float(n + 1) / (sum(docs_in) + len(domains))) for n in docs_in]
-    words = docs.select(F.monotonically_increasing_id().alias(row), F.col(id_col).alias(key), F.struct(F.lit(0).alias("_"), *keep).alias(kept_), tokens(F.col(text_col)).alias("w"))
-    each = words.select(
-        F.struct(F.col(row).alias("n"), F.col(key).alias("id"), F.col(kept_).alias("keep"), size("w").cast("long").alias("tokens")).alias("row"),
-        F.explode(F.concat(_stutter(F.col("w")), F.array(F.lit(None).cast("string")))).alias("word"),
-    ).select("row", F.when(F.col("word").isNull(), -1).otherwise(bucket(F.col("word"))).alias("bucket"))
-    summed = each.join(weights, "bucket").groupBy("row").agg(*[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(domains))])
-    logs = F.array(*[F.round(F.col(f"w{i}") + F.col("row.tokens") * F.log(rest[i]) + F.log(prior[i]), 6) for i in range(len(domains))])
+    prior = [F.lit((n + 0.01) / (sum(docs_in) + 0.01 * len(domains))) for n in docs_in]
+    # the key is one long, and so is what rides along: rows of words stay narrow
+    carried = {"id": F.col(id_col), "tokens": _size(F.col(words)).cast("long"), **{f"keep{i}": F.col(c) for i, c in enumerate(keep)}}
+    rows = docs.select("*", _words(F.col(text_col)).alias(words)).select(F.monotonically_increasing_id().alias("row"), *[c.alias(n) for n, c in carried.items()], F.col(words).alias("w"))
+    each = rows.select("row", *carried, F.explode(_with_next(F.col("w"))).alias("pair")).withColumn("bucket", _bucket(F.col("pair"), config.buckets))
+    summed = each.join(weights, "bucket").groupBy("row").agg(*[F.first(n).alias(n) for n in carried], *[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(domains))])
+    logs = F.array(*[F.round(F.col(f"w{i}") + F.col("tokens") * F.log(rest[i]) + F.log(prior[i]), 6) for i in range(len(domains))])
     odds = F.transform("logs", lambda x: F.exp(x - F.array_max("logs")))
     total = F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)
     return (
-        summed.select("row", logs.alias("logs"))
-        .select("row", odds.alias("odds"))
-        .select(F.col("row.id").alias(id_col), *[F.col(f"row.keep.{c}").alias(c) for c in keep], F.col("row.tokens").alias("tokens"), F.transform("odds", lambda x: F.round(x / total, 6)).alias("posterior"))
+        summed.select(*carried, logs.alias("logs"))
+        .select(*carried, odds.alias("odds"))
+        .select(F.col("id").alias(id_col), *[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)], "tokens", F.transform("odds", lambda x: F.round(x / total, 6)).alias("posterior"))
     )
 
 
-def _rate(gradients: list[list[float]]):
-    """The rate after the given steps: each moves it along the posterior, then back to 0 if it is below."""
-    if not gradients:
-        return F.lit(1.0)
-    steps = F.array(*[F.array(*[F.lit(x) for x in g]) for g in gradients])
-
-    def step(r, g):
-        return F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with("posterior", g, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x))
-
-    return F.aggregate(steps, F.lit(1.0), step)
+def _rate(shift: list[float]) -> Column:
+    """Rates that start at 1, moved against the posterior's share of ``shift`` and projected to 0 or more."""
+    moved = sum((F.element_at("posterior", i + 1) * F.lit(x) for i, x in enumerate(shift)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), 1.0 - moved)
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float = 1.0, anchor: str | None = None, config: MixConfig = MixConfig(), id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every row of ``docs``: id, the columns ``keep``, tokens, posterior and ``rate``, its expected number of copies.
+    """Every row of ``docs``: id, the columns ``keep`` (longs), tokens, posterior and ``rate``, its expected number of copies.
 
     ``targets`` gives each domain's share of ``budget`` times the tokens of ``docs``, or, with an
-    ``anchor``, of as many tokens as make its own share ``budget`` times what it has.  The
-    gradient steps are kept on the driver (one number a domain each); a rate is a fold over
-    them, so no round rewrites the documents.  Targets that no rates meet are met as nearly as
-    they can be.  Null and wordless texts have 0 tokens and the rate of their posterior; an
-    empty table gives no rows.
+    ``anchor``, of as many tokens as make its own share ``budget`` times what it has; a target
+    beyond ``max_repeat`` times a domain's own tokens is lowered to that.  The rates minimise
+
+        sum over domains of (expected - target)^2 / target + ridge x sum over documents of tokens x (rate - 1)^2
+
+    (both in shares of all tokens) over rates of 0 or more.  Each round moves every rate against
+    the gradient, in the metric of the domains' second moments, and projects it; the moves of all
+    rounds add up to one number a domain, so no round rewrites the documents.  Null and wordless
+    texts have 0 tokens and the rate of their posterior; an empty table gives no rows.
     """
     domains = sorted(targets)
     if not domains or any(v < 0 for v in targets.values()) or sum(targets.values()) <= 0:
@@ -148,24 +160,25 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
     p = [F.element_at("posterior", i + 1) for i in range(size)]
     stats = rows.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * p[i] * p[j]) for i in range(size) for j in range(size)]).first()
     total = float(stats[0] or 0)
-    steps: list[list[float]] = []
+    shift = [0.0] * size
     if total:
         whole = sum(targets.values())
         want = [targets[d] / whole * (budget if anchor is None else 1.0) for d in domains]
+        gram = [[stats[1 + i * size + j] / total for j in range(size)] for i in range(size)]
+        own = [sum(row) for row in gram]  # posteriors sum to 1
         if anchor is not None:
             i = domains.index(anchor)
-            own = sum(stats[1 + i * size + j] for j in range(size)) / total  # posteriors sum to 1
-            want = [x * own / want[i] * budget for x in want]
-        gram = [[stats[1 + i * size + j] / total + (1e-9 if i == j else 0) for j in range(size)] for i in range(size)]
-        inverse = _solve(gram)  # the metric in which every step has length 1
+            want = [x * own[i] / want[i] * budget for x in want]
+        want = [min(w, config.max_repeat * o) for w, o in zip(want, own, strict=True)]
+        ridge = [config.ridge * max(w, 1e-9) for w in want]
+        metric = _solve([[gram[i][j] + (ridge[i] if i == j else 0.0) for j in range(size)] for i in range(size)])
         for _ in range(config.rounds):
-            rate = _rate(steps)
-            have = rows.select("tokens", "posterior", rate.alias("rate")).agg(*[F.sum(F.col("tokens") * F.col("rate") * p[i]) for i in range(size)]).first()
-            off = [have[i] / total - want[i] for i in range(size)]
-            if max(map(abs, off)) < config.tolerance:
+            have = rows.select("tokens", "posterior", _rate(shift).alias("rate")).agg(*[F.sum(F.col("tokens") * F.col("rate") * p[i]) for i in range(size)]).first()
+            slope = [have[i] / total - want[i] - ridge[i] * shift[i] for i in range(size)]
+            if max(map(abs, slope)) < config.tolerance:
                 break
-            steps.append([round(sum(inverse[i][j] * off[j] for j in range(size)), 9) for i in range(size)])
-    return rows.select(id_col, *keep, "tokens", "posterior", F.round(_rate(steps), 6).alias("rate"))
+            shift = [round(shift[i] + sum(metric[i][j] * slope[j] for j in range(size)), 9) for i in range(size)]
+    return rows.select(id_col, *keep, "tokens", "posterior", F.round(_rate(shift), 6).alias("rate"))
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

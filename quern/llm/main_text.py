@@ -8,6 +8,7 @@ gives its own best container.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -37,8 +38,11 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ENDS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 _SCOPE = frozenset("table td th ul ol dl article section main div body html".split())
 
+# a tag's quoted values may hold angles; where quotes don't pair, the tag ends at the next one
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]{0,20000}+\"|'[^']{0,20000}+')*+)>|<(/?)([A-Za-z][^\s/<>]*+)([^<>]*+)>",
+    re.S,
 )
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
@@ -47,11 +51,18 @@ _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile("[0-9]+")
 
 
+def _join(path: str, step: str) -> str:
+    """A path with one more step; the beginning of a very deep one becomes a digest, so that it stays short."""
+    if len(path) > 500:
+        path = "#" + hashlib.md5(path.encode()).hexdigest()
+    return f"{path}/{step}"
+
+
 class Page:
     """A page's elements (parent, generalised path, whether dropped) and blocks of text."""
 
     def __init__(self, html: str):
-        self.parent, self.tag, self.path, self.drop = [-1], [""], [""], [False]
+        self.parent, self.tag, self.path, self.drop, self.inside = [-1], [""], [""], [False], [False]
         self.blocks: list[tuple[int, str, float]] = []  # (element, text, share of it in links)
         self._buffer: list[str] = []
         self._linked = 0
@@ -148,13 +159,14 @@ class Page:
             above = stack[-1]
             words = {w for x in names for w in _SPLIT.split(x.partition(":")[2])}
             own = tag not in ("html", "body", "main", "article") and bool(words & _NOISE)
-            inside = "/article" in self.path[above] or "/main" in self.path[above]
+            inside = self.inside[above] or tag in ("article", "main")
             drop = self.drop[above] or tag in _DROPPED or own or hidden or (tag == "header" and not inside)
             classes = sorted({_DIGITS.sub("#", c) for x in names if x.startswith("class:") for c in x[6:].split()})
             self.parent.append(above)
             self.tag.append(tag)
-            self.path.append(f"{self.path[above]}/{'.'.join([tag, *classes])}" if tag in _BLOCK else self.path[above])
+            self.path.append(_join(self.path[above], ".".join([tag, *classes])) if tag in _BLOCK else self.path[above])
             self.drop.append(drop)
+            self.inside.append(inside)
             stack.append(len(self.tag) - 1)
             links += tag == "a"
             if tag in _BLOCK:

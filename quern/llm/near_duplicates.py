@@ -21,6 +21,9 @@ from .linkage import SIGNED, link
 from .spark_io import absent, table, written
 from .words import Words, mixed, shingle_sets, text_slices
 
+#: Texts of a group that are checked together, in bytes; longer ones are checked part by part.
+PART_BYTES = 16 << 20
+
 
 @dataclass(frozen=True)
 class ForestConfig:
@@ -86,6 +89,8 @@ def _similar(config: ForestConfig):
     """The exact check of a group's texts: intersections counted over the shingles that more than one of them has."""
 
     def same(payloads: list[bytes]) -> np.ndarray:
+        if len(payloads) > 2 and sum(zstandard.frame_content_size(p) for p in payloads) > PART_BYTES:
+            return by_thirds(payloads)
         unzip = zstandard.ZstdDecompressor()
         texts = [unzip.decompress(p) for p in payloads]
         sets = []
@@ -116,6 +121,16 @@ def _similar(config: ForestConfig):
         union = size[:, None] + size[None, :] - common
         return common * config.den >= union * config.num
 
+    def by_thirds(payloads: list[bytes]) -> np.ndarray:
+        """The same matrix for texts that are too long together: any pair lies in two of three parts."""
+        n = len(payloads)
+        out = np.zeros((n, n), bool)
+        parts = np.array_split(np.arange(n), 3)
+        for left_out in range(3):
+            at = np.concatenate([p for i, p in enumerate(parts) if i != left_out])
+            out[np.ix_(at, at)] |= same([payloads[i] for i in at])
+        return out
+
     return same
 
 

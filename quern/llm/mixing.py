@@ -24,7 +24,8 @@ _AGAIN = "\u0001again"
 class MixConfig:
     """``sample``: labelled rows to learn from, at most; ``buckets``: of hashed words; ``prior``:
     the weight, in words, of the corpus in a domain's word frequencies; ``deviation``: how many
-    standard deviations a bucket must stand out in a domain to count by itself; ``ridge``: what moving a
+    standard deviations, and ``effect``: what share of its frequency, a bucket must stand out in a domain to
+    count by itself (very frequent words hardly do); ``ridge``: what moving a
     rate costs; ``max_repeat``: how often a domain's tokens may repeat, on average;
     ``tolerance``: of the largest slope, as a share of all tokens."""
 
@@ -32,6 +33,7 @@ class MixConfig:
     buckets: int = 1 << 16
     prior: float = 200.0
     deviation: float = 5.0
+    effect: float = 0.5
     ridge: float = 1e-4
     max_repeat: float = 16.0
     rounds: int = 40
@@ -55,8 +57,8 @@ def _solve(a: list[list[float]]) -> list[list[float]]:
 
 
 def _words(text: Column) -> Column:
-    """The words between white space; an empty text has one empty word."""
-    return F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n\f\u000b")), r"\s+")
+    """What stands between white space and the marks of sentences; an empty text has one empty word."""
+    return F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n\f\u000b.,;:!?")), r"[\s.,;:!?]+")
 
 
 def _size(words: Column) -> Column:
@@ -75,7 +77,7 @@ def _bucket(pair: Column, buckets: int) -> Column:
 
 
 def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], config: MixConfig = MixConfig(), id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns ``keep``, ``tokens`` (words between white space) and ``posterior`` (an array, in the order of ``domains``) of every row of ``docs``.
+    """id, the columns ``keep``, ``tokens`` (words) and ``posterior`` (an array, in the order of ``domains``) of every row of ``docs``.
 
     ``labelled`` has the id and ``domain``; ids and domains that are null or unknown are left out,
     and of an id's several domains the first in order counts.  The classifier is naive Bayes over
@@ -106,7 +108,8 @@ def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str],
     counted = counted.withColumn("share", share)
     stands_out = F.lit(False)
     for i, n in enumerate(words_in):
-        stands_out |= F.abs(F.col(f"n{i}") - n * F.col("share")) >= config.deviation * F.sqrt(n * F.col("share") + 1)
+        off, mean = F.abs(F.col(f"n{i}") - n * F.col("share")), n * F.col("share")
+        stands_out |= (off >= config.deviation * F.sqrt(mean + 1)) & (off >= config.effect * mean)
     kept = written(counted.where(stands_out))
     sums = kept.agg(F.coalesce(F.sum("share"), F.lit(0.0)), *[F.coalesce(F.sum(f"n{i}"), F.lit(0.0)) for i in range(len(domains))]).first()
     rest_share = max(1e-9, 1 - sums[0])
@@ -148,8 +151,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
         sum over domains of (expected - target)^2 / target + ridge x sum over documents of tokens x (rate - 1)^2
 
     (both in shares of all tokens) over rates of 0 or more.  Each round moves every rate against
-    the gradient, in the metric of the domains' second moments, and projects it; the moves of all
-    rounds add up to one number a domain, so no round rewrites the documents.  Null and wordless
+    the gradient, in the metric of the domains' second moments over documents whose rate isn't 0,
+    and projects it; the moves of all rounds add up to one number a domain, so no round rewrites the documents.  Null and wordless
     texts have 0 tokens and the rate of their posterior; an empty table gives no rows.
     """
     domains = sorted(targets)
@@ -171,12 +174,14 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
             want = [x * own[i] / want[i] * budget for x in want]
         want = [min(w, config.max_repeat * o) for w, o in zip(want, own, strict=True)]
         ridge = [config.ridge * max(w, 1e-9) for w in want]
-        metric = _solve([[gram[i][j] + (ridge[i] if i == j else 0.0) for j in range(size)] for i in range(size)])
+        moved = [F.sum(F.col("tokens") * F.col("rate") * p[i]) for i in range(size)]
+        second = [F.sum(F.when(F.col("rate") > 0, F.col("tokens") * p[i] * p[j]).otherwise(0.0)) for i in range(size) for j in range(size)]
         for _ in range(config.rounds):
-            have = rows.select("tokens", "posterior", _rate(shift).alias("rate")).agg(*[F.sum(F.col("tokens") * F.col("rate") * p[i]) for i in range(size)]).first()
-            slope = [have[i] / total - want[i] - ridge[i] * shift[i] for i in range(size)]
+            now = rows.select("tokens", "posterior", _rate(shift).alias("rate")).agg(*moved, *second).first()
+            slope = [now[i] / total - want[i] - ridge[i] * shift[i] for i in range(size)]
             if max(map(abs, slope)) < config.tolerance:
                 break
+            metric = _solve([[now[size + i * size + j] / total + (ridge[i] if i == j else 0.0) for j in range(size)] for i in range(size)])
             shift = [round(shift[i] + sum(metric[i][j] * slope[j] for j in range(size)), 9) for i in range(size)]
     return rows.select(id_col, *keep, "tokens", "posterior", F.round(_rate(shift), 6).alias("rate"))
 

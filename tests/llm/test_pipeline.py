@@ -54,12 +54,12 @@ def test_stages_on_odd_rows(spark, tmp_path):
     rng = random.Random(2)
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     text = " ".join(f"w{rng.randrange(99)}" for _ in range(40))
-    rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (2, text + " x", "en", "a", 1), (3, None, None, None, None), (4, "", "en", "a", 0), (None, "some other text that stands alone here", None, "b", 2)]
+    rows = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (2, text + " x", "en", "a", 1), (3, None, None, None, None), (4, "", "en", "a", 0), (None, "some other text that stands alone here", None, "b", 2), (1, "another text by the same id, unlike all others", "en", "a", 3)]
     for i, (name, table) in enumerate({"labels": ([(1, 1, 0)], "doc_id long, quality int, toxic int"), "benchmark": ([(1, "nothing of the kind")], "item_id long, text string")}.items()):
         spark.createDataFrame(*table).write.parquet(f"{tmp_path}/{name}.parquet")
     docs = spark.createDataFrame(rows, schema)
     deduped = cp.near_duplicate_filter(spark, docs, str(tmp_path)).collect()
-    assert sorted(str(r["doc_id"]) for r in deduped) == ["1", "3", "4", "None"]
+    assert sorted(str(r["doc_id"]) for r in deduped) == ["1", "1", "3", "4", "None"]
     for name, stage in cp.STAGES:
         out = stage(spark, docs, str(tmp_path))
         assert out.count() >= 4 and stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name

@@ -26,32 +26,31 @@ def word_windows(text: Column, words: Column, size: int = SETTINGS.window_words,
 
 
 def windows_of(text: Column, size: int = SETTINGS.window_words, overlap: float = SETTINGS.overlap_ratio) -> Column:
-    return word_windows(text, T.tokens(text), size, overlap)
+    # the transform of one element binds the words, so that they are split once
+    return F.get(F.transform(F.array(T.tokens(text)), lambda words: word_windows(text, words, size, overlap)), F.lit(0))
 
 
 def pack_paragraphs(paragraphs: Column, target: int = SETTINGS.paragraph_target, joint: str = "\n\n") -> Column:
     """ARRAY<STRING>: paragraphs packed greedily up to ``target`` words; a full pack's last paragraph,
     if it is at most half of that, also begins the next one, which isn't measured again."""
-    start = F.expr("named_struct('out', cast(array() as array<array<string>>), 'held', cast(array() as array<string>), 'n', 0)")
+    start = F.expr("named_struct('out', cast(array() as array<array<string>>), 'held', cast(array() as array<string>), 'n', 0, 'last', 0)")
 
     def add(s: Column, p: Column) -> Column:
-        n = T.word_count(p)
-        last = F.element_at(s["held"], -1)
-        carries = T.word_count(last) <= target // 2
-        full = (s["n"] + n > target) & (F.size(s["held"]) > 0)
-        return F.when(
-            full,
-            F.struct(
-                F.concat(s["out"], F.array(s["held"])).alias("out"),
-                F.when(carries, F.array(last, p)).otherwise(F.array(p)).alias("held"),
-                (F.when(carries, T.word_count(last)).otherwise(0) + n).alias("n"),
-            ),
-        ).otherwise(F.struct(s["out"].alias("out"), F.concat(s["held"], F.array(p)).alias("held"), (s["n"] + n).alias("n")))
+        carries = s["last"] <= target // 2
+        full = (s["n"] + p["n"] > target) & (F.size(s["held"]) > 0)
+        kept = F.when(~full, s["held"]).when(carries, F.slice(s["held"], -1, 1)).otherwise(F.array().cast("array<string>"))
+        return F.struct(
+            F.when(full, F.concat(s["out"], F.array(s["held"]))).otherwise(s["out"]).alias("out"),
+            F.concat(kept, F.array(p["t"])).alias("held"),
+            (F.when(~full, s["n"]).when(carries, s["last"]).otherwise(0) + p["n"]).alias("n"),
+            p["n"].alias("last"),
+        )
 
     def finish(s: Column) -> Column:
         return F.transform(F.when(F.size(s["held"]) > 0, F.concat(s["out"], F.array(s["held"]))).otherwise(s["out"]), lambda x: F.array_join(x, joint))
 
-    return F.aggregate(paragraphs, start, add, finish)
+    sized = F.transform(paragraphs, lambda p: F.struct(p.alias("t"), T.word_count(p).alias("n")))
+    return F.aggregate(sized, start, add, finish)
 
 
 def paragraph_chunks(text: Column, separator: str = "\n\n", target: int = SETTINGS.paragraph_target) -> Column:

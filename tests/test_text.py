@@ -89,3 +89,18 @@ def test_cleaning_is_the_python_rules(spark, texts):
         assert r["c"] == re.sub(P.CONTROL, "", t)
         assert r["k"] == re.sub(r"\s+", " ", t).strip().lower()
         assert r["n"] == injections.sub(P.CORPUS_MARK, t)
+
+
+def test_messages_end_with_the_question_and_its_language(spark):
+    from quern.operators.answering import context_block, messages
+
+    df = spark.createDataFrame([("sys", [("user", "before")], "<context>", "how much", "en", "x" * 10 + "<" + "y" * 3000)], "s string, h array<struct<role: string, content: string>>, c string, q string, l string, t string")
+    got = df.select(messages(F.col("s"), F.col("h"), F.col("c"), F.col("q"), F.col("l")).alias("m")).first()["m"]
+    assert [m["role"] for m in got] == ["system", "user", "user"] and got[-1]["content"] == "<context>\n\nhow much\n\n[LANGUAGE: answer in English]"
+    block = df.select(context_block(F.lit(0), F.lit("T"), F.lit("A 1"), F.col("t")).alias("b")).first()["b"]
+    head, tail = '<doc id="1" source="T | A 1">\n', "\n</doc>"
+    assert block.startswith(head) and len(block) == len(head) + 2203 + len(tail) and "&lt;" in block
+
+
+def test_widget_input_is_trimmed_and_cut(spark):
+    assert one(spark, lambda c: T.widget_input(c, 3), " \n abcd ") == "abc"

@@ -83,7 +83,7 @@ def test_pdf_files(spark, tmp_path):
 
     got = {r["source"]: (r["text"], r["error"]) for r in documents.extract_pdfs(files, extractor).collect()}
     assert got == {"a/b/x.pdf": ("one\n\ntwo", None), "a/y.pdf": (None, "not a PDF")}
-    assert documents.extract_pdfs(files, extractor, max_bytes=1).where("error = 'too large'").count() == 1
+    assert documents.extract_pdfs(files, extractor, max_bytes=10).where("error = 'too large'").count() == 1
 
 
 def test_source_list(spark):

@@ -26,8 +26,8 @@ class MixConfig:
     the weight, in words, of the corpus in a domain's word frequencies; ``deviation``: how many
     standard deviations, and ``effect``: what share of its frequency, a bucket must stand out in a domain to
     count by itself (very frequent words hardly do); ``ridge``: what moving a
-    rate costs; ``max_repeat``: how often a domain's tokens may repeat, on average;
-    ``tolerance``: of the largest slope, as a share of all tokens."""
+    rate costs; ``max_repeat``: how often a domain's tokens may repeat, on average; ``least``: the least
+    rate of a document that is as likely in the anchor's domain as in any other; ``tolerance``: of the largest slope, as a share of all tokens."""
 
     sample: int = 12_000
     buckets: int = 1 << 16
@@ -36,6 +36,7 @@ class MixConfig:
     effect: float = 0.5
     ridge: float = 1e-4
     max_repeat: float = 16.0
+    least: float = 0.0
     rounds: int = 40
     tolerance: float = 1e-6
 
@@ -135,10 +136,9 @@ def domain_posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str],
     )
 
 
-def _rate(shift: list[float]) -> Column:
-    """Rates that start at 1, moved against the posterior's share of ``shift`` and projected to 0 or more."""
-    moved = sum((F.element_at("posterior", i + 1) * F.lit(x) for i, x in enumerate(shift)), F.lit(0.0))
-    return F.greatest(F.lit(0.0), 1.0 - moved)
+def _moved(shift: list[float]) -> Column:
+    """Rates that start at 1, moved against the posterior's share of ``shift``."""
+    return 1.0 - sum((F.element_at("posterior", i + 1) * F.lit(x) for i, x in enumerate(shift)), F.lit(0.0))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float = 1.0, anchor: str | None = None, config: MixConfig = MixConfig(), id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -150,9 +150,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
 
         sum over domains of (expected - target)^2 / target + ridge x sum over documents of tokens x (rate - 1)^2
 
-    (both in shares of all tokens) over rates of 0 or more.  Each round moves every rate against
-    the gradient, in the metric of the domains' second moments over documents whose rate isn't 0,
-    and projects it; the moves of all rounds add up to one number a domain, so no round rewrites the documents.  Null and wordless
+    (both in shares of all tokens) over rates of 0 or more, and of ``least`` or more for documents that
+    are likeliest in the anchor's domain.  Each round moves every rate against
+    the gradient, in the metric of the domains' second moments over documents whose rate isn't held
+    at its bound, and projects it; the moves of all rounds add up to one number a domain, so no round rewrites the documents.  Null and wordless
     texts have 0 tokens and the rate of their posterior; an empty table gives no rows.
     """
     domains = sorted(targets)
@@ -164,6 +165,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
     stats = rows.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * p[i] * p[j]) for i in range(size) for j in range(size)]).first()
     total = float(stats[0] or 0)
     shift = [0.0] * size
+    floor = F.lit(0.0)
+    if anchor is not None and config.least:
+        floor = F.when(p[domains.index(anchor)] >= F.array_max("posterior"), config.least).otherwise(0.0)
     if total:
         whole = sum(targets.values())
         want = [targets[d] / whole * (budget if anchor is None else 1.0) for d in domains]
@@ -175,15 +179,16 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
         want = [min(w, config.max_repeat * o) for w, o in zip(want, own, strict=True)]
         ridge = [config.ridge * max(w, 1e-9) for w in want]
         moved = [F.sum(F.col("tokens") * F.col("rate") * p[i]) for i in range(size)]
-        second = [F.sum(F.when(F.col("rate") > 0, F.col("tokens") * p[i] * p[j]).otherwise(0.0)) for i in range(size) for j in range(size)]
+        second = [F.sum(F.when(F.col("free"), F.col("tokens") * p[i] * p[j]).otherwise(0.0)) for i in range(size) for j in range(size)]
         for _ in range(config.rounds):
-            now = rows.select("tokens", "posterior", _rate(shift).alias("rate")).agg(*moved, *second).first()
+            free = (_moved(shift) > 0) & (_moved(shift) >= floor)
+            now = rows.select("tokens", "posterior", F.greatest(floor, _moved(shift)).alias("rate"), free.alias("free")).agg(*moved, *second).first()
             slope = [now[i] / total - want[i] - ridge[i] * shift[i] for i in range(size)]
             if max(map(abs, slope)) < config.tolerance:
                 break
             metric = _solve([[now[size + i * size + j] / total + (ridge[i] if i == j else 0.0) for j in range(size)] for i in range(size)])
             shift = [round(shift[i] + sum(metric[i][j] * slope[j] for j in range(size)), 9) for i in range(size)]
-    return rows.select(id_col, *keep, "tokens", "posterior", F.round(_rate(shift), 6).alias("rate"))
+    return rows.select(id_col, *keep, "tokens", "posterior", F.round(F.greatest(floor, _moved(shift)), 6).alias("rate"))
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

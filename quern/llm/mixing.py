@@ -27,7 +27,8 @@ class MixConfig:
     standard deviations, and ``effect``: what share of its frequency, a bucket must stand out in a domain to
     count by itself (very frequent words hardly do); ``ridge``: what moving a
     rate costs; ``max_repeat``: how often a domain's tokens may repeat, on average; ``least``: the least
-    rate of a document that is as likely in the anchor's domain as in any other; ``tolerance``: of the largest slope, as a share of all tokens."""
+    rate of a document that is as likely in the anchor's domain as in any other; ``removed``: domains whose
+    documents, likelier in one of them than in any other domain, go whatever the targets; ``tolerance``: of the largest slope, as a share of all tokens."""
 
     sample: int = 12_000
     buckets: int = 1 << 16
@@ -37,6 +38,7 @@ class MixConfig:
     ridge: float = 1e-4
     max_repeat: float = 16.0
     least: float = 0.0
+    removed: tuple[str, ...] = ()
     rounds: int = 40
     tolerance: float = 1e-6
 
@@ -146,7 +148,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
 
     ``targets`` gives each domain's share of ``budget`` times the tokens of ``docs``, or, with an
     ``anchor``, of as many tokens as make its own share ``budget`` times what it has; a target
-    beyond ``max_repeat`` times a domain's own tokens is lowered to that.  The rates minimise
+    beyond ``max_repeat`` times a domain's own tokens is lowered to that.  Documents of ``removed`` domains have
+    rate 0 and count for no target; what the others hold of such a domain, times ``budget``, adds to its
+    target, so that it weighs on none of them.  The rates minimise
 
         sum over domains of (expected - target)^2 / target + ridge x sum over documents of tokens x (rate - 1)^2
 
@@ -162,10 +166,20 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
     rows = written(domain_posteriors(docs, labelled, domains, config, id_col, text_col, keep))
     size = len(domains)
     p = [F.element_at("posterior", i + 1) for i in range(size)]
-    stats = rows.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * p[i] * p[j]) for i in range(size) for j in range(size)]).first()
+    gone = F.lit(False)
+    if removed := [i for i, d in enumerate(domains) if d in config.removed]:
+        others = [p[i] for i in range(size) if i not in removed]
+        gone = F.array_max(F.array(*[p[i] for i in removed])) > F.array_max(F.array(*others, F.lit(0.0)))
+    weight = F.when(gone, 0).otherwise(F.col("tokens")) if removed else F.col("tokens")
+    stats = rows.agg(F.sum("tokens"), *[F.sum(weight * p[i] * p[j]) for i in range(size) for j in range(size)]).first()
     total = float(stats[0] or 0)
     shift = [0.0] * size
     floor = F.lit(0.0)
+
+    def rate() -> Column:
+        projected = F.greatest(floor, _moved(shift))
+        return F.when(gone, 0.0).otherwise(projected) if removed else projected
+
     if anchor is not None and config.least:
         floor = F.when(p[domains.index(anchor)] >= F.array_max("posterior"), config.least).otherwise(0.0)
     if total:
@@ -176,19 +190,20 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
         if anchor is not None:
             i = domains.index(anchor)
             want = [x * own[i] / want[i] * budget for x in want]
+        want = [w + budget * o if i in removed else w for i, (w, o) in enumerate(zip(want, own, strict=True))]
         want = [min(w, config.max_repeat * o) for w, o in zip(want, own, strict=True)]
         ridge = [config.ridge * max(w, 1e-9) for w in want]
         moved = [F.sum(F.col("tokens") * F.col("rate") * p[i]) for i in range(size)]
         second = [F.sum(F.when(F.col("free"), F.col("tokens") * p[i] * p[j]).otherwise(0.0)) for i in range(size) for j in range(size)]
         for _ in range(config.rounds):
-            free = (_moved(shift) > 0) & (_moved(shift) >= floor)
-            now = rows.select("tokens", "posterior", F.greatest(floor, _moved(shift)).alias("rate"), free.alias("free")).agg(*moved, *second).first()
+            free = ~gone & (_moved(shift) > 0) & (_moved(shift) >= floor)
+            now = rows.select("tokens", "posterior", rate().alias("rate"), free.alias("free")).agg(*moved, *second).first()
             slope = [now[i] / total - want[i] - ridge[i] * shift[i] for i in range(size)]
             if max(map(abs, slope)) < config.tolerance:
                 break
             metric = _solve([[now[size + i * size + j] / total + (ridge[i] if i == j else 0.0) for j in range(size)] for i in range(size)])
             shift = [round(shift[i] + sum(metric[i][j] * slope[j] for j in range(size)), 9) for i in range(size)]
-    return rows.select(id_col, *keep, "tokens", "posterior", F.round(F.greatest(floor, _moved(shift)), 6).alias("rate"))
+    return rows.select(id_col, *keep, "tokens", "posterior", F.round(rate(), 6).alias("rate"))
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def test_stages_on_odd_rows(spark, tmp_path):
 def mix_corpus(spark, folder, toxic, short=120, n=2000):
     """Documents of 40 words, ``toxic`` of them toxic, then ``short`` clean ones of 0 to 6 words; every third row is labelled, and 60 toxic ones."""
     rng = random.Random(5)
-    word = lambda kind: f"{kind}{rng.randrange(40)}" if rng.random() < 0.3 else f"c{rng.randrange(60)}"
+    word = lambda kind: f"{kind}{rng.randrange(4 if kind == 't' else 40)}" if rng.random() < 0.3 else f"c{rng.randrange(60)}"
     kinds = ["t" if i < toxic else "g" for i in range(n)]
     texts = [" ".join(word(k) for _ in range(40)) for k in kinds] + [" ".join(f"c{rng.randrange(60)}" for _ in range(i % 7)) for i in range(short)]
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
@@ -81,3 +81,9 @@ def test_mix_keeps_short_clean_documents(spark, tmp_path):
     docs = mix_corpus(spark, tmp_path, toxic=260)
     kept = {r["doc_id"] for r in cp.mix_to_targets(spark, docs, str(tmp_path)).collect()}
     assert kept >= set(range(2000, 2120)) and kept >= set(range(260, 2000))
+
+
+def test_mix_removes_rare_toxic_documents(spark, tmp_path):
+    docs = mix_corpus(spark, tmp_path, toxic=4, n=4000)  # 0.1 % of the tokens
+    kept = [r["doc_id"] for r in cp.mix_to_targets(spark, docs, str(tmp_path)).collect()]
+    assert set(kept) == set(range(4, 4120)) and len(kept) < 1.06 * 4116

@@ -31,8 +31,16 @@ _DROPPED = frozenset(
 )
 _NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices "
-    "pagination pager popup promo promoted promotion related reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
+    "pagination pager popup promo promoted promotion related reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar".split()
 )
+_THREAD = frozenset("comment comments disqus related reply respond".split())
+#: In a class as has-sidebar or page-with-menu, what follows is about the layout.
+_LAYOUT = frozenset("has no with without".split())
+#: The share of a page's text that isn't links from which elements with a word of _NOISE are no noise, the same for
+#: those with a word of _THREAD (there may be more comments than article), and the characters that it takes besides:
+#: a stub of an article may be shorter than what stands beside it.
+_MINOR, _MINOR_THREAD, _LEAST = 0.5, 0.9, 250
+_ROUNDS = 8
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 # an open element of the first kind ends where one of the second begins
 _ENDS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
@@ -51,6 +59,18 @@ _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile("[0-9]+")
 
 
+def _noise_words(values: list[str]) -> set[str]:
+    """The words of _NOISE in classes, ids and roles, but for those that a word of _LAYOUT in the same name precedes."""
+    found = set()
+    for name in " ".join(values).split():
+        for w in _SPLIT.split(name):
+            if w in _LAYOUT:
+                break
+            if w in _NOISE:
+                found.add(w)
+    return found
+
+
 def _join(path: str, step: str) -> str:
     """A path with one more step; the beginning of a very deep one becomes a digest, so that it stays short."""
     if len(path) > 500:
@@ -59,22 +79,63 @@ def _join(path: str, step: str) -> str:
 
 
 class Page:
-    """A page's elements (parent, generalised path, whether dropped) and blocks of text."""
+    """A page's elements (parent, generalised path, whether dropped) and blocks of text.
+
+    Elements that are noise by a class, id or role alone are judged when all is read: by the share
+    of the page's text in all elements of one path.
+    """
 
     def __init__(self, html: str):
         self.parent, self.tag, self.path, self.drop, self.inside = [-1], [""], [""], [False], [False]
         self.blocks: list[tuple[int, str, float]] = []  # (element, text, share of it in links)
-        self._buffer: list[str] = []
-        self._linked = 0
+        self.limit = [0.0]  # of an element that is noise by its names; 0 of others
+        self.noise = [0]  # the nearest such element, from the element itself upwards
+        self._under: list[int] = []  # for each block, the nearest such element around its text
+        self._buffer: dict[int, list[str]] = {}
+        self._linked: dict[int, int] = {}
         self._owner = 0
         self._parse(html)
+        self._judge()
 
     def _flush(self) -> None:
         if self._buffer:
-            text = _SPACE.sub(" ", "".join(self._buffer)).strip()
-            if text:
-                self.blocks.append((self._owner, text, min(1.0, self._linked / len(text))))
-            self._buffer, self._linked = [], 0
+            for under, parts in self._buffer.items():
+                text = _SPACE.sub(" ", "".join(parts)).strip()
+                if text:
+                    self.blocks.append((self._owner, text, min(1.0, self._linked.get(under, 0) / len(text))))
+                    self._under.append(under)
+            self._buffer, self._linked = {}, {}
+
+    def _judge(self) -> None:
+        """Drops the blocks within elements that are noise by their names and hold a minor share of the text, unless none would be left."""
+        if not any(self._under):
+            return
+        held: dict[int, float] = {}
+        for (_, text, linked), under in zip(self.blocks, self._under, strict=True):
+            held[under] = held.get(under, 0.0) + len(text) * (1 - linked)
+        whole, own = sum(held.values()), dict(held)
+        named = [e for e, limit in enumerate(self.limit) if limit]
+        for e in reversed(named):
+            held[self._above(e)] = held.get(self._above(e), 0.0) + held.get(e, 0.0)
+        key = {e: (self.path[e], self.tag[e], self.limit[e]) for e in (0, *named)}
+        shares: dict[tuple[str, str, float], float] = {}
+        for e in named:
+            if key[e] != key[self._above(e)]:
+                shares[key[e]] = shares.get(key[e], 0.0) + held.get(e, 0.0)
+        layout = {k for k, share in shares.items() if share > k[2] * whole and share >= _LEAST}
+        # where nothing is left, the largest are layout, threads last
+        more = sorted((k for k in shares if k not in layout and shares[k] > 0), key=lambda k: (k[2], -shares[k], len(k[0]), k))
+        for n in range(_ROUNDS + 1):
+            out = {0: False}
+            for e in named:
+                out[e] = out[self._above(e)] or key[e] not in layout
+            if not whole or any(x > 0 and not out[e] for e, x in own.items()):
+                break
+            layout.update(more[n : n + 1] if n < _ROUNDS - 1 else more)
+        self.blocks = [b for b, under in zip(self.blocks, self._under, strict=True) if not out[under]]
+
+    def _above(self, e: int) -> int:
+        return self.noise[self.parent[e]]
 
     def _parse(self, html: str) -> None:
         stack = [0]
@@ -85,9 +146,10 @@ class Page:
             if s and not self.drop[stack[-1]]:
                 if "&" in s:
                     s = unescape(s)
-                self._buffer.append(s)
+                under = self.noise[stack[-1]]
+                self._buffer.setdefault(under, []).append(s)
                 if links:
-                    self._linked += len(s)
+                    self._linked[under] = self._linked.get(under, 0) + len(s)
 
         def pop_to(depth: int) -> None:
             nonlocal links
@@ -157,16 +219,17 @@ class Page:
                     else:
                         names.append(f"{name}:{value}")
             above = stack[-1]
-            words = {w for x in names for w in _SPLIT.split(x.partition(":")[2])}
-            own = tag not in ("html", "body", "main", "article") and bool(words & _NOISE)
+            words = _noise_words([x.partition(":")[2] for x in names]) if tag not in ("html", "body", "main", "article") else ()
             inside = self.inside[above] or tag in ("article", "main")
-            drop = self.drop[above] or tag in _DROPPED or own or hidden or (tag == "header" and not inside)
+            drop = self.drop[above] or tag in _DROPPED or hidden or (tag == "header" and not inside)
             classes = sorted({_DIGITS.sub("#", c) for x in names if x.startswith("class:") for c in x[6:].split()})
             self.parent.append(above)
             self.tag.append(tag)
             self.path.append(_join(self.path[above], ".".join([tag, *classes])) if tag in _BLOCK else self.path[above])
             self.drop.append(drop)
             self.inside.append(inside)
+            self.limit.append((_MINOR_THREAD if _THREAD.intersection(words) else _MINOR) if words else 0.0)
+            self.noise.append(len(self.noise) if words else self.noise[above])
             stack.append(len(self.tag) - 1)
             links += tag == "a"
             if tag in _BLOCK:

@@ -2,7 +2,7 @@
 
 Each page's containers are scored by the text of their paragraphs that isn't links; every page
 votes, in shares, for the generalised tag-class paths of its containers; each host's winning
-path is then extracted from all its pages.  A page without that path, or without text in it,
+path is then extracted from all its pages, from all containers on it.  A page without that path, or without text in it,
 gives its own best container.
 """
 
@@ -41,6 +41,8 @@ _LAYOUT = frozenset("has no with without".split())
 #: a stub of an article may be shorter than what stands beside it.
 _MINOR, _MINOR_THREAD, _LEAST = 0.5, 0.9, 250
 _ROUNDS = 8
+_ITEM = frozenset("li dt dd ul ol dl dir".split())
+_CELL = frozenset("td th tr table tbody thead tfoot".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 # an open element of the first kind ends where one of the second begins
 _ENDS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
@@ -240,7 +242,10 @@ class Page:
         self._flush()
 
     def scores(self) -> dict[int, float]:
-        """Containers by the text in them that isn't links: whole for a paragraph's parent, half for the parent's parent."""
+        """Containers by the text in them that isn't links: whole for a paragraph's parent, half for the parent's parent.
+
+        A list, or a table whose cells hold text without paragraphs, is a part of what it stands in.
+        """
         out: dict[int, float] = {}
         for e, text, linked in self.blocks:
             while e and self.tag[e] not in _BLOCK:
@@ -248,7 +253,10 @@ class Page:
             own = len(text) * (1 - linked)
             if own <= 0:
                 continue
-            e = self.parent[e] if self.tag[e] in _PARAGRAPH else e
+            parts = _ITEM | _CELL if self.tag[e] in _CELL else _ITEM
+            e = self.parent[e] if self.tag[e] in _PARAGRAPH and self.parent[e] else e
+            while self.tag[e] in parts and self.parent[e]:
+                e = self.parent[e]
             share = 1.0
             while e > 0 and share > 0.2:
                 if self.tag[e] in _BLOCK and self.tag[e] not in _PARAGRAPH:
@@ -257,19 +265,67 @@ class Page:
                 e = self.parent[e]
         return out
 
-    def best(self, path: str | None) -> int:
-        """The best container on a path; 0, the whole page, if there is none."""
-        scores = self.scores()
-        on = [e for e in scores if path is None or self.path[e] == path]
-        return max(on, key=lambda e: (scores[e], -e)) if on else 0
+    def best(self, path: str | None) -> list[int]:
+        """The containers on a path, or on that of the best container; the whole page, if there are none.
 
-    def text(self, container: int) -> str:
-        """The blocks within a container, in page order."""
-        inside = [False] * len(self.parent)
-        inside[container] = True
-        for e in range(container + 1, len(self.parent)):
-            inside[e] = inside[self.parent[e]]
-        return "\n".join(t for e, t, _ in self.blocks if inside[e])
+        Elements of one path have one depth, so none holds another.  Of several, those that are mostly
+        links are left out, and where text stands by itself between the others, or they are rows,
+        the element around them is taken.
+        """
+        scores = self.scores()
+        if path is None and scores:
+            path = self.path[max(scores, key=lambda e: (scores[e], -e))]
+        on = [e for e in scores if self.path[e] == path]
+        if not on:
+            return [0]
+        if len(on) > 1:
+            plain, linked = dict.fromkeys(on, 0.0), dict.fromkeys(on, 0.0)
+            top = self._top(on)
+            for e, text, share in self.blocks:
+                if top[e]:
+                    plain[top[e]] += len(text) * (1 - share)
+                    linked[top[e]] += len(text) * share
+            on = [e for e in on if plain[e] >= linked[e]] or on
+        if len(on) > 1 or self.tag[on[0]] in _CELL:
+            around = self._around(on)
+            if self.tag[around] not in ("", "html", "body") and any(share < 0.5 and self._holder(e) == around for e, _, share in self.blocks):
+                return [around]
+        return sorted(on)
+
+    def _top(self, on: list[int]) -> list[int]:
+        """For each element the one of ``on`` that it is within, else 0; the page itself is within none."""
+        chosen, top = set(on), [0] * len(self.parent)
+        for e in range(1, len(top)):
+            top[e] = e if e in chosen else top[self.parent[e]]
+        return top
+
+    def _around(self, on: list[int]) -> int:
+        """The least element around all of ``on`` that is no part of a list or table."""
+        nodes = set(on)
+        while len(nodes) > 1 or nodes & {on[0]}:
+            nodes = {self._block(self.parent[e]) for e in nodes}  # all of one depth in blocks
+        e = nodes.pop()
+        while e > 0 and (self.tag[e] not in _BLOCK or self.tag[e] in _PARAGRAPH | _ITEM | _CELL):
+            e = self.parent[e]
+        return max(e, 0)
+
+    def _block(self, e: int) -> int:
+        while e > 0 and self.tag[e] not in _BLOCK:
+            e = self.parent[e]
+        return e
+
+    def _holder(self, e: int) -> int:
+        """The container of a block by itself: the nearest element that is no paragraph."""
+        while e > 0 and (self.tag[e] not in _BLOCK or self.tag[e] in _PARAGRAPH):
+            e = self.parent[e]
+        return e
+
+    def text(self, containers: list[int]) -> str:
+        """The blocks within containers, in page order."""
+        if containers == [0]:
+            return "\n".join(t for _, t, _ in self.blocks)
+        top = self._top(containers)
+        return "\n".join(t for e, t, _ in self.blocks if top[e])
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +350,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for html, path in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
             page = Page(html.as_py() or "")
-            text = page.text(e) if path is not None and (e := page.best(path)) else ""
+            text = page.text(on) if path is not None and (on := page.best(path)) != [0] else ""
             out.append(text or page.text(page.best(None)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["key", "text"])
 

@@ -155,8 +155,24 @@ def test_main_text_in_layout_wrappers(spark, classes):
     wrapped = "".join(f"<div class='{classes}'>{x}</div>" for x in parts) if "widget" in classes else f"<div class='{classes}'>{''.join(parts)}</div>"
     df = spark.createDataFrame([(0, "http://a.example/", f"<html><body><div>{wrapped}</div>{side}</body></html>")], "page_id long, url string, html string")
     want = ["Head", *[f"Part {i} of an article that says this and that." for i in range(9)]]
-    got = main_text.main_text(df).first()["text"].split("\n")
-    assert got == want or "widget" in classes and set(got) < set(want)  # several containers are another matter
+    assert main_text.main_text(df).first()["text"].split("\n") == want
+
+
+def test_main_text_of_split_bodies_and_lists(spark):
+    p = lambda n, k: "".join(f"<p>Paragraph {k}.{i} of the article, as long as others.</p>" for i in range(n))
+    lines = lambda n, k: [f"Paragraph {k}.{i} of the article, as long as others." for i in range(n)]
+    items = [f"Point {i} of a list that is longer than all else." for i in range(20)]
+    bodies = [
+        (f"<div class='story'><h1>Head</h1><div class='part-1'>{p(7, 1)}</div><div class='ad'><p>Buy!</p></div><div class='part-2'>{p(3, 2)}</div></div>", ["Head", *lines(7, 1), *lines(3, 2)]),
+        (f"<article><div class='part-1'>{p(7, 1)}</div><div class='ad'>Buy!</div><div class='part-2'>{p(3, 2)}</div></article>", [*lines(7, 1), *lines(3, 2)]),
+        (f"<div class='story'><h1>Head</h1>{p(1, 1)}<ul>{''.join(f'<li>{x}' for x in items)}</ul></div>", ["Head", *lines(1, 1), *items]),
+        (f"<div class='story'><h1>Head</h1>{p(1, 1)}<ol>{''.join(f'<li><p>{x}</p></li>' for x in items)}</ol></div>", ["Head", *lines(1, 1), *items]),
+        (f"<div class='story'><h1>Head</h1>{p(1, 1)}<table>{''.join(f'<tr><td>{x}</td></tr>' for x in items)}</table></div>", ["Head", *lines(1, 1), *items]),
+        (f"<div class='story'><h1>Head</h1>{p(1, 1)}<table><tr><td><p>{'</p></td></tr><tr><td><p>'.join(items)}</p></td></tr></table></div>", ["Head", *lines(1, 1), *items]),
+    ]
+    rows = [(i, f"http://h{i}.example/", f"<html><body>{body}<div class='box'><p>Unmarked text.</p></div></body></html>") for i, (body, _) in enumerate(bodies)]
+    got = {r["page_id"]: r["text"] for r in main_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join(want) for i, (_, want) in enumerate(bodies)}
 
 
 def test_main_text_of_test_pages(spark, sf):

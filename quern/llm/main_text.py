@@ -1,9 +1,9 @@
 """Main text of web pages by consensus host paths.
 
-Each page's containers are scored by the text of their paragraphs that isn't links; every page
-votes, in shares, for the generalised tag-class paths of its containers; each host's winning
-path is then extracted from all its pages, from all containers on it.  A page without that path, or without text in it,
-gives its own best container.
+Each page is parsed once, into its blocks of text and the containers that hold them.  Containers are
+scored by the text of their paragraphs that isn't links; every page votes, in shares, for the
+generalised tag-class paths of its containers; each host's winning path is then extracted from all
+its pages, from all containers on it.  A page without that path gives its own best container.
 """
 
 from __future__ import annotations
@@ -21,23 +21,30 @@ from .spark_io import absent, small_or_not, table, written
 
 # Elements by their role.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+_RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
+_CODE = frozenset(("script", "style"))
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _PARAGRAPH = frozenset("p pre blockquote li dd dt td th h1 h2 h3 h4 h5 h6 figcaption summary".split())
 _DROPPED = frozenset(
-    "aside audio button canvas dialog embed fieldset footer form head iframe input menu nav noembed noframes noscript object option script select style svg template textarea title video xmp".split()
+    "aside audio button canvas dialog embed fieldset footer head iframe input label legend menu nav noembed noframes noscript object option script select style svg template textarea title video xmp".split()
 )
+_IN_HEAD = frozenset("head base basefont bgsound link meta noframes noscript script style template title".split())
 _NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices "
-    "pagination pager popup promo promoted promotion related reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar".split()
+    "ad ads adsbygoogle adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices outbrain "
+    "pagination pager popup promo promoted promotion related reply respond share sharing sidebar signup skip social sponsor sponsored subscribe taboola toc toolbar topbar".split()
+)
+#: A name is one of noise if all its words are of _NOISE or of these, which tell what shape the thing has.
+_SHAPE = frozenset(
+    "area article articles aside bar body bottom box block boxes btn button buttons cell center col column container content desktop entry facebook fixed floating form global google group header holder home icon icons inline inner item items js layer left "
+    "line link links list main media message mobile more notification outer overlay page panel parent placeholder policy post posts right row section site slot sticky story text thread title toggle tools top twitter ul unit user widget wp wrap wrapper zone".split()
 )
 _THREAD = frozenset("comment comments disqus related reply respond".split())
-#: In a class as has-sidebar or page-with-menu, what follows is about the layout.
-_LAYOUT = frozenset("has no with without".split())
-#: The share of a page's text that isn't links from which elements with a word of _NOISE are no noise, the same for
-#: those with a word of _THREAD (there may be more comments than article), and the characters that it takes besides:
+#: The words of which a name must consist to be a page's header.
+_HEADER = frozenset("bar fixed global header main mobile site sticky top".split())
+#: The share of a page's text that isn't links from which elements that are noise by a name are none, the same for forms and
+#: threads (there may be more comments than article), and the characters that it takes besides:
 #: a stub of an article may be shorter than what stands beside it.
 _MINOR, _MINOR_THREAD, _LEAST = 0.5, 0.9, 250
 _ROUNDS = 8
@@ -48,47 +55,56 @@ _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ENDS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 _SCOPE = frozenset("table td th ul ol dl article section main div body html".split())
 
-# a tag's quoted values may hold angles; where quotes don't pair, the tag ends at the next one
+# a tag's quoted values may hold angles, however long they are; a quote that stands elsewhere, or never ends, is a character
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]{0,20000}+\"|'[^']{0,20000}+')*+)>|<(/?)([A-Za-z][^\s/<>]*+)([^<>]*+)>",
+    r"|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[\"'=])*+)>",
     re.S,
 )
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
+_SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _HIDE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile("[0-9]+")
 
+#: Characters of a path, or of one of its steps or of a host, beyond which a digest stands for it: what is broadcast has a bound.
+PATH_CHARS, STEP_CHARS, HOST_CHARS = 300, 120, 255
+
 
 def _noise_words(values: list[str]) -> set[str]:
-    """The words of _NOISE in classes, ids and roles, but for those that a word of _LAYOUT in the same name precedes."""
-    found = set()
-    for name in " ".join(values).split():
-        for w in _SPLIT.split(name):
-            if w in _LAYOUT:
-                break
-            if w in _NOISE:
-                found.add(w)
+    """The words of _NOISE in those classes, ids and roles that hold no words but of _NOISE and _SHAPE."""
+    found: set[str] = set()
+    for value in values:
+        for name in value.split():
+            words = {w.lower() for w in _SPLIT.split(name) if w}
+            if words <= _HEADER and "header" in words:
+                found.add("header")
+            elif noise := words & _NOISE:
+                if words <= _NOISE | _SHAPE:
+                    found |= noise
     return found
 
 
 def _join(path: str, step: str) -> str:
-    """A path with one more step; the beginning of a very deep one becomes a digest, so that it stays short."""
-    if len(path) > 500:
+    """A path with one more step; what is too long becomes a digest."""
+    if len(path) > PATH_CHARS:
         path = "#" + hashlib.md5(path.encode()).hexdigest()
+    if len(step) > STEP_CHARS:
+        step = f"{step.partition('.')[0][:40]}.#{hashlib.md5(step.encode()).hexdigest()}"
     return f"{path}/{step}"
 
 
 class Page:
     """A page's elements (parent, generalised path, whether dropped) and blocks of text.
 
-    Elements that are noise by a class, id or role alone are judged when all is read: by the share
-    of the page's text in all elements of one path.
+    Elements that are noise by a class, id or role alone, and forms, are judged when all is read: by
+    the share of the page's text in all elements of one path.  Elements are numbered as they open, so
+    the blocks within one are neighbours: ``lo`` and ``hi`` are the first and the one after the last.
     """
 
     def __init__(self, html: str):
         self.parent, self.tag, self.path, self.drop, self.inside = [-1], [""], [""], [False], [False]
+        self.lo, self.hi = [0], [0]
         self.blocks: list[tuple[int, str, float]] = []  # (element, text, share of it in links)
         self.limit = [0.0]  # of an element that is noise by its names; 0 of others
         self.noise = [0]  # the nearest such element, from the element itself upwards
@@ -134,7 +150,12 @@ class Page:
             if not whole or any(x > 0 and not out[e] for e, x in own.items()):
                 break
             layout.update(more[n : n + 1] if n < _ROUNDS - 1 else more)
-        self.blocks = [b for b, under in zip(self.blocks, self._under, strict=True) if not out[under]]
+        kept = [not out[under] for under in self._under]
+        number = [0]
+        for k in kept:
+            number.append(number[-1] + k)
+        self.blocks = [b for b, k in zip(self.blocks, kept, strict=True) if k]
+        self.lo, self.hi = [number[i] for i in self.lo], [number[i] for i in self.hi]
 
     def _above(self, e: int) -> int:
         return self.noise[self.parent[e]]
@@ -142,9 +163,12 @@ class Page:
     def _parse(self, html: str) -> None:
         stack = [0]
         links = 0
+        head = pre = 0  # the place of an open head in the stack; how many elements of code are open
         at, n = 0, len(html)
 
         def text(s: str) -> None:
+            if head and len(stack) == head + 1 and not s.isspace():
+                pop_to(head)  # a head holds no text of its own
             if s and not self.drop[stack[-1]]:
                 if "&" in s:
                     s = unescape(s)
@@ -154,21 +178,27 @@ class Page:
                     self._linked[under] = self._linked.get(under, 0) + len(s)
 
         def pop_to(depth: int) -> None:
-            nonlocal links
+            nonlocal links, head, pre
             while len(stack) > depth:
-                t = self.tag[stack.pop()]
+                e = stack.pop()
+                t = self.tag[e]
                 links -= t == "a"
+                pre -= t in ("pre", "code")
                 if t in _BLOCK:
                     self._flush()
+                self.hi[e] = len(self.blocks)
+            if head >= depth:
+                head = 0
 
         while at < n:
             m = _TOKEN.search(html, at)
             if m is None:
                 text(html[at:])
                 break
-            text(html[at : m.start()])
+            if m.start() > at:
+                text(html[at : m.start()])
             at = m.end()
-            close, tag, attrs = (m[1], m[2], m[3]) if m[2] is not None else (m[4], m[5], m[6])
+            close, tag, attrs = m[1], m[2], m[3]
             if tag is None:
                 if m[0].startswith("<![CDATA["):
                     text(m[0][9:-3] if m[0].endswith("]]>") else m[0][9:])
@@ -186,6 +216,9 @@ class Page:
                         break
                 self._owner = stack[-1]
                 continue
+            if head and tag not in _IN_HEAD and not any(self.tag[e] in ("template", "noscript") for e in stack[head:]):
+                pop_to(head)  # the head's end tag may be left out
+                self._owner = stack[-1]
             if tag in _BLOCK:
                 for d in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
                     t = self.tag[stack[d]]
@@ -209,40 +242,50 @@ class Page:
             if tag in _VOID:
                 continue
             names: list[str] = []
+            classes: list[str] = []
             hidden = False
             if attrs and not attrs.isspace():
                 for a in _ATTR.finditer(attrs):
-                    value = (a[2] or "").strip("\"'").lower()
+                    value = (a[2] or "").strip("\"'")
                     name = a[1].lower()
                     if name == "style":
                         hidden |= bool(_HIDE.search(value))
-                    elif name == "hidden" or (name == "aria-hidden" and value == "true"):
+                    elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
                         hidden = True
                     else:
-                        names.append(f"{name}:{value}")
+                        names.append(value)
+                        if name == "class":
+                            classes += value.lower().split()
             above = stack[-1]
-            words = _noise_words([x.partition(":")[2] for x in names]) if tag not in ("html", "body", "main", "article") else ()
+            words = _noise_words(names) if names and not pre and tag not in ("html", "body", "main", "article") else ()
             inside = self.inside[above] or tag in ("article", "main")
             drop = self.drop[above] or tag in _DROPPED or hidden or (tag == "header" and not inside)
-            classes = sorted({_DIGITS.sub("#", c) for x in names if x.startswith("class:") for c in x[6:].split()})
             self.parent.append(above)
             self.tag.append(tag)
-            self.path.append(_join(self.path[above], ".".join([tag, *classes])) if tag in _BLOCK else self.path[above])
+            self.path.append(_join(self.path[above], ".".join([tag, *sorted({_DIGITS.sub("#", c) for c in classes})])) if tag in _BLOCK else self.path[above])
             self.drop.append(drop)
             self.inside.append(inside)
-            self.limit.append((_MINOR_THREAD if _THREAD.intersection(words) else _MINOR) if words else 0.0)
-            self.noise.append(len(self.noise) if words else self.noise[above])
+            limit = _MINOR_THREAD if tag == "form" or _THREAD.intersection(words) else _MINOR if words else 0.0
+            self.limit.append(limit)
+            self.noise.append(len(self.noise) if limit else self.noise[above])
+            self.lo.append(len(self.blocks))
+            self.hi.append(len(self.blocks))
             stack.append(len(self.tag) - 1)
             links += tag == "a"
+            pre += tag in ("pre", "code")
+            if tag == "head":
+                head = len(stack) - 1
             if tag in _BLOCK:
                 self._owner = stack[-1]
             if tag in _RAW:
                 end = re.compile(f"</{tag}[\\s/>]", re.I).search(html, at)
-                at = end.start() if end else n
+                if end or tag in _CODE:
+                    at = end.start() if end else n
         self._flush()
+        pop_to(0)
 
     def scores(self) -> dict[int, float]:
-        """Containers by the text in them that isn't links: whole for a paragraph's parent, half for the parent's parent.
+        """Containers by the text in them that isn't links: whole for a paragraph's parent, half for the parent's parent, a quarter for the next.
 
         A list, or a table whose cells hold text without paragraphs, is a part of what it stands in.
         """
@@ -265,39 +308,37 @@ class Page:
                 e = self.parent[e]
         return out
 
-    def best(self, path: str | None) -> list[int]:
-        """The containers on a path, or on that of the best container; the whole page, if there are none.
+    def choices(self) -> tuple[list[tuple[str, float, list[tuple[int, int]]]], list[tuple[int, int]]]:
+        """((path, score, ranges of blocks) of every path with a container, the ranges of the best one's path or of the whole page).
 
         Elements of one path have one depth, so none holds another.  Of several, those that are mostly
         links are left out, and where text stands by itself between the others, or they are rows,
         the element around them is taken.
         """
         scores = self.scores()
-        if path is None and scores:
-            path = self.path[max(scores, key=lambda e: (scores[e], -e))]
-        on = [e for e in scores if self.path[e] == path]
-        if not on:
-            return [0]
-        if len(on) > 1:
-            plain, linked = dict.fromkeys(on, 0.0), dict.fromkeys(on, 0.0)
-            top = self._top(on)
-            for e, text, share in self.blocks:
-                if top[e]:
-                    plain[top[e]] += len(text) * (1 - share)
-                    linked[top[e]] += len(text) * share
-            on = [e for e in on if plain[e] >= linked[e]] or on
-        if len(on) > 1 or self.tag[on[0]] in _CELL:
-            around = self._around(on)
-            if self.tag[around] not in ("", "html", "body") and any(share < 0.5 and self._holder(e) == around for e, _, share in self.blocks):
-                return [around]
-        return sorted(on)
-
-    def _top(self, on: list[int]) -> list[int]:
-        """For each element the one of ``on`` that it is within, else 0; the page itself is within none."""
-        chosen, top = set(on), [0] * len(self.parent)
-        for e in range(1, len(top)):
-            top[e] = e if e in chosen else top[self.parent[e]]
-        return top
+        if not scores:
+            return [], [(0, len(self.blocks))]
+        plain, linked, holders = [0.0], [0.0], set()
+        for e, text, share in self.blocks:
+            plain.append(plain[-1] + len(text) * (1 - share))
+            linked.append(linked[-1] + len(text) * share)
+            if share < 0.5:
+                holders.add(self._holder(e))
+        on_path: dict[str, list[int]] = {}
+        for e in scores:
+            on_path.setdefault(self.path[e], []).append(e)
+        out = []
+        for path, on in on_path.items():
+            most = max(scores[e] for e in on)
+            if len(on) > 1:
+                on = [e for e in on if plain[self.hi[e]] - plain[self.lo[e]] >= linked[self.hi[e]] - linked[self.lo[e]]] or on
+            if len(on) > 1 or self.tag[on[0]] in _CELL:
+                around = self._around(on)
+                if self.tag[around] not in ("", "html", "body") and around in holders:
+                    on = [around]
+            out.append((path, most, [(self.lo[e], self.hi[e]) for e in sorted(on)]))
+        best = self.path[max(scores, key=lambda e: (scores[e], -e))]
+        return out, next(ranges for path, _, ranges in out if path == best)
 
     def _around(self, on: list[int]) -> int:
         """The least element around all of ``on`` that is no part of a list or table."""
@@ -320,64 +361,69 @@ class Page:
             e = self.parent[e]
         return e
 
-    def text(self, containers: list[int]) -> str:
-        """The blocks within containers, in page order."""
-        if containers == [0]:
-            return "\n".join(t for _, t, _ in self.blocks)
-        top = self._top(containers)
-        return "\n".join(t for e, t, _ in self.blocks if top[e])
 
+_RANGES = "array<struct<lo: int, hi: int>>"
+_RANGE_TYPE = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+_PATH_TYPE = pa.list_(pa.struct([("path", pa.string()), ("vote", pa.int64()), ("ranges", _RANGE_TYPE)]))
+#: Pages, and characters of them, whose blocks make one Arrow batch, at most (but for one longer page).
+_PAGES, _CHARS = 256, 8 << 20
 
-def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hosts, paths, votes = [], [], []
-        for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            page = Page(html.as_py() or "")
-            scores = page.scores()
-            best: dict[str, float] = {}
-            for e, s in scores.items():
-                best[page.path[e]] = max(best.get(page.path[e], 0.0), s)
-            total = sum(best.values())
-            for path, s in best.items():
-                hosts.append(host)
-                paths.append(path)
-                votes.append(round(1e6 * s / total))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(votes, pa.int64())], ["host", "path", "vote"])
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    show = lambda ranges: [{"lo": lo, "hi": hi} for lo, hi in ranges]
     for batch in batches:
-        out = []
-        for html, path in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-            page = Page(html.as_py() or "")
-            text = page.text(on) if path is not None and (on := page.best(path)) != [0] else ""
-            out.append(text or page.text(page.best(None)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["key", "text"])
+        done, size = 0, 0
+        blocks, paths, own = [], [], []
+        for i, html in enumerate(batch.column(1)):
+            html = html.as_py() or ""
+            page = Page(html)
+            found, best = page.choices()
+            total = sum(s for _, s, _ in found)
+            blocks.append([t for _, t, _ in page.blocks])
+            paths.append([{"path": p, "vote": round(1e6 * s / total), "ranges": show(r)} for p, s, r in found])
+            own.append(show(best))
+            size += len(html)
+            if len(own) == _PAGES or size >= _CHARS or i + 1 == batch.num_rows:
+                keys = batch.column(0).slice(done, len(own))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(blocks, pa.list_(pa.string())), pa.array(paths, _PATH_TYPE), pa.array(own, _RANGE_TYPE)], ["key", "blocks", "paths", "own"])
+                done, size = i + 1, 0
+                blocks, paths, own = [], [], []
+
+
+def parsed_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """key (id, url and host), blocks, paths (path, vote and ranges of blocks of every path with a container) and own (the ranges of the page's best) of every page."""
+    id_, html = absent(pages, "id", "html")
+    rows = pages.select(F.struct(F.col(id_col).alias("id"), F.col(url_col).alias("url"), _host(url_col).alias("host")).alias(id_), F.col(html_col).alias(html))
+    kind = rows.schema[id_].dataType.simpleString()
+    return rows.mapInArrow(_parsed, f"key {kind}, blocks array<string>, paths array<struct<path: string, vote: bigint, ranges: {_RANGES}>>, own {_RANGES}")
 
 
-def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path): the path with most votes of every host, the first in order of equal ones."""
-    votes = pages.select(_host(url_col).alias("host"), html_col).mapInArrow(_votes, "host string, path string, vote long")
-    summed = votes.groupBy("host", "path").agg(F.sum("vote").alias("votes"))
+def host_paths(parsed: DataFrame) -> DataFrame:
+    """(host, path) of ``parsed_pages``: the path with most votes of every host, the first in order of equal ones."""
+    votes = parsed.select(F.col("key.host").alias("host"), F.explode("paths").alias("p"))
+    summed = votes.groupBy("host", F.col("p.path").alias("path")).agg(F.sum("p.vote").alias("votes"))
     return summed.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), "path")).alias("path"))
 
 
 def _host(url_col: str):
-    return F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
+    return F.when(F.length(host) > HOST_CHARS, F.md5(host)).otherwise(host)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: id, url, ``text``: the main text, blocks joined by newlines.
 
     Null or empty pages have an empty text; pages without a host (or url) vote together; rows
-    with equal ids are extracted each by itself; other columns are ignored.
+    with equal ids are extracted each by itself; other columns are ignored.  The parsed pages are
+    written once, to vote and to be extracted.
     """
-    paths = small_or_not(written(host_paths(pages, url_col, html_col)))
-    id_, html = absent(pages, "id", "html")
-    rows = pages.select(F.struct(F.col(id_col).alias("id"), F.col(url_col).alias("url")).alias(id_), F.col(html_col).alias(html), _host(url_col).alias("page_host"))
-    joined = rows.join(paths, F.col("page_host") == F.col("host"), "left").select(F.col(id_).alias("key"), F.col(html).alias("html"), "path")
-    kind = joined.schema["key"].dataType.simpleString()
-    return joined.mapInArrow(_texts, f"key {kind}, text string").select(F.col("key.id").alias(id_col), F.col("key.url").alias(url_col), "text")
+    parsed = written(parsed_pages(pages, id_col, url_col, html_col))
+    # rows of at most HOST_CHARS + PATH_CHARS + STEP_CHARS characters and little more
+    paths = small_or_not(written(host_paths(parsed)))
+    chosen = F.get(F.filter("paths", lambda p: p["path"] == F.col("path")), F.lit(0))["ranges"]
+    pieces = F.transform(F.coalesce(chosen, F.col("own")), lambda r: F.slice("blocks", r["lo"] + 1, r["hi"] - r["lo"]))
+    joined = parsed.join(paths, F.col("key.host") == F.col("host"), "left")
+    return joined.select(F.col("key.id").alias(id_col), F.col("key.url").alias(url_col), F.array_join(F.flatten(pieces), "\n").alias("text"))
 
 
 def op3_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

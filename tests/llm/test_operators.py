@@ -145,7 +145,7 @@ def test_main_text_of_hosts(spark):
     got = [(r["page_id"], r["text"]) for r in main_text.main_text(df).collect()]
     want = "Head & more\nFirst bold text.\nSecond line <x>\none\ntwo"
     assert sorted(got) == sorted([(0, want), (1, want), (2, want), (3, "x"), (4, ""), (5, ""), (6, "just text & more"), (7, "a"), (7, "a")])
-    assert {r["host"]: r["path"] for r in main_text.host_paths(df).collect()}["h.example"] == "/html/body/div.layout-#/div.story"
+    assert {r["host"]: r["path"] for r in main_text.host_paths(main_text.parsed_pages(df)).collect()}["h.example"] == "/html/body/div.layout-#/div.story"
 
 
 @pytest.mark.parametrize("classes", ["content has-sidebar", "no-sidebar", "page-with-menu", "elementor-widget elementor-widget-text-editor", "layout sidebar-right", "social"])
@@ -175,6 +175,42 @@ def test_main_text_of_split_bodies_and_lists(spark):
     assert got == {i: "\n".join(want) for i, (_, want) in enumerate(bodies)}
 
 
+def extracted(spark, *bodies, host="h"):
+    """The text of each page, of a host of its own."""
+    rows = [(i, f"http://{host}{i}.example/", html) for i, html in enumerate(bodies)]
+    return [r["text"] for r in main_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_main_text_loses_no_article(spark):
+    story = "".join(f"<p>Paragraph {i} of the article, as long as the others.</p>" for i in range(5))
+    want = "\n".join(f"Paragraph {i} of the article, as long as the others." for i in range(5))
+    long = "q" * 25_000
+    pages = {
+        f"<html><head><title>T</title><meta charset=utf-8><body><article>{story}</article></body></html>": want,
+        f"<title>T</title><head><script>var a;</script><article>{story}</article>": want,
+        f"<article><p data-x=\"{long} > y\">Before.</p><p data-y='{long}>'>After.</p></article>": "Before.\nAfter.",
+        f"<article><a href=\"x\"\">{story}</a> <p title=\"a\">End.</p></article>": None,
+        f"<article>{story}<p class='share-price'>Up two points.</p><div class='social-history'>Of old.</div></article>": f"{want}\nUp two points.\nOf old.",
+        f"<article>{story}<div class='share-buttons'>Share!</div><div class='relatedPosts'>More</div><p class=ad-slot>Buy</p></article>": want,
+        f"<body><form id='aspnetForm'><div class=story>{story}</div><label>Find</label></form></body>": want,
+        f"<body><div class=site-header>Us</div><div class=story>{story}</div><form><p>Your name and all that</p></form></body>": want,
+        f"<article>{story}<pre><code><span class='comment'># note</span> x = 1</code></pre></article>": f"{want}\n# note x = 1",
+        f"<head><noscript><img src=x></noscript><title>T</title></head><article>{story}</article>": want,
+        f"<body><div class=story>{story}</div><div class=story><p>Second part.</p></div></body>": f"{want}\nSecond part.",
+    }
+    got = extracted(spark, *pages)
+    for html, text, expected in zip(pages, got, pages.values(), strict=True):
+        assert expected is None or text == expected, html[:200]
+    assert "Paragraph 4" in got[3] and got[3].endswith("End.")
+
+
+def test_main_text_of_no_rows_and_of_very_long_pages(spark):
+    assert main_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    line = "<p>A line of a page that is very long.</p>\n"
+    texts = extracted(spark, "<article>" + line * 400_000 + "</article>", "<div>" * 20_000 + "deep" + "</div>" * 20_000, "<a \"'" * 100_000, "<p title=\"" * 100_000, "<" * 1_000_000)
+    assert texts[0] == "\n".join(["A line of a page that is very long."] * 400_000) and texts[1] == "deep"
+
+
 def test_main_text_of_test_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in main_text.main_text(pages).collect()}

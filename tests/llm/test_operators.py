@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -309,12 +310,52 @@ def test_mix_meets_its_targets(spark):
         assert abs(sum(r["tokens"] * r["rate"] * r["posterior"][i] for r in rows) / total - 0.5) < 2e-3
     right = sum((r["posterior"][0] > 0.5) == (r["doc_id"] % 4 == 0) for r in rows if r["doc_id"] < 300)
     assert right > 295
-    # the conditions of the one minimum: every rate is the projection of what the slopes say
+    assert all(r["residual"] <= mixing.MixConfig().tolerance for r in rows)
+
+
+def gradient_descent(p, tokens, want, ridge, low=0.0, steps=40_000):
+    """Rates by plain projected gradient steps."""
+    share = tokens / tokens.sum()
+    own = share @ p
+    rate = np.ones(len(p))
+    for _ in range(steps):
+        rate = np.maximum(low, rate - (p @ (((share * rate) @ p - want) / own) + ridge * (rate - 1)) / (1 + ridge))
+    return rate
+
+
+@pytest.mark.parametrize("good", [0.5, 0.95])
+def test_mix_is_plain_projected_gradient(spark, good):
+    docs, labels = mix_tables(spark)
+    rows = mixing.mix(docs, labels, {"good": good, "bad": 1 - good}, 1.2).collect()
+    rates = gradient_descent(np.array([r["posterior"] for r in rows]), np.array([r["tokens"] for r in rows], float), np.array([1.2 * (1 - good), 1.2 * good]), mixing.MixConfig().ridge)
+    assert np.abs(rates - [r["rate"] for r in rows]).max() < 1e-3 and np.abs(rates - [r["rate"] for r in rows]).mean() < 1e-4
+
+
+def test_posteriors_are_naive_bayes(spark):
+    """Without Spark: the same classifier over words' first letters, by stems instead of buckets."""
+    docs, labels = mix_tables(spark)
     c = mixing.MixConfig()
-    p, rate = np.array([r["posterior"] for r in rows]), np.array([r["rate"] for r in rows])
-    share = np.array([r["tokens"] for r in rows]) / total
-    slope = ((share * rate) @ p - 0.5) / (c.ridge * 0.5)
-    assert np.abs(rate - np.maximum(0, 1 - p @ slope)).max() < 0.02
+    got = {r["doc_id"]: r["posterior"] for r in mixing.domain_posteriors(docs, labels, ["bad", "good"]).collect()}
+    stems = {r["doc_id"]: [w[: c.stem].lower() for w in re.split(r"[\s.,;:!?]+", r["text"] or "") if w] for r in docs.collect()}
+    domain: dict = {}
+    for r in labels.collect():
+        if r["doc_id"] in stems and r["domain"] in ("good", "bad"):
+            domain[r["doc_id"]] = min(r["domain"], domain.get(r["doc_id"], "z"))
+    words = {d: Counter(s for i, x in domain.items() if x == d for s in stems[i]) for d in ("bad", "good")}
+    held = {d: Counter(s for i, x in domain.items() if x == d for s in set(stems[i])) for d in ("bad", "good")}
+    n = {d: sum(words[d].values()) for d in words}
+    m = Counter(domain.values())
+    share = {s: sum(words[d][s] for d in words) / sum(n.values()) for s in set().union(*words.values())}
+    part = {s: sum(held[d][s] for d in held) / sum(m.values()) for s in share}
+    alone = {s for s in share if any(abs(held[d][s] - m[d] * part[s]) >= c.deviation * math.sqrt(m[d] * part[s] * (1 - part[s]) + 1) for d in words)}
+    assert alone and alone < set(share)
+    other = 1 - sum(share[s] for s in alone)
+    rest = {d: math.log((n[d] - sum(words[d][s] for s in alone) + c.prior * other) / (n[d] + c.prior) / other) for d in words}
+    weight = {d: {s: math.log((words[d][s] + c.prior * share[s]) / (n[d] + c.prior) / share[s]) for s in alone} for d in words}
+    for i, found in stems.items():
+        logs = {d: math.log((m[d] + 0.01) / (sum(m.values()) + 0.02)) + sum(weight[d].get(s, rest[d]) for s in found) for d in words}
+        odds = 1 / (1 + math.exp(logs["good"] - logs["bad"])) if logs["good"] - logs["bad"] < 700 else 0.0
+        assert abs(got[i][0] - odds) < 1e-4, i
 
 
 def test_mix_out_of_reach_and_empty(spark):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .linkage import SIGNED, link
+from .linkage import answer, forest, groups, link, lists
 from .spark_io import absent, table, written
 from .words import mixed
 
@@ -29,7 +29,7 @@ class PStableConfig:
 
     cosine: float = 0.9
     width: float = 2.0
-    chance: int = 32
+    chance: int = 128
     recall: float = 0.99
 
 
@@ -56,7 +56,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _sign(projections: int, tables: int, config: PStableConfig):
+def _sign(projections: int, tables: int, config: PStableConfig, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
@@ -85,28 +85,67 @@ def _sign(projections: int, tables: int, config: PStableConfig):
                         h = mixed(h + cells[:, :, j])
                     nodes[at[lo : lo + 2048]] = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 for i, v in zip(at.tolist(), x, strict=True):
-                    payload[i] = (v + 0.0).tobytes()
+                    payload[i] = (v + 0.0).astype(kind).tobytes()
                     sids[i] = hashlib.blake2b(payload[i], digest_size=16).hexdigest()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * tables + 1, tables, dtype=np.int32)), pa.array(nodes.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sids, pa.string()), lists, pa.array(payload, pa.binary())], ["key", "sid", "nodes", "payload"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sids, pa.string()), lists, pa.array(payload, pa.binary())], ["key", "sid", "label", "payload"])
 
     return run
 
 
-def _close(config: PStableConfig):
-    def same(payloads: list[bytes]) -> np.ndarray:
-        vectors = [np.frombuffer(p, np.float64) for p in payloads]
-        size = np.array([len(v) for v in vectors])
-        if (size != size[0]).any():  # vectors of different sizes are never compared
-            out = np.zeros((len(size), len(size)), bool)
-            for dim in np.unique(size):
-                at = np.flatnonzero(size == dim)
-                out[np.ix_(at, at)] = same([payloads[i] for i in at])
-            return out
-        x = _unit(np.stack(vectors))
-        return x @ x.T >= config.cosine
+#: Rows up to which groups are compared many at a time, filled up to a power of two; numbers compared at once.
+_SMALL, _AT_ONCE = 64, 1 << 22
+
+
+def _pairs(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), i < j, of rows of one group whose cosine reaches the threshold; ``x`` holds unit vectors."""
+    for n in sorted(set((1 << np.ceil(np.log2(sizes[(sizes > 1) & (sizes <= _SMALL)])).astype(int)).tolist())):
+        some = np.flatnonzero((sizes > n // 2) & (sizes <= n) & (sizes > 1))
+        step = max(1, _AT_ONCE // (n * max(n, x.shape[1])))
+        for lo in range(0, len(some), step):
+            at = starts[some[lo : lo + step]][:, None] + np.arange(n)
+            real = np.arange(n) < sizes[some[lo : lo + step]][:, None]
+            rows = np.where(real[:, :, None], x[np.minimum(at, len(x) - 1)], 0.0)
+            g, i, j = np.nonzero(np.matmul(rows, rows.transpose(0, 2, 1)) >= cosine)
+            up = (i < j) & real[g, i] & real[g, j]
+            yield at[g[up], i[up]], at[g[up], j[up]]
+    for start, n in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
+        step = max(1, _AT_ONCE // n)
+        for lo in range(0, n, step):
+            i, j = np.nonzero(x[start + lo : min(start + n, start + lo + step)] @ x[start : start + n].T >= cosine)
+            up = i + lo < j
+            yield start + lo + i[up], start + j[up]
+
 
-    return same
+def _check(config: PStableConfig, kind: type):
+    """The exact check: cosines in double precision, of many groups at a time; a pair counts under its first common node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches):
+            rep, copies, tree, lo, hi, own = (t.column(c).to_numpy() for c in ("rep", "copies", "tree", "lo", "hi", "own"))
+            gid, nodes = t.column("gid").to_numpy(), lists(t.column("nodes"))
+            payload = t.column("payload").to_pylist()
+            length = np.array([len(p) for p in payload])
+            first, second = [np.zeros(0, int)], [np.zeros(0, int)]
+            for size in np.unique(length):  # vectors of different sizes are never compared
+                at = np.flatnonzero(length == size)
+                x = _unit(np.frombuffer(b"".join([payload[i] for i in at.tolist()]), kind).astype(np.float64).reshape(len(at), -1))
+                edge = np.flatnonzero(np.r_[True, gid[at][1:] != gid[at][:-1], True])
+                for i, j in _pairs(x, edge[:-1], np.diff(edge), config.cosine):
+                    for part in range(0, len(i), _AT_ONCE // nodes.shape[1] + 1):
+                        a, b = at[i[part : part + _AT_ONCE // nodes.shape[1] + 1]], at[j[part : part + _AT_ONCE // nodes.shape[1] + 1]]
+                        common = np.argmax(nodes[a] == nodes[b], axis=1)  # they share the node of this group's table
+                        mine = (common == tree[a]) & (nodes[a, tree[a]] == nodes[b, tree[a]]) & ((lo[a] == hi[a]) | (own[a] != own[b]))
+                        first.append(a[mine])
+                        second.append(b[mine])
+            a, b = np.concatenate(first), np.concatenate(second)
+            if not len(a):
+                continue
+            links = np.bincount(a, copies[b], len(rep)) + np.bincount(b, copies[a], len(rep))
+            root, hit = rep[forest(len(rep), a, b)], links > 0
+            yield answer(rep[hit], links[hit], root[hit])
+
+    return run
 
 
 def embedding_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", config: PStableConfig = PStableConfig()) -> DataFrame:
@@ -120,10 +159,12 @@ def embedding_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     projections, tables = table_plan(vectors.select(id_col).count(), config)
     (key,) = absent(vectors, "key")
     kind = vectors.schema[id_col].dataType.simpleString()
+    stored = np.float32 if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else np.float64
     keyed = vectors.select(F.struct(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("id")).alias(key), F.col(vector_col))
-    signed = keyed.mapInArrow(_sign(projections, tables, config), f"key struct<n: bigint, id: {kind}>, {SIGNED}")
-    signed = written(signed.select(F.col("key.n").alias("row"), F.col("key.id").alias("id"), "sid", "nodes", "payload"))
-    linked = link(signed, _close(config), "id")
+    signed = keyed.mapInArrow(_sign(projections, tables, config, stored), f"key struct<n: bigint, id: {kind}>, sid string, label array<int>, payload binary")
+    signed = written(signed.select(F.col("key.n").alias("row"), F.col("key.id").alias("id"), "sid", "label", "payload"))
+    once = lambda last, near: tables if last is None else None
+    linked = link(signed, _check(config, stored), "id", lambda n: F.col("label"), once)
     return linked.select(F.col("id").alias(id_col), "n_links", F.col("class_id").alias("component_id"), F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 

@@ -446,6 +446,24 @@ def test_embeddings_are_brute_force(spark):
     assert embedding_neighbours.embedding_neighbours(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [2_000, 16_000])
+def test_embeddings_of_planted_pairs(spark, n):
+    """Half of the vectors are unrelated, the others are pairs of a cosine from 0.9 to 0.93."""
+    rng = np.random.default_rng(n)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a = unit(rng.standard_normal((n // 4, 64)))
+    side = rng.standard_normal(a.shape)
+    side = unit(side - (side * a).sum(1, keepdims=True) * a)
+    cosine = rng.uniform(0.9005, 0.93, (n // 4, 1))
+    x = np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * side, rng.standard_normal((n // 2, 64))])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    links = {r["vec_id"]: r["n_links"] for r in embedding_neighbours.embedding_neighbours(df).collect()}
+    y = unit(x.astype(np.float32).astype(float))
+    true = np.concatenate([(y[lo : lo + 1000] @ y.T >= 0.9).sum(1) - 1 for lo in range(0, n, 1000)])
+    assert all(links[i] <= true[i] for i in range(n))
+    assert sum(links.values()) >= 0.985 * true.sum() and true.sum() >= n / 2
+
+
 def test_table_plan_reaches_its_recall():
     c = embedding_neighbours.PStableConfig()
     near = embedding_neighbours.collision(math.sqrt(2 - 2 * c.cosine), c.width)
@@ -475,6 +493,9 @@ def test_near_duplicates_are_brute_force(spark, monkeypatch, block):
     got = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in near_duplicates.near_duplicates(doc_frame(spark, texts)).collect()}
     want = brute.linked({i: brute.shingles(t) for i, t in enumerate(texts)}, brute.jaccard)
     assert got == want
+    monkeypatch.setattr(linkage, "PIVOTS", 1)
+    alone = near_duplicates.near_duplicates(doc_frame(spark, texts), classes=True)
+    assert {r["doc_id"]: r["class_id"] for r in alone.collect()} == {i: root for i, (_, root) in want.items()}
 
 
 def test_groups_of_long_texts_are_checked_part_by_part(monkeypatch):
@@ -489,18 +510,30 @@ def test_groups_of_long_texts_are_checked_part_by_part(monkeypatch):
         texts.append(" ".join(w).encode())
     payloads = [zstandard.ZstdCompressor().compress(t) for t in texts]
     same = near_duplicates._similar(near_duplicates.ForestConfig())
-    whole = same(payloads)
+    whole, similar = same(payloads)
     monkeypatch.setattr(near_duplicates, "PART_BYTES", 1000)
-    parts = same(payloads)
+    parts, again = same(payloads)
     off = ~np.eye(17, dtype=bool)
     want = np.array([[brute.jaccard(brute.shingles(a.decode()), brute.shingles(b.decode())) for b in texts] for a in texts])
-    assert (whole[off] == want[off]).all() and (parts[off] == want[off]).all()
+    assert (whole[off] == want[off]).all() and (parts[off] == want[off]).all() and np.array_equal(similar[off], again[off])
 
 
-def test_near_duplicate_prefixes_reach_their_recall():
+def test_prefixes_are_shortened_to_the_recall():
     c = near_duplicates.ForestConfig()
-    d = near_duplicates.matched_prefix(c)
-    assert near_duplicates.recall_at(0.8, d, c.trees) >= c.recall > near_duplicates.recall_at(0.8, d + 1, c.trees)
+    least = near_duplicates.least_prefix(c)
+    assert near_duplicates.recall_at(0.8, least, c.trees) >= c.recall > near_duplicates.recall_at(0.8, least + 1, c.trees)
+    following = near_duplicates.shorter(c)
+    bins = np.zeros(linkage.BINS, np.int64)
+    assert following(None, bins) == c.label and following(c.label, bins) == least and following(least, bins) is None
+    close, spread = bins.copy(), bins + 1000
+    close[-4:] = 1_000_000  # nearly equal sets: whole labels show them all
+    assert following(c.label, close) is None
+    # what is next for many links of all similarities shows enough of them, and one more letter would not
+    d = following(c.label, spread)
+    middle = 0.8 + (np.arange(linkage.BINS) + 0.5) / linkage.BINS * 0.2
+    there = spread / near_duplicates.recall_at(middle, c.label, c.trees)
+    share = lambda n: there @ near_duplicates.recall_at(middle, n, c.trees) / there.sum()
+    assert least <= d < c.label and share(d) > c.recall - 1e-4 and share(d + 1) < c.recall
 
 
 def test_near_duplicates_of_empty_and_repeated_rows(spark):

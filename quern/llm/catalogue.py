@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_winnowing": decontamination.ORACLE_SQL,
+    "op4_jump_hash": sharding.ORACLE_SQL,
     "op5_arc_to_warc": arc_to_warc.ORACLE_SQL,
     "op8_diagonal_voting": license_scan.ORACLE_SQL,
     "op9_p_stable": embedding_neighbours.ORACLE_SQL,

@@ -159,35 +159,42 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     row, key = absent(docs, "row", "key")
     keyed = docs.select(F.monotonically_increasing_id().alias(row), F.col(id_col).alias(key), F.col(text_col))
     id_type = docs.schema[id_col].dataType.simpleString()
-    prints = keyed.select(F.struct(F.col(row).alias("n"), F.col(key).alias("id")).alias("row"), text_col).mapInArrow(
-        _document_prints(kinds, packed), f"row struct<n: bigint, id: {id_type}>, n_words long, {_PRINT}"
+    # a row per document and one per fingerprint that the bitmaps let pass; written, so that a row's number is the same whoever reads it
+    prints = written(
+        keyed.select(F.struct(F.col(row).alias("n"), F.col(key).alias("id")).alias("row"), text_col).mapInArrow(
+            _document_prints(kinds, packed), f"row struct<n: bigint, id: {id_type}>, n_words long, {_PRINT}"
+        )
     )
-    item = small_or_not(items.select(F.col("id").alias("item"), *[F.col(c).alias(f"i_{c}") for c in ("kind", "fp", "before", "inside", "after")]))
-    hits = prints.join(item, (F.col("kind") == F.col("i_kind")) & (F.col("fp") == F.col("i_fp")) & (F.col("inside") == F.col("i_inside")), "left")
+    # what many items share, with the words around it, is one place that bears all their ids
+    places = items.groupBy("kind", "fp", "before", "inside", "after").agg(F.sort_array(F.collect_set(F.col("id").cast("string"))).alias("items"))
+    places = small_or_not(written(places.select("items", *[F.col(c).alias(f"i_{c}") for c in ("kind", "fp", "before", "inside", "after")])))
+    hits = prints.join(places, (F.col("kind") == F.col("i_kind")) & (F.col("fp") == F.col("i_fp")) & (F.col("inside") == F.col("i_inside")), "left")
     back, on = _extension(F.col("before"), F.col("i_before")), _extension(F.col("after"), F.col("i_after"))
     start, end = F.col("place") - F.col("back"), F.col("place") + F.size("inside") + F.col("on")
-    real = F.col("item").isNotNull() & ((F.col("kind") > 0) | (F.col("back") + F.col("on") + GRAM >= SPAN))
+    real = F.col("items").isNotNull() & ((F.col("kind") > 0) | (F.col("back") + F.col("on") + GRAM >= SPAN))
     spans = (
-        hits.where(F.col("n_words").isNotNull() | F.col("item").isNotNull())
+        hits.where(F.col("n_words").isNotNull() | F.col("items").isNotNull())
         .withColumns({"back": back, "on": on})
-        .select("row", "n_words", F.when(real, F.col("item").cast("string")).alias("item"), F.when(real, F.struct(start.alias("s"), end.alias("e"))).alias("span"))
+        .select("row", "n_words", F.when(real, F.col("items")).alias("items"), F.when(real, F.struct(start.alias("s"), end.alias("e"))).alias("span"))
         .groupBy("row")
-        .agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_set("item")).alias("item_ids"), F.sort_array(F.collect_set("span")).alias("found"))
+        .agg(F.max("n_words").alias("n_words"), F.collect_set("items").alias("items"), F.sort_array(F.collect_set("span")).alias("found"))
     )
     merged = F.expr(
         "aggregate(found, cast(array() as array<struct<s: int, e: int>>), (m, x) -> CASE "
         "WHEN size(m) > 0 AND x.s <= element_at(m, -1).e THEN concat(slice(m, 1, size(m) - 1), array(named_struct('s', element_at(m, -1).s, 'e', greatest(element_at(m, -1).e, x.e)))) "
         "ELSE concat(m, array(x)) END)"
     )
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + (x["e"] - x["s"]))
-    return spans.withColumn("spans", merged).select(
+    # words counted by the same sweep without the array, in time linear in the spans
+    n_hit = F.expr("aggregate(found, named_struct('n', 0L, 'e', 0), (m, x) -> named_struct('n', m.n + greatest(0, x.e - greatest(x.s, m.e)), 'e', greatest(m.e, x.e)), m -> m.n)")
+    item_ids = F.array_sort(F.array_distinct(F.flatten("items")))
+    return spans.select(
         F.col("row.id").alias(id_col),
         F.col("n_words"),
         n_hit.alias("n_hit"),
-        F.size("item_ids").cast("long").alias("n_items"),
-        "item_ids",
-        "spans",
-        (F.size("spans") > 0).alias("contaminated"),
+        F.size(item_ids).cast("long").alias("n_items"),
+        item_ids.alias("item_ids"),
+        merged.alias("spans"),
+        (F.size("found") > 0).alias("contaminated"),
     )
 
 

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table of at most this many narrow rows may be broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 100_000
+#: A table of at most this many rows and bytes (as JSON) may be broadcast; beyond either joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,33 +24,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the session names none (tests in local mode), a temporary folder is set.
+    Where the session names none, a local session gets a temporary folder; a cluster has no folder
+    that could be taken for shared, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             root = set_dir.get()
-        else:
+        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
             root = tempfile.mkdtemp(prefix="spark-quern-")
             spark.sparkContext.setCheckpointDir(root)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{root}/quern-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: a short lineage that outlives executors."""
+    """``df`` written to the shared folder and read back: a short lineage that outlives executors.
+
+    A result may be read long after the operator returned, so its tables stay; whoever owns the
+    checkpoint folder clears it, as with Spark's own checkpoints.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a written table) marked for broadcast if it has at most ``limit`` rows.
+def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (a written table) marked for broadcast if it has at most ``rows`` rows of at most ``size`` bytes together.
 
-    Beyond the bound the table is returned as it is, and the join shuffles.
+    Beyond the bounds the table is returned as it is, and the join shuffles.
     """
-    return F.broadcast(df) if df.count() <= limit else df
+    if df.count() > rows:
+        return df
+    held = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if held <= size else df
 
 
 def absent(df: DataFrame, *names: str) -> list[str]:

@@ -2,7 +2,8 @@
 
 ARC names no record ids, types or digests; they are synthesised from what the record has, so the
 same archive always gives the same WARC records.  Records whose payload occurred before become
-revisits.  All bytes pass through Spark's readers and writers.
+revisits.  All bytes pass through Spark's readers and writers; each record is a gzip member of its own,
+and each file begins with a warcinfo record.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import gzip
 import hashlib
 import io
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,14 @@ ARC_NAMES = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-END = "\r\n\r\n"
-
 #: Payloads shorter than this are always stored.
 REVISIT_BYTES = 100
-#: Records in a WARC file, at most; a file is read by one task.
-RECORDS_PER_FILE = 2000
+#: Bytes of records in a WARC file, before compression, from which the next record begins another; a file is read by one task.
+FILE_BYTES = 64 << 20
+#: Bytes in an Arrow batch, from which the next record begins another.
+BATCH_BYTES = 8 << 20
+#: A gzip member ends with its size, so this byte is the last of one that holds less than 16 MB.
+_LAST, _MEMBER_BYTES = b"\x00", 8 << 20
 
 
 def _line(fields: list[str]) -> bytes:
@@ -43,9 +47,8 @@ def _line(fields: list[str]) -> bytes:
 
 
 def _field(value: str | None, default: str) -> str:
-    """A header field: white space would end it, so it is percent-encoded."""
-    value = "".join(f"%{ord(c):02X}" if c.isspace() or ord(c) < 32 else c for c in value or "")
-    return value or default
+    """A header field: white space would end it, so its UTF-8 bytes are percent-encoded."""
+    return "".join(quote(c, safe="") if c.isspace() or ord(c) < 32 else c for c in value or "") or default
 
 
 def build_arc(records: list[tuple[str | None, str, str, bytes]], version: int, name: str = "pages.arc") -> bytes:
@@ -109,26 +112,35 @@ RECORD = "key long, id string, date string, uri string, content_type string, htt
 def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split(" ")[0] for x in RECORD.split(", ")]
     types = [pa.int64(), *[pa.string()] * 4, pa.binary(), pa.binary(), pa.string()]
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
     for batch in batches:
-        for content, keys in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            if content.as_py() is None:
+        for content, keys in zip(batch.column(0), batch.column(1), strict=True):
+            if not content.is_valid:
                 continue
-            rows = []
-            for i, r in enumerate(parse_arc(content.as_py())):
+            content, keys = content.as_py(), keys.as_py()
+            archive = hashlib.sha256(content).hexdigest()
+            rows, size = [], 0
+            for i, r in enumerate(parse_arc(content)):
                 body, http = r["content"], b""
                 if body[:5] == b"HTTP/" and (cut := body.find(b"\r\n\r\n")) >= 0:
                     http, body = body[: cut + 4], body[cut + 4 :]
-                key = keys[i] if keys is not None else None
-                rows.append((key, record_id(f"{key} {r['url']} {r['date']} {i if key is None else ''}"), _warc_date(r["date"]), r["url"], r["content_type"], http, body, hashlib.sha256(body).hexdigest()))
+                digest = hashlib.sha256(body).hexdigest()
+                rows.append((keys[i] if keys is not None else None, record_id(f"{archive} {i} {digest}"), _warc_date(r["date"]), r["url"], r["content_type"], http, body, digest))
+                size += len(body)
+                if size >= BATCH_BYTES:
+                    yield batch_of(rows)
+                    rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                yield batch_of(rows)
 
 
 def convert_arc(archives: DataFrame) -> DataFrame:
     """The records of ARC files, as WARC fields: RECORD.
 
     ``archives`` has ``content`` (binary; null: none) and ``keys`` (an array of longs, one per
-    record in order, or null).  An HTTP header at the start of a record is split from its payload.
+    record in order, or null, as ARC has no field for them: then keys are null).  An HTTP header at the start of a record is
+    split from its payload.  An id is made of the archive's digest, the record's place in it and its
+    payload's digest: the same for the same archive, and no two records of different archives share one.
     """
     return archives.select("content", "keys").mapInArrow(_convert, RECORD)
 
@@ -154,50 +166,91 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pages_as_arc(pages: DataFrame) -> DataFrame:
-    """ARC files (``content``, ``keys``) of ``pages``, about 1 MB each, of both versions by turns."""
+    """ARC files (``content``, ``keys``) of ``pages``, about 1 MB each, of both versions by turns.
+
+    A null html is an empty record, a null url ``about:blank``; rows that repeat a page_id are records of their own.
+    """
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_pack, "content binary, keys array<long>")
 
 
 def with_revisits(records: DataFrame) -> DataFrame:
-    """``records`` with ``type`` and ``refers_to``, ``refers_id`` (key and id of the stored record) of revisits.
+    """``records`` (a written table) with ``type`` and, of revisits, ``refers`` (key, id, uri and date of the stored record).
 
     Of equal payloads of REVISIT_BYTES or more, the record with the least key is stored, and so
-    are records that repeat its key; records without a key are always stored.
+    are records that repeat its key; records without a key are always stored.  Payloads aren't
+    shuffled where the ids of revisits fit a broadcast, and never by a digest that many share.
+    """
+    narrow = records.where((F.octet_length("payload") >= REVISIT_BYTES) & F.col("key").isNotNull()).select("digest", "key", "id", "uri", "date")
+    stored = narrow.groupBy("digest").agg(F.min(F.struct("key", "id", "uri", "date")).alias("refers"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = narrow.join(small_or_not(written(stored.drop("n"))), "digest").where("key > refers.key").select("id", "refers")
+    return records.join(small_or_not(written(again)), "id", "left").withColumn("type", F.when(F.col("refers").isNull(), "response").otherwise("revisit"))
+
+
+def _member(record: bytes, size: int = _MEMBER_BYTES) -> Iterator[bytes]:
+    """A record as a gzip member, or as several where it is longer than ``size``, each without its last byte."""
+    for lo in range(0, len(record), size):
+        yield gzip.compress(record[lo : lo + size], 6, mtime=0)[:-1]
+
+
+def _header(fields: list[tuple[str, object]], block: bytes) -> bytes:
+    lines = [f"{name}: {value}\r\n" for name, value in fields if value is not None]
+    return ("WARC/1.1\r\n" + "".join(lines) + f"Content-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def _members(file_bytes: int):
+    """Gzip members of records, and the number of the file that they go to, among those of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, held, batch_size = 0, None, 0
+        files: list[int] = []
+        out: list[bytes] = []
+        for batch in batches:
+            for row in range(batch.num_rows):
+                r = {name: batch.column(i)[row].as_py() for i, name in enumerate(batch.schema.names)}
+                refers = r["refers"] or {}
+                # a plain resource has no HTTP header; either way a revisit's block leaves the payload out
+                block = r["http"] + (b"" if refers else r["payload"])
+                record = _header(
+                    [
+                        ("WARC-Type", r["type"]), ("WARC-Record-ID", f"<{r['id']}>"), ("WARC-Date", r["date"]), ("WARC-Target-URI", r["uri"]),
+                        ("WARC-Payload-Digest", f"sha256:{r['digest']}"), ("WARC-Refers-To", refers and f"<{refers['id']}>" or None),
+                        ("WARC-Refers-To-Target-URI", refers.get("uri")), ("WARC-Refers-To-Date", refers.get("date")), ("WARC-Profile", REVISIT_PROFILE if refers else None),
+                        ("X-Key", r["key"]), ("X-Refers-To-Key", refers.get("key")), ("X-Payload-Length", len(r["payload"])),
+                        ("Content-Type", "application/http; msgtype=response" if r["http"] else r["content_type"]),
+                    ],
+                    block,
+                )
+                if held is None or held >= file_bytes:
+                    file, held = file + (held is not None), 0
+                    about = b"software: quern\r\nformat: WARC File Format 1.1\r\n"
+                    info = _header([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<{record_id('info ' + r['id'])}>"), ("WARC-Date", r["date"]), ("Content-Type", "application/warc-fields")], about)
+                    record_parts = [*_member(info), *_member(record)]
+                else:
+                    record_parts = list(_member(record))
+                held += len(record)
+                for part in record_parts:
+                    files.append(file)
+                    out.append(part)
+                    batch_size += len(part)
+                if batch_size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(files, pa.int32()), pa.array(out, pa.binary())], ["file", "value"])
+                    files, out, batch_size = [], [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.int32()), pa.array(out, pa.binary())], ["file", "value"])
+
+    return run
+
+
+def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """``records`` (with_revisits) as gzipped WARC files in ``path``, of about ``file_bytes`` of records, or one longer record, each.
+
+    A task's files lie in folders by their number.  Spark's text writer puts a line end after each row; here that
+    is the byte which every member ends with, so the files are plain members one after another.
     """
-    size = F.octet_length("payload")
-    twice = records.where((size >= REVISIT_BYTES) & F.col("key").isNotNull()).groupBy("digest").agg(F.min("key").alias("refers_to"), F.min(F.struct("key", "id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    twice = small_or_not(written(twice.select("digest", "refers_to", F.col("first.id").alias("refers_id"))))
-    again = F.col("refers_to").isNotNull() & (F.col("key") > F.col("refers_to")) & (size >= REVISIT_BYTES)
-    return records.join(twice, "digest", "left").withColumns(
-        {"type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("refers_to")), "refers_id": F.when(again, F.col("refers_id"))}
-    )
-
-
-def write_warc(records: DataFrame, path: str) -> None:
-    """``records`` (with_revisits) as gzipped WARC files in ``path``, RECORDS_PER_FILE in each at most."""
-    stored = F.col("type") == "response"
-    # a plain resource has no HTTP header; either way a revisit's block leaves the payload out
-    block = F.when(stored, F.concat("http", "payload")).otherwise(F.col("http"))
-    line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.col("type")),
-        line("WARC-Record-ID", F.concat(F.lit("<"), "id", F.lit(">"))),
-        line("WARC-Date", F.col("date")),
-        line("WARC-Target-URI", F.col("uri")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
-        line("WARC-Refers-To", F.concat(F.lit("<"), "refers_id", F.lit(">"))),
-        line("WARC-Profile", F.when(~stored, F.lit(REVISIT_PROFILE))),
-        line("X-Key", F.col("key").cast("string")),
-        line("X-Refers-To-Key", F.col("refers_to").cast("string")),
-        line("X-Payload-Length", F.octet_length("payload").cast("string")),
-        line("Content-Type", F.when(F.octet_length("http") > 0, F.lit("application/http; msgtype=response")).otherwise(F.col("content_type"))),
-        line("Content-Length", F.octet_length(block).cast("string")),
-        F.lit("\r\n"),
-    )
-    # a record ends with two line ends; the text writer puts them after each row, bytes as they are
-    rows = records.select(F.concat(head.cast("binary"), block).cast("string").alias("value"))
-    rows.write.option("compression", "gzip").option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    names = ["key", "id", "date", "uri", "content_type", "http", "payload", "digest", "type", "refers"]
+    rows = records.select(*names).mapInArrow(_members(file_bytes), "file int, value binary")
+    rows = rows.select("file", F.col("value").cast("string").alias("value"))  # bytes as they are
+    rows.write.partitionBy("file").option("compression", "none").option("lineSep", _LAST.decode()).text(path)
 
 
 def parse_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -232,6 +285,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for content in batch.column(0):
             rows = []
             for h, block in parse_warc(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(memoryview(content.as_buffer()))))):
+                if h["warc-type"] == "warcinfo":
+                    continue
                 digest = h["warc-payload-digest"].removeprefix("sha256:")
                 size = whole(h.get("x-payload-length"))
                 if h["warc-type"] == "response":
@@ -245,8 +300,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """READ of every record of the gzipped WARC files in ``path``; stored payloads are held against their digests."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    """READ of every record but warcinfo of the gzipped WARC files in ``path``; stored payloads are held against their digests."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInArrow(_read, READ)
 
 

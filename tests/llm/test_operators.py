@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import arc_to_warc, catalogue, decontamination, embedding_neighbours, license_scan, linkage, main_text, mixing, near_duplicates, personal_data, quality, sharding
+from quern.llm.spark_io import written
 from quern.llm.words import Words, text_slices
 
 from . import brute
@@ -266,8 +267,8 @@ def test_arc_records_by_declared_length(version):
 def test_warc_round_trip(spark, tmp_path):
     big = "p" * 100
     pages = [(5, "u5", big), (3, "u3", big), (9, None, big), (1, "u1", "short"), (2, "u2", "short"), (4, "u4", None), (6, "u6", "WARC/1.1\r\n\r\n\r\nx" * 20), (3, "u3", big), (7, "u\n7", "é" * 50)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    records = arc_to_warc.convert_arc(arc_to_warc.pages_as_arc(df))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("key", F.lit("x")).withColumn("content", F.lit(1))
+    records = written(arc_to_warc.convert_arc(arc_to_warc.pages_as_arc(df)))
     path = str(tmp_path / "w")
     arc_to_warc.write_warc(arc_to_warc.with_revisits(records), path)
     got = sorted((r["key"], r["type"], r["payload_bytes"], r["refers_to"]) for r in arc_to_warc.read_warc(spark, path).collect())
@@ -275,9 +276,34 @@ def test_warc_round_trip(spark, tmp_path):
     assert [g[1:] for g in got if g[0] not in (5, 9)] == [("response", 5, None), ("response", 5, None), ("response", 100, None), ("response", 100, None), ("response", 0, None), ("response", 300, None), ("response", 100, None)]
     digests = {r["key"]: r["payload_digest"] for r in arc_to_warc.read_warc(spark, path).collect()}
     assert all(digests[p] == hashlib.sha256((h or "").encode()).hexdigest() for p, _, h in pages)
+    assert len({r["id"] for r in arc_to_warc.read_warc(spark, path).collect()}) == len(pages)
     assert arc_to_warc._warc_date("2008") == "2008-01-01T00:00:00Z" and arc_to_warc._warc_date("20080601123456") == "2008-06-01T12:34:56Z"
 
 
+def test_warc_files_are_members_of_bounded_size(spark, tmp_path):
+    assert b"".join(gzip.decompress(m + b"\0") for m in arc_to_warc._member(b"abc" * 50_000, 20_000)) == b"abc" * 50_000
+    rng = random.Random(1)
+    bodies = [bytes(rng.randrange(256) for _ in range(rng.choice([0, 10, 5_000, 50_000]))) for _ in range(30)]
+    archive = arc_to_warc.build_arc([(f"http://h/{i}\u3000\u00a0", "20080601", "image/png", b) for i, b in enumerate(bodies)], 2)
+    frame = spark.createDataFrame([(bytearray(archive), None), (bytearray(archive), list(range(30))), (None, None)], "content binary, keys array<long>")
+    path = str(tmp_path / "w")
+    arc_to_warc.write_warc(arc_to_warc.with_revisits(written(arc_to_warc.convert_arc(frame).coalesce(1))), path, 30_000)
+    files = sorted(p for p in (tmp_path / "w").rglob("part-*"))
+    assert len(files) > 5
+    seen = []
+    for f in files:
+        data, first = f.read_bytes(), True
+        while data:  # member by member
+            member = zlib.decompressobj(31)
+            text = member.decompress(data) + member.flush()
+            assert member.eof and (not first or text.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo"))
+            data, first = member.unused_data, False
+        seen += [(h, b) for h, b in arc_to_warc.parse_warc(gzip.open(f))]
+    blocks = [b for h, b in seen if h["warc-type"] == "response"]
+    assert sorted(blocks) == sorted(bodies * 2) and {h["warc-target-uri"] for h, _ in seen if h["warc-type"] != "warcinfo"} == {f"http://h/{i}%E3%80%80%C2%A0" for i in range(30)}
+    assert arc_to_warc.convert_arc(frame.limit(0)).count() == 0
+
+
 def test_warc_stream_is_read_by_length():
     record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 4\r\n\r\n\r\n\r\n\r\n\r\n"
     assert [b for _, b in arc_to_warc.parse_warc(io.BytesIO(record * 2))] == [b"\r\n\r\n"] * 2

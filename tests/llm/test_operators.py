@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import arc_to_warc, catalogue, decontamination, embedding_neighbours, license_scan, linkage, main_text, mixing, near_duplicates, personal_data, quality, sharding
+from quern.llm import arc_to_warc, catalogue, decontamination, embedding_neighbours, license_scan, license_texts, linkage, main_text, mixing, near_duplicates, personal_data, quality, sharding
 from quern.llm.spark_io import written
 from quern.llm.words import Words, text_slices
 
@@ -427,18 +427,50 @@ def test_quality_of_odd_rows(spark):
 # --- 8: licenses
 
 
-def test_licenses(spark):
-    grant = license_scan.TEMPLATES[0][1]
-    texts = [*ODD, "Released UNDER the MIT-license; under the mit license", grant.replace("obtaining a copy", "obtaining one very own copy"), "cc by nc by cc cc by nc", "apache license version", "under the mit x license"]
-    rows = {r["doc_id"]: r for r in license_scan.license_spans(doc_frame(spark, texts)).collect()}
-    n = len(ODD)
+def spans_of(spark, texts):
+    out = {i: [] for i in range(len(texts))}
+    for r in license_scan.license_spans(doc_frame(spark, texts)).collect():
+        out[r["doc_id"]].append(r)
+    return out
+
+
+def test_license_phrases(spark):
+    texts = [*ODD, "Released UNDER the MIT-license; under the mit license", "cc by nc by cc cc by nc", "apache license version", "under the mit x license", "cc by nc " * 2000]
+    rows = {r["doc_id"]: r for r in license_scan.license_scan(doc_frame(spark, texts)).collect()}
+    spans = spans_of(spark, texts)
     for i, t in enumerate(texts):
         w = brute.words(t)
-        want = sorted(p for phrase in license_scan.PHRASES for p in range(len(w)) if w[p : p + len(phrase.split())] == phrase.split())
-        assert rows[i]["n_words"] == len(w)
-        assert sorted(s["start"] for s in rows[i]["spans"] if s["exact"]) == want
-    assert {s["label"] for s in rows[n + 1]["spans"]} == {"mit"} and rows[n + 1]["spans"][0]["score"] > 0.6
-    assert license_scan.license_spans(doc_frame(spark, [])).count() == 0
+        want = sorted(p for phrase in license_texts.PHRASES for p in range(len(w)) if w[p : p + len(phrase.split())] == phrase.split())
+        assert sorted(s["start"] for s in spans[i] if s["exact"]) == want
+        assert (rows[i]["n_words"], rows[i]["n_base"], rows[i]["first_word"], rows[i]["last_word"]) == (len(w), len(want), min(want, default=None), max(want, default=None))
+    assert rows[0]["labels"] == "" and rows[0]["score"] == 0
+    assert license_scan.license_scan(doc_frame(spark, [])).count() == 0
+
+
+def test_licenses_and_versions_are_told_apart(spark):
+    rng = random.Random(3)
+    whole = {(label, i): text for i, (label, text, _) in enumerate(license_texts.TEMPLATES)}
+    mit, gpl = license_texts.TEMPLATES[1][1], "Licensed under the GNU General Public License version "
+    lgpl = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"
+    cases = [(f"{sentence(rng, 30)}. {text} {sentence(rng, 30)}", label) for (label, _), text in whole.items()]
+    edited = []
+    for (label, i), text in whole.items():
+        w = text.split()
+        if len(w) > 60 and "version" not in text.lower():
+            for at in (15, 40, 55):
+                w[at:at] = ["put", "in"]
+            edited.append((" ".join(w), label))
+    cases += edited
+    cases += [
+        (f"this is {gpl.lower()}2", "gpl-2"), (gpl + "3", "gpl-3"), (lgpl, "lgpl"), (lgpl.replace("Lesser ", ""), "gpl"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
+        ("permission is hereby " * 11, ""), ("permission is hereby " * 40 + mit, "mit"), (mit.replace("obtaining a copy", "obtaining one very own copy"), "mit"),
+        ("permission is hereby granted free", ""), (sentence(rng, 500), ""),
+    ]
+    rows = {r["doc_id"]: r for r in license_scan.license_scan(doc_frame(spark, [t for t, _ in cases])).collect()}
+    for i, (text, label) in enumerate(cases):
+        assert rows[i]["labels"] == label, (text[:120], label, rows[i]["labels"])
 
 
 # --- 9: embeddings

@@ -149,18 +149,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _blocks(thin: DataFrame, classes: bool, first: bool, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(rep, tree, own, lo, hi, gid) of the nodes of ``thin`` (rep, kind, tree, node) that may bring a pair, and (n, who) of these nodes."""
+    later = classes and not first
+    counted = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who"), F.min("kind").alias("low"), F.max("kind").alias("high")]
+    each = thin.groupBy("tree", "node").agg(*counted).where("low <> high" if later else "n > 1")
     # nodes with the same rows as a node of an earlier tree bring no further pair
-    counted = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who")]
-    each = thin.groupBy("tree", "node", *(["kind"] if classes and not first else [])).agg(*counted)
-    if classes and not first:
-        each = each.groupBy("tree", "node").agg(F.sum("n").alias("n"), F.bit_xor("who").alias("who"), F.count(F.lit(1)).alias("kinds"), F.max(F.struct("n", "kind")).alias("most")).where("kinds > 1")
-    else:
-        each = each.where("n > 1").withColumn("most", F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("kind")))
-    sizes = each.groupBy("n", "who").agg(F.min(F.struct("tree", "node", "most")).alias("k"))
+    sizes = each.groupBy("n", "who").agg(F.min(F.struct("tree", "node")).alias("k"))
     if done is not None:
         sizes = sizes.join(done, ["n", "who"], "left_anti")
-    sizes = written(sizes.select("k.tree", "k.node", "n", "who", F.col("k.most.n").alias("n_most"), F.col("k.most.kind").alias("most")))
+    sizes = written(sizes.select("k.tree", "k.node", "n", "who"))
     rows = thin.join(small_or_not(sizes.drop("who")), ["tree", "node"])
+    if later:  # the largest class of each node that has more than a block
+        large = small_or_not(written(sizes.where(F.col("n") > BLOCK).select("tree", "node")))
+        most = thin.join(large, ["tree", "node"]).groupBy("tree", "node", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("tree", "node").agg(F.max(F.struct("n", "kind")).alias("most"))
+        most = small_or_not(written(most.select("tree", "node", F.col("most.n").alias("n_most"), F.col("most.kind").alias("most"))))
+        rows = rows.join(most, ["tree", "node"], "left")
     hashed = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     count = lambda n: F.ceil(n / BLOCK).cast("int")
     one = F.lit(0)
@@ -174,7 +176,7 @@ def _blocks(thin: DataFrame, classes: bool, first: bool, done: DataFrame | None)
     else:
         # the largest class of a node is split by itself, and its blocks meet those of the other rows only
         whole, big = F.col("n") <= BLOCK, F.col("kind") == F.col("most")
-        few, many = F.greatest(one + 1, count(F.col("n") - F.col("n_most"))), F.greatest(one + 1, count(F.col("n_most")))
+        few, many = F.greatest(F.lit(1), count(F.col("n") - F.col("n_most"))), F.greatest(F.lit(1), count(F.col("n_most")))
         own = F.when(whole, 0).when(big, few + hashed(many)).otherwise(hashed(few))
         others = F.when(whole, F.array(one)).when(big, F.sequence(one, few - 1)).otherwise(F.sequence(one, few + many - 1))
         rows = rows.withColumn("own", own).withColumn("other", F.explode(others))

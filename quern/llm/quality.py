@@ -3,7 +3,7 @@
 Words and runs of punctuation are tokens; single tokens and pairs of neighbours are hashed into
 2^18 features, counted, and scaled by the root of their number.  All pairs of equal neighbours are
 one feature, whatever the word, and so are those of equal words two apart: stuttering shows in any
-vocabulary.  Training reads a bounded sample of labelled rows; scoring is one sparse dot product a
+vocabulary.  That is a choice made for repeated junk, beside the plain n-grams (``stutter`` turns it off).  Training reads a bounded sample of labelled rows; scoring is one sparse dot product a
 document.
 """
 
@@ -31,6 +31,7 @@ class QualityConfig:
     """``sample``: labelled rows to learn from, at most; ``alpha``, ``beta``, ``l1``, ``l2``: of the updates."""
 
     bits: int = 18
+    stutter: bool = True
     sample: int = 12_000
     epochs: int = 3
     alpha: float = 0.3
@@ -40,7 +41,7 @@ class QualityConfig:
     threshold: float = 0.3
 
 
-def _features(data: np.ndarray, offs: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _features(data: np.ndarray, offs: np.ndarray, bits: int, stutter: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, documents of theirs, number of features a document) of a slice of texts."""
     words = Words(data, offs, kind=_KIND, lower=False)
     n = len(words.counts)
@@ -48,9 +49,9 @@ def _features(data: np.ndarray, offs: np.ndarray, bits: int) -> tuple[np.ndarray
     h, left = words.hashes, words.left()
     pairs = words.grams(2)
     real = pairs != NO_GRAM
-    again = np.flatnonzero((h[:-1] == h[1:]) & (left[:-1] > 1))
+    again = np.flatnonzero((h[:-1] == h[1:]) & (left[:-1] > 1) & stutter)
     pairs[again] = _AGAIN
-    apart = np.flatnonzero((h[:-2] == h[2:]) & (left[:-2] > 2))
+    apart = np.flatnonzero((h[:-2] == h[2:]) & (left[:-2] > 2) & stutter)
     index = np.concatenate([h, pairs[real], np.full(len(apart), _APART)]) >> np.uint64(64 - bits)
     where = np.concatenate([doc, doc[real], doc[apart]])
     return index.astype(np.int64), where, np.bincount(where, minlength=n)
@@ -62,7 +63,7 @@ def _train(config: QualityConfig):
         for batch in batches:
             y = np.asarray(batch.column(0)).astype(float)
             for lo, data, offs in text_slices(batch.column(1)):
-                index, where, count = _features(data, offs, config.bits)
+                index, where, count = _features(data, offs, config.bits, config.stutter)
                 order = np.argsort(where, kind="stable")
                 parts = np.split(index[order], np.cumsum(count)[:-1])
                 for d, part in enumerate(parts):
@@ -113,7 +114,7 @@ def _score(model: bytes, config: QualityConfig):
         for batch in batches:
             scores = np.zeros(batch.num_rows)
             for lo, data, offs in text_slices(batch.column(1)):
-                index, where, count = _features(data, offs, config.bits)
+                index, where, count = _features(data, offs, config.bits, config.stutter)
                 dot = np.bincount(where, w[index], minlength=len(count)) / np.sqrt(np.maximum(count, 1))
                 scores[lo : lo + len(count)] = 1 / (1 + np.exp(-np.clip(dot + w[-1], -35, 35)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["key", "score"])

@@ -463,6 +463,50 @@ def test_quality_of_held_out_documents(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in scored.collect())
 
 
+def plain_ftrl(rows, config):
+    """A scoring function, learned by the published updates over features as they are, not hashed."""
+    kind = re.compile("[0-9A-Za-z\x80-\U0010ffff]+|[!-/:-@\\[-`{-~]+")
+
+    def features(text):
+        w = kind.findall(text)
+        found = Counter(w) + Counter(("again",) if a == b else (a, b) for a, b in zip(w, w[1:])) + Counter(("apart",) for a, b in zip(w, w[2:]) if a == b)
+        n = math.sqrt(max(1, sum(found.values())))
+        return {**{f: c / n for f, c in found.items()}, None: 1.0}
+
+    z, n = Counter(), Counter()
+
+    def weight(f):
+        if abs(z[f]) <= config.l1:
+            return 0.0
+        return (math.copysign(config.l1, z[f]) - z[f]) / ((config.beta + math.sqrt(n[f])) / config.alpha + config.l2)
+
+    say = lambda x: 1 / (1 + math.exp(-sum(weight(f) * v for f, v in x.items())))
+    known = [(features(t), y) for t, y in rows]
+    for _ in range(config.epochs):
+        for x, y in known:
+            w, p = {f: weight(f) for f in x}, say(x)
+            for f, v in x.items():
+                g = (p - y) * v
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / config.alpha * w[f]
+                n[f] += g * g
+    return lambda text: say(features(text))
+
+
+def test_quality_is_plain_ftrl(spark):
+    rng = random.Random(4)
+    good = [f"{sentence(rng, rng.randrange(3, 40), 60)}." for _ in range(60)]
+    bad = [" ".join(rng.choice(["w1 w1", "##", "buy", f"w{rng.randrange(60)}", "x a x"]) for _ in range(rng.randrange(3, 40))) for _ in range(60)]
+    docs = doc_frame(spark, [*good, *bad, *ODD])
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(0, 120, 2)], "doc_id long, quality int")
+    config = quality.QualityConfig()
+    scores = {r["doc_id"]: r["score"] for r in quality.score(docs, quality.train(docs, labels, config), config).collect()}
+    order = [r["doc_id"] for r in labels.orderBy(F.xxhash64(F.lit(1), "doc_id")).collect()]
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    say = plain_ftrl([(texts[i], int(i < 60)) for i in order], config)
+    assert all(abs(scores[i] - say(texts[i])) < 1e-3 for i in texts)
+    assert min(scores[i] for i in range(60)) > max(scores[i] for i in range(60, 120)) - 0.5
+
+
 def test_quality_of_odd_rows(spark):
     docs = doc_frame(spark, [*ODD, *["fine words here"] * 5, *["%%% ###"] * 5])
     n = len(ODD)

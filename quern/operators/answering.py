@@ -48,17 +48,32 @@ def answer(routed: DataFrame, contexts: DataFrame, group: str, generator: Genera
     return joined.withColumn("answer", F.coalesce("reply", made))
 
 
-def sse_events(answers: DataFrame, key: str, text: str = "answer") -> DataFrame:
-    """(key, seq, event): an answer as a stream of events, one a token and ``done`` at the end."""
-    tokens = F.split(F.col(text), r"(?<=\s)")
-    each = answers.select(key, F.posexplode(F.concat(tokens, F.array(F.lit(None).cast("string")))).alias("seq", "token"))
-    payload = F.when(F.col("token").isNull(), F.to_json(F.struct(F.lit("done").alias("type")))).otherwise(F.to_json(F.struct(F.lit("token").alias("type"), F.col("token").alias("token"))))
-    return each.select(key, "seq", F.concat(F.lit("data: "), payload, F.lit("\n\n")).alias("event"))
+def sse_events(answers: DataFrame, key: str, text: str = "answer", sources: str | None = None, session: str | None = None, failed: str | None = None) -> DataFrame:
+    """(key, seq, event): an answer as a stream of events: ``sources`` first (with the session's id), one event a token, and ``done`` at the end.
+
+    ``sources`` (an array of structs), ``session`` and ``failed`` are columns.  Where ``failed`` has a message, an
+    ``error`` event with it ends the stream instead of ``done``; a null answer has no tokens.
+    """
+    said = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"(?<=\s)"), lambda t: t != "")
+    tokens = F.transform(said, lambda t: F.to_json(F.struct(F.lit("token").alias("type"), t.alias("token"))))
+    start = F.struct(F.lit("sources").alias("type"), *([F.col(sources).alias("sources")] if sources else []), *([F.col(session).alias("session_id")] if session else []))
+    first = F.array(F.to_json(start)) if sources or session else F.array().cast("array<string>")
+    done = F.to_json(F.struct(F.lit("done").alias("type")))
+    last = done if failed is None else F.when(F.col(failed).isNull(), done).otherwise(F.to_json(F.struct(F.lit("error").alias("type"), F.col(failed).alias("message"))))
+    each = answers.select(key, F.posexplode(F.concat(first, tokens, F.array(last))).alias("seq", "payload"))
+    return each.select(key, "seq", F.concat(F.lit("data: "), "payload", F.lit("\n\n")).alias("event"))
 
 
 def reassemble(events: DataFrame, key: str) -> DataFrame:
-    """(key, answer, complete): what a client puts together from the events."""
-    parsed = F.from_json(F.regexp_extract("event", r"(?s)^data: (.*?)\n\n$", 1), "type string, token string, message string")
-    each = events.withColumn("e", parsed)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("e.type") == "token", F.struct("seq", F.col("e.token").alias("token"))))), lambda x: x["token"]), "")
-    return each.groupBy(key).agg(text.alias("answer"), F.max(F.col("e.type") == "done").alias("complete"))
+    """(key, answer, complete, sources, session_id, error): what a client puts together from the events; ``sources`` as JSON."""
+    body = F.regexp_extract("event", r"(?s)^data: (.*?)\n\n$", 1)
+    each = events.withColumn("e", F.from_json(body, "type string, token string, message string, session_id string")).withColumn("sources", F.get_json_object(body, "$.sources"))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("e.type") == "token", F.struct("seq", F.col("e.token").alias("token")))))
+    text = F.array_join(F.transform(ordered, lambda x: x["token"]), "")
+    return each.groupBy(key).agg(
+        text.alias("answer"),
+        F.max(F.col("e.type") == "done").alias("complete"),
+        F.max("sources").alias("sources"),
+        F.max("e.session_id").alias("session_id"),
+        F.max_by("e.message", F.when(F.col("e.type") == "error", F.col("seq"))).alias("error"),
+    )

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
 from .lexical import terms, top_k
+from .store import written
 
 #: Prefixes of what is embedded; lexical search takes the bare text.
 QUERY_PREFIX, PASSAGE_PREFIX = "query: ", "passage: "
@@ -21,8 +22,32 @@ BLOCK = 4096
 
 
 class Encoder(Protocol):
-    def __call__(self, text: Column) -> Column:
-        """ARRAY<DOUBLE> of a text."""
+    def __call__(self, texts: DataFrame, id_col: str, prefix: str) -> DataFrame:
+        """(id, vector) of ``texts`` (id, text); ``prefix`` tells a model whether it sees a query or a passage."""
+
+
+def model_encoder(load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Encoder:
+    """An encoder of a model: ``load`` runs once a task and returns what turns a list of texts into rows of vectors.  A null text has no vector."""
+
+    def encode(texts: DataFrame, id_col: str, prefix: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = load()
+            for batch in batches:
+                own = [t is not None for t in batch.column(1).to_pylist()]
+                ids, found = batch.column(0).filter(pa.array(own, pa.bool_())), [prefix + t for t in batch.column(1).to_pylist() if t is not None]
+                if found:
+                    vectors = pa.array(np.asarray(model(found), np.float64).tolist(), pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([ids, vectors], [id_col, "vector"])
+
+        kind = texts.schema[id_col].dataType.simpleString()
+        return texts.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kind}, vector array<double>")
+
+    return encode
+
+
+def hashed_encoder(texts: DataFrame, id_col: str, prefix: str) -> DataFrame:
+    """The default encoder; a bag of words has no use for the prefix."""
+    return bucket_vectors(texts, id_col)
 
 
 def bucket_weights(docs: DataFrame, id_col: str, text_col: str = "text", dim: int = SETTINGS.dense_dim) -> DataFrame:
@@ -87,8 +112,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     is one matrix product that keeps k rows a query.
     """
     schema = "dim int, ids array<long>, data binary"
-    q = queries.mapInArrow(_packed, schema).select("dim", F.col("ids").alias("qids"), F.col("data").alias("qdata"))
+    q = written(queries.mapInArrow(_packed, schema)).select("dim", F.col("ids").alias("qids"), F.col("data").alias("qdata"))
     x = vectors.mapInArrow(_packed, schema)
-    pairs = q.join(x, "dim").select("dim", "qids", "qdata", "ids", "data")
-    found = pairs.mapInArrow(_nearest(k), "query_id long, id long, score double")
+    # blocks of vectors are dealt to parts, and each block of queries goes to all of them
+    parts = 4 * queries.sparkSession.sparkContext.defaultParallelism
+    dealt = x.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)))
+    pairs = dealt.join(q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), ["dim", "part"])
+    found = pairs.select("dim", "qids", "qdata", "ids", "data").mapInArrow(_nearest(k), "query_id long, id long, score double")
     return top_k(found, "query_id", "score", "id", k)

@@ -12,15 +12,17 @@ from ..functions.text import chunk_id
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in ``spark.checkpoint.dir``; a temporary one is set where the session has none."""
+    """A new folder in ``spark.checkpoint.dir``; where the session has none, a local one gets a temporary folder, and on a cluster it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             root = known.get()
-        else:
+        elif spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local["):
             root = tempfile.mkdtemp(prefix="spark-quern-")
             spark.sparkContext.setCheckpointDir(root)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{root}/quern-{uuid.uuid4().hex}"
 
 

@@ -11,20 +11,20 @@ from pyspark.sql import functions as F
 from ..config import SETTINGS, Settings
 from ..functions import text as T
 from ..operators import answering, dense, fusion, lexical, rerank
-from ..operators.routing import route
+from ..operators.routing import route, valid_request
 
 
-def hybrid(questions: DataFrame, chunks: DataFrame, k: int, settings: Settings = SETTINGS) -> DataFrame:
+def hybrid(questions: DataFrame, chunks: DataFrame, k: int, settings: Settings = SETTINGS, encoder: dense.Encoder = dense.hashed_encoder) -> DataFrame:
     """(question_id, chunk_key, score, rank): lexical and dense lists of twice ``k``, fused.
 
     ``questions`` has a long ``question_id`` and ``text``, ``chunks`` a long ``chunk_key`` and ``text``.
     """
     sparse = lexical.bm25(chunks, questions, 2 * k, settings, "chunk_key", "question_id")
-    near = dense.nearest(dense.bucket_vectors(questions, "question_id", dim=settings.dense_dim), dense.bucket_vectors(chunks, "chunk_key", dim=settings.dense_dim), 2 * k)
+    near = dense.nearest(encoder(questions, "question_id", dense.QUERY_PREFIX), encoder(chunks, "chunk_key", dense.PASSAGE_PREFIX), 2 * k)
     return fusion.reciprocal_rank([sparse, near.withColumnsRenamed({"query_id": "question_id", "id": "chunk_key"})], "question_id", "chunk_key", k, settings.rrf_k)
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, settings: Settings = SETTINGS, use_hybrid: bool = True, exhaustive: bool = False, scorer: rerank.Scorer = rerank.overlap_logit) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame, settings: Settings = SETTINGS, use_hybrid: bool = True, exhaustive: bool = False, scorer: rerank.Scorer = rerank.overlap_logit, encoder: dense.Encoder = dense.hashed_encoder) -> DataFrame:
     """The best chunks of every question: (question_id, chunk_key, score, rerank_score, rank) with the chunk's columns.
 
     ``questions`` may have a ``translated`` text, searched as a second variant where the first
@@ -32,7 +32,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, settings: Settings = SETTI
     itself, cut by the threshold, and at most ``top_k`` stay.
     """
     k = settings.candidate_k
-    search = (lambda q: hybrid(q, chunks, k, settings)) if use_hybrid else (lambda q: lexical.bm25(chunks, q, k, settings, "chunk_key", "question_id"))
+    search = (lambda q: hybrid(q, chunks, k, settings, encoder)) if use_hybrid else (lambda q: lexical.bm25(chunks, q, k, settings, "chunk_key", "question_id"))
     found = search(questions.select("question_id", "text"))
     if "translated" in questions.columns:
         variants = fusion.query_variants(F.col("text"), F.col("translated"), settings.max_variants)
@@ -45,10 +45,11 @@ def retrieve(questions: DataFrame, chunks: DataFrame, settings: Settings = SETTI
 def answer_questions(questions: DataFrame, chunks: DataFrame, settings: Settings = SETTINGS, generator: answering.Generator = answering.extractive_answer, **options) -> DataFrame:
     """``questions`` (question_id, question) with route, language, answer and sources.
 
-    Only questions that no fixed reply settles are searched.  ``cacheable`` tells which answers
+    Only questions that no fixed reply settles, and whose lengths are in range, are searched.  ``cacheable`` tells which answers
     may be cached: those made from chunks, for questions without a history.
     """
-    routed = route(questions)
+    session = F.col("session_id") if "session_id" in questions.columns else F.lit(None).cast("string")
+    routed = route(questions).withColumn("route", F.when(valid_request(F.col("question"), session), F.col("route")).otherwise("invalid"))
     asked = routed.where("route = 'retrieve'").select("question_id", F.col("clean").alias("text"), *[c for c in ("translated",) if c in questions.columns])
     hits = retrieve(asked, chunks, settings, **options)
     known = set(chunks.columns)

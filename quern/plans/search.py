@@ -191,6 +191,16 @@ SELECT total, hits, round(coalesce(hits / nullif(total, 0), 0), 6) AS rate, coal
 FROM (SELECT (SELECT count(*) FROM asked) AS total, (SELECT count(DISTINCT case_id) FROM h WHERE case_id = doc_id) AS hits)"""
 
 
+def retrieval_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best lexical hits of every question, as a person looks at them; documents have no title."""
+    hits = lexical.bm25(_docs(spark, sf_dir), _questions(spark, sf_dir), SETTINGS.top_k).join(_docs(spark, sf_dir), "doc_id").withColumn("title", F.lit(None).cast("string"))
+    return evaluate.diagnostics(hits, "item_id")
+
+
+DIAGNOSTICS_SQL = rf"""WITH {_POSTS}, {_bm25('h', 'benchmark', 'item_id', SETTINGS.top_k)}
+SELECT item_id, rank, score, source, CAST(NULL AS VARCHAR) AS title, substr(regexp_replace(text, '\s+', ' ', 'g'), 1, 90) AS snippet FROM h JOIN documents USING (doc_id)"""
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark questions from route to answer, with the offline generator."""
     routed = route(_questions(spark, sf_dir).withColumnRenamed("text", "question"))
@@ -211,6 +221,7 @@ QUERIES = {
     "extract_sources": extract_sources,
     "build_context": build_context,
     "eval_hit_rate": eval_hit_rate,
+    "retrieval_diagnostics": retrieval_diagnostics,
     "answers": answers,
 }
 ORACLES = {
@@ -226,4 +237,5 @@ ORACLES = {
     "extract_sources": SOURCES_SQL,
     "build_context": CONTEXT_SQL,
     "eval_hit_rate": HIT_SQL,
+    "retrieval_diagnostics": DIAGNOSTICS_SQL,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import SETTINGS
 from ..functions import patterns as P
 from ..functions import text as T
+from ..operators.store import written
 from ..operators import answering, chunking, crawl, routing, state, tables
 from ..sources import html
 from . import fixtures as X
@@ -163,7 +164,25 @@ def request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The assistant's turns as events, and put together again."""
     turns = read(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("answer"))
-    return answering.reassemble(answering.sse_events(turns, "id"), "id")
+    return answering.reassemble(answering.sse_events(turns, "id"), "id").select("id", "answer", "complete")
+
+
+def sse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assistant's turns as events, with sources and the session's id; every seventh turn ends with an error."""
+    turns = read(spark, sf_dir, "conversations").where("role = 'assistant'").select(
+        F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        F.col("text").alias("answer"),
+        F.array(F.struct(F.concat(F.lit("conv/"), "conv_id").alias("source"))).alias("sources"),
+        F.col("conv_id").cast("string").alias("session"),
+        F.when(F.col("turn") % 7 == 0, "the model failed").alias("failed"),
+    )
+    return answering.sse_events(turns, "id", sources="sources", session="session", failed="failed")
+
+
+SSE_SQL = r"""WITH e AS (SELECT conv_id || '/' || turn AS id, list_concat(['{"type":"sources","sources":[{"source":"conv/' || conv_id || '"}],"session_id":"' || conv_id || '"}'],
+  list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '\S*\s|\S+'), lambda x: x <> ''), lambda x: '{"type":"token","token":' || CAST(to_json(x) AS VARCHAR) || '}'),
+  [CASE WHEN turn % 7 = 0 THEN '{"type":"error","message":"the model failed"}' ELSE '{"type":"done"}' END]) AS p FROM conversations WHERE role = 'assistant')
+SELECT id, CAST(unnest(range(0, len(p))) AS INT) AS seq, 'data: ' || unnest(p) || chr(10) || chr(10) AS event FROM e"""
 
 
 def markdown_render(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +206,9 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = X.frame(spark, X.LINKS, "src string, dst string").unionByName(html.link_table(html.extract_pages(read(spark, sf_dir, "pages"))).select(F.col("url").alias("src"), F.col("link").alias("dst")))
+    # pages are parsed once, not at every level
+    found = written(html.link_table(html.extract_pages(read(spark, sf_dir, "pages"))).select(F.col("url").alias("src"), F.col("link").alias("dst")))
+    links = X.frame(spark, X.LINKS, "src string, dst string").unionByName(found)
     return crawl.crawl(links, X.frame(spark, [("http://x.mk/",)], "url string"), 3, crawl.within("www.x.mk"))
 
 
@@ -265,6 +286,7 @@ QUERIES = {
     "cache_stats": cache_stats,
     "request_metrics": request_metrics,
     "sse_roundtrip": sse_roundtrip,
+    "sse_events": sse_events,
     "markdown_render": markdown_render,
     "html_extract": html_extract,
     "html_links": html_links,
@@ -287,6 +309,7 @@ ORACLES = {
     "cache_ttl_hits": f"WITH RECURSIVE {_CACHE} SELECT event_id, hit FROM r",
     "cache_stats": f"WITH RECURSIVE {_CACHE} SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(avg(CAST(hit AS INT)), 3) AS hit_rate FROM r",
     "request_metrics": "SELECT count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, round(avg(value), 1) AS avg_latency_ms FROM events",
+    "sse_events": SSE_SQL,
     "sse_roundtrip": "SELECT conv_id || '/' || turn AS id, text AS answer, TRUE AS complete FROM conversations WHERE role = 'assistant'",
     "markdown_render": MARKDOWN_SQL,
     "crawl_bfs": CRAWL_SQL,

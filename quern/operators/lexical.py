@@ -11,9 +11,11 @@ from .store import written
 #: Terms of questions in a broadcast, at most; more are scored by a shuffled join.
 BROADCAST_TERMS = 200_000
 #: Pairs of a question's term and a posting that are scored as they are, at most; of more, only documents that can still be among the best.
-DIRECT_ROWS = 1_000_000
+DIRECT_ROWS = 50_000_000
 #: A question's rarest terms are scored first: those with this many postings together, for each document wanted.
 SEED_POSTINGS = 50
+#: And of what they find, so many documents for each one wanted are scored in full.
+SEED_DOCUMENTS = 4
 #: What rounding and the order of sums may add to a score.
 _SLACK = 1e-3
 
@@ -49,8 +51,8 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int, settings: Settings = SET
     """(question, id, score, rank): the k best documents of every question, exactly.
 
     Documents are read once, into postings of the questions' terms (and one row a document, for the
-    corpus's size).  Where these are many, the k-th best score by each question's rarest terms is a bound
-    that its k-th best document reaches; terms that can't reach it together (by the greatest contribution of each) need not be looked up to
+    corpus's size).  Where these are many, the best documents by each question's rarest terms are scored in full, and the k-th
+    of these scores is a bound that its k-th best document reaches; terms that can't reach it together (by the greatest contribution of each) need not be looked up to
     find candidates, so what very frequent terms alone bring is never scored.
     """
     asked = written(questions.select(question_id, F.explode(terms(F.col("text"))).alias("term")).groupBy(question_id, "term").agg(F.count(F.lit(1)).alias("qtf")))
@@ -72,7 +74,9 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int, settings: Settings = SET
         rare = Window.partitionBy(question_id).orderBy("df", "term")
         seeds = weighted.withColumns({"upto": F.sum("df").over(rare), "nth": F.row_number().over(rare)}).where((F.col("nth") == 1) | (F.col("upto") <= SEED_POSTINGS * k))
         best = Window.partitionBy(question_id).orderBy(F.desc("sum"))
-        reached = summed(seeds).withColumn("nth", F.row_number().over(best)).where(F.col("nth") == k).select(question_id, (F.col("sum") - _SLACK).alias("reached"))
+        first = summed(seeds).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= SEED_DOCUMENTS * k).select(question_id, id_col)
+        whole = first.join(hint(weighted.select(question_id, "term", "w")), question_id).join(posts.select(id_col, "term", "part"), [id_col, "term"]).groupBy(question_id, id_col).agg(F.sum(F.col("w") * F.col("part")).alias("sum"))
+        reached = whole.withColumn("nth", F.row_number().over(best)).where(F.col("nth") == k).select(question_id, (F.col("sum") - _SLACK).alias("reached"))
         low = Window.partitionBy(question_id).orderBy("bound", "term")
         split = weighted.join(reached, question_id, "left").withColumn("upto", F.sum("bound").over(low)).withColumn("idle", F.coalesce(F.col("upto") < F.col("reached"), F.lit(False)))
         split = written(split)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,25 @@ def extractive_answer(question: Column, context: Column, lang: Column) -> Column
     return F.nullif(F.regexp_extract(context, r'<doc id="1"[^>]*>\n([^\n]*)', 1), F.lit(""))
 
 
+def model_generator(load: Callable[[], Callable[[str, str, str], str | None]]) -> Generator:
+    """A generator of a model: ``load`` runs once a task and returns what answers a question from a context in a language; what it fails on is null."""
+
+    @F.pandas_udf("string")
+    def generate(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+
+        def one(question: str | None, context: str | None, lang: str | None) -> str | None:
+            try:
+                return None if context is None else model(question or "", context, lang or "")
+            except Exception:  # one question's failure is its own
+                return None
+
+        for question, context, lang in rows:
+            yield pd.Series([one(*x) for x in zip(question, context, lang, strict=True)], dtype="object")
+
+    return lambda question, context, lang: generate(question, context, lang)
+
+
 def answer(routed: DataFrame, contexts: DataFrame, group: str, generator: Generator = extractive_answer) -> DataFrame:
     """``routed`` questions with ``answer``: the fixed reply, or the generator's, or that there is no information."""
     joined = routed.join(contexts, group, "left")

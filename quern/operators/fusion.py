@@ -44,3 +44,15 @@ def distinct_sources(hits: DataFrame, group: str, rank: str = "rank") -> DataFra
     same = Window.partitionBy(group, "source", "article_no").orderBy(rank)
     first = hits.withColumn("source", or_else(F.col("source"), F.lit("?"))).withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
     return first.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(rank)) - 1)
+
+
+def search_status(attempts: DataFrame, hits: DataFrame, group: str) -> DataFrame:
+    """(group, status) of ``attempts`` (group, failed), a row a variant searched.
+
+    ``unavailable`` where all variants failed; else ``found`` or, without hits, ``empty``: one variant that
+    worked is enough.  An attempt without a word of failure worked.
+    """
+    tried = attempts.groupBy(group).agg(F.min(F.coalesce("failed", F.lit(False))).alias("_down"))
+    held = hits.select(group).distinct().withColumn("_hit", F.lit(True))
+    status = F.when(F.col("_down"), "unavailable").when(F.col("_hit"), "found").otherwise("empty")
+    return tried.join(held, group, "left").select(group, status.alias("status"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,24 @@ def overlap_logit(question: Column, passage: Column) -> Column:
     return F.when(F.size(asked) == 0, F.lit(-4.0)).otherwise(8.0 * shared / F.size(asked) - 4.0)
 
 
+def model_scorer(load: Callable[[], Callable[[list[str], list[str]], list[float]]]) -> Scorer:
+    """A scorer of a model: ``load`` runs once a task and returns what turns questions and passages into logits.
+
+    A batch that the model fails on has null scores, and so keeps the search's order.
+    """
+
+    @F.pandas_udf("double")
+    def score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for question, passage in pairs:
+            try:
+                yield pd.Series(model(question.fillna("").tolist(), passage.fillna("").tolist()), dtype="float64")
+            except Exception:  # a failed model filters nothing
+                yield pd.Series([None] * len(question), dtype="float64")
+
+    return lambda question, passage: score(question, passage)
+
+
 def rerank(candidates: DataFrame, group: str, id_col: str, question: str = "question", passage: str = "passage", scorer: Scorer = overlap_logit, settings: Settings = SETTINGS) -> DataFrame:
     """The best ``top_k`` candidates of every group, by the sigmoid of the scorer's logit.
 

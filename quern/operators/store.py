@@ -82,6 +82,11 @@ class ChunkTable:
             raise
         return self.spark.read.parquet(f"{self.path}/{pointer.first()[0]}")
 
+    def ensure(self, schema: str) -> DataFrame:
+        """The current version, or an empty first one with these columns."""
+        old = self.current()
+        return self.publish(self.spark.createDataFrame([], schema)) if old is None else old
+
     def publish(self, rows: DataFrame) -> DataFrame:
         version = f"v-{uuid.uuid4().hex}"
         rows.repartition("source").sortWithinPartitions("source").write.parquet(f"{self.path}/{version}")

@@ -29,9 +29,15 @@ def pdf_documents(spark: SparkSession, root: str, extractor: documents.Extractor
     return read.withColumns({"doc_type": F.lit("pdf"), "lang": F.lit("mk"), "_f": T.folder_metadata(F.col("source"))}).select("*", "_f.*").drop("_f")
 
 
-def web_documents(pages: DataFrame) -> DataFrame:
-    """The same of fetched pages (page_id, url, html); a page without text is an error."""
+def web_documents(pages: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """The same of fetched pages (page_id, url, html); a page without text is an error.
+
+    A page whose address is that of one of ``sources`` (url, title), to the letter, has the title given there, if any.
+    """
     read = html.extract_pages(pages)
+    if sources is not None:
+        given = sources.where("title <> ''").groupBy("url").agg(F.min("title").alias("_given"))
+        read = read.join(given, "url", "left").withColumn("title", F.coalesce("_given", "title")).drop("_given")
     none = F.lit(None).cast("string")
     return read.select(
         F.col("url").alias("source"), F.nullif(F.col("text"), F.lit("")).alias("text"), F.when(F.col("text") == "", "no text").alias("error"),

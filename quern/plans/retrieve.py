@@ -42,11 +42,12 @@ def retrieve(questions: DataFrame, chunks: DataFrame, settings: Settings = SETTI
     return rerank.rerank(candidates, "question_id", "chunk_key", scorer=scorer, settings=settings).withColumnRenamed("passage", "text")
 
 
-def answer_questions(questions: DataFrame, chunks: DataFrame, settings: Settings = SETTINGS, generator: answering.Generator = answering.extractive_answer, **options) -> DataFrame:
+def answer_questions(questions: DataFrame, chunks: DataFrame, settings: Settings = SETTINGS, generator: answering.Generator = answering.extractive_answer, attempts: DataFrame | None = None, **options) -> DataFrame:
     """``questions`` (question_id, question) with route, language, answer and sources.
 
     Only questions that no fixed reply settles, and whose lengths are in range, are searched.  ``cacheable`` tells which answers
-    may be cached: those made from chunks, for questions without a history.
+    may be cached: those made from chunks, for questions without a history.  With ``attempts`` (question_id, failed; a
+    row a variant searched), ``status`` tells whether the search was up (``fusion.search_status``), and where it wasn't there is no answer.
     """
     session = F.col("session_id") if "session_id" in questions.columns else F.lit(None).cast("string")
     routed = route(questions).withColumn("route", F.when(valid_request(F.col("question"), session), F.col("route")).otherwise("invalid"))
@@ -60,6 +61,10 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, settings: Settings
     sources = fusion.distinct_sources(hits, "question_id").groupBy("question_id").agg(cited.alias("sources"))
     out = answered.join(sources, "question_id", "left")
     history = F.coalesce(F.size("history") > 0, F.lit(False)) if "history" in questions.columns else F.lit(False)
+    if attempts is not None:
+        out = out.join(fusion.search_status(attempts, hits, "question_id"), "question_id", "left")
+        down = (F.col("route") == "retrieve") & (F.col("status") == "unavailable")
+        out = out.withColumns({"answer": F.when(~F.coalesce(down, F.lit(False)), F.col("answer")), "context": F.when(~F.coalesce(down, F.lit(False)), F.col("context"))})
     return out.withColumn("cacheable", (F.col("route") == "retrieve") & F.col("context").isNotNull() & ~history)
 
 

@@ -9,7 +9,7 @@ from ..config import SETTINGS
 from ..functions import patterns as P
 from ..functions import text as T
 from ..operators.store import written
-from ..operators import answering, chunking, crawl, routing, state, tables
+from ..operators import answering, chunking, crawl, fusion, routing, state, tables
 from ..sources import html
 from . import fixtures as X
 from .corpus import _S, read
@@ -106,6 +106,29 @@ SESSION_SQL = f"""WITH g AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER
 SELECT event_id, user_id, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS session_no FROM g"""
 
 
+def session_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that only some rows renew: clicks and views are reads."""
+    reads = F.col("event_type").isin("click", "view")
+    return state.sessions(_log(spark, sf_dir), renews=~reads).select("event_id", "user_id", "session_no")
+
+
+APPENDS_SQL = f"""WITH m AS (SELECT *, NOT coalesce(event_type IN ('click', 'view'), TRUE) AS renews FROM events),
+g AS (SELECT *, max(CASE WHEN renews THEN epoch(ts) END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM m),
+o AS (SELECT *, last IS NULL OR epoch(ts) - last > {SETTINGS.history_ttl_s} AS over FROM g)
+SELECT event_id, user_id, CASE WHEN renews OR NOT over THEN CAST(sum(CASE WHEN renews AND over THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) END AS session_no FROM o"""
+
+
+def search_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events stand in for variants, three to a question: errors are failures, purchases are hits."""
+    log = _log(spark, sf_dir).withColumn("question_id", F.floor(F.col("event_id") / 3))
+    return fusion.search_status(log.select("question_id", (F.col("event_type") == "error").alias("failed")), log.where("event_type = 'purchase'"), "question_id")
+
+
+STATUS_SQL = """SELECT CAST(floor(event_id / 3) AS BIGINT) AS question_id,
+  CASE WHEN bool_and(coalesce(event_type = 'error', FALSE)) THEN 'unavailable' WHEN coalesce(bool_or(event_type = 'purchase'), FALSE) THEN 'found' ELSE 'empty' END AS status
+FROM events GROUP BY 1"""
+
+
 def rate_limit_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.rate_limit_sliding(_log(spark, sf_dir), limit=PER_DAY, window_s=DAY).select("event_id", "allowed")
 
@@ -134,7 +157,7 @@ SELECT event_id, n <= {PER_DAY} AS allowed FROM r"""
 
 
 def guard_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event types stand in for addresses, users for sessions; purchases come without a key."""
+    """Event types stand in for addresses, users for sessions; errors come without a key."""
     log = _log(spark, sf_dir)
     return state.guard_chain(log, "event_type", "user_id", outer_limit=50, inner_limit=PER_DAY, window_s=DAY, key_ok=F.col("event_type") != "error").select("event_id", "verdict")
 
@@ -212,6 +235,18 @@ def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.crawl(links, X.frame(spark, [("http://x.mk/",)], "url string"), 3, crawl.within("www.x.mk"))
 
 
+def crawl_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl of the pages table as a web of its own, from the first page of every host; what it links elsewhere is not fetched."""
+    pages = read(spark, sf_dir, "pages").groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
+
+    def fetch(urls: DataFrame) -> DataFrame:
+        found = urls.join(pages, "url").withColumn("kind", F.when(F.lower("url").endswith(".pdf"), "pdf").otherwise("html"))
+        return found.select("url", F.col("url").alias("final_url"), "kind", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"), F.lit(None).cast("string").alias("error"))
+
+    seeds = pages.groupBy(T.host(F.col("url"))).agg(F.min("url").alias("url")).select("url")
+    return crawl.crawl_report(crawl.crawl_pages(seeds, fetch))
+
+
 CRAWL_SQL = f"""WITH RECURSIVE l AS (SELECT * FROM {X.values(X.LINKS, 'src, dst')} WHERE regexp_matches(dst, '^https?://([^/:]*\\.)?x\\.mk(/|:|$)')),
 r AS (SELECT 'http://x.mk/' AS url, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN l ON src = url WHERE depth < 3)
 SELECT url, min(depth) AS depth FROM r GROUP BY url"""
@@ -291,6 +326,9 @@ QUERIES = {
     "html_extract": html_extract,
     "html_links": html_links,
     "crawl_bfs": crawl_bfs,
+    "crawl_report": crawl_report,
+    "session_appends": session_appends,
+    "search_status": search_status,
     "table_header_join": table_header_join,
     "table_islands": table_islands,
     "heading_asof": heading_asof,
@@ -303,6 +341,8 @@ ORACLES = {
     "source_dispatch": DISPATCH_SQL,
     "history_last_n": HISTORY_SQL,
     "session_ttl": SESSION_SQL,
+    "session_appends": APPENDS_SQL,
+    "search_status": STATUS_SQL,
     "rate_limit_sliding": SLIDING_SQL,
     "rate_limit_fixed": FIXED_SQL,
     "guard_chain": GUARD_SQL,

@@ -35,6 +35,14 @@ def scan_pdfs(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.regexp_replace(F.regexp_replace("path", r"^[A-Za-z]+:/*", ""), f"^\\Q{base}\\E/", "").alias("source"), "length", "content")
 
 
+def one_pdf(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
+    """The same of one file; its source is the path within ``root``, or outside of it the bare file name."""
+    plain = lambda p: p.split(":", 1)[-1].lstrip("/")
+    base, own = plain(root.rstrip("/")) + "/" if root else None, plain(path)
+    source = own[len(base) :] if base and own.startswith(base) else own.rsplit("/", 1)[-1]
+    return spark.read.format("binaryFile").load(path).select("path", F.lit(source).alias("source"), "length", "content")
+
+
 def extract_pdfs(files: DataFrame, extractor: Extractor, max_bytes: int = MAX_PDF_BYTES) -> DataFrame:
     """(source, text, error): cleaned pages joined by blank lines; files too large are told by their length alone."""
 

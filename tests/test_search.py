@@ -109,3 +109,39 @@ def test_events_with_sources_and_errors(spark):
     assert [r["event"] for r in events.where("id = 'b'").orderBy("seq").collect()] == ['data: {"type":"sources","sources":[],"session_id":"y"}\n\n', 'data: {"type":"error","message":"the model failed"}\n\n']
     got = {r["id"]: (r["answer"], r["complete"], r["sources"], r["session_id"], r["error"]) for r in answering.reassemble(events, "id").collect()}
     assert got == {"a": ("two words", True, '[{"source":"s1"}]', "x", None), "b": ("", False, "[]", "y", "the model failed")}
+
+
+def test_one_variant_that_works_is_enough(spark):
+    tried = frame(spark, [(1, True), (1, True), (2, True), (2, False), (3, False), (4, None)], "q int, failed boolean")
+    hits = frame(spark, [(1,), (2,), (2,)], "q int")
+    assert {r["q"]: r["status"] for r in fusion.search_status(tried, hits, "q").collect()} == {1: "unavailable", 2: "found", 3: "empty", 4: "empty"}
+
+
+def test_questions_without_a_search_have_no_answer(spark):
+    from quern.plans.retrieve import answer_questions
+
+    questions = frame(spark, [(i, "how long is the second course of study") for i in (1, 2)] + [(3, "hi")], "question_id long, question string")
+    chunks = frame(spark, [(7, "the second course of study is two years long")], "chunk_key long, text string")
+    attempts = frame(spark, [(1, True), (2, True), (2, False)], "question_id long, failed boolean")
+    got = {r["question_id"]: (r["status"], r["answer"] is None, r["cacheable"]) for r in answer_questions(questions, chunks, attempts=attempts).collect()}
+    assert got == {1: ("unavailable", True, False), 2: ("found", False, True), 3: (None, False, False)}
+
+
+def test_models_load_once_a_task_and_may_fail(spark):
+    from quern.operators import answering
+
+    def load():
+        def logits(questions, passages):
+            if "bad" in passages:
+                raise ValueError
+            return [float(len(p)) for p in passages]
+
+        return logits
+
+    rows = frame(spark, [("q", "ab"), (None, None)], "q string, p string")
+    score = rerank.model_scorer(load)
+    assert [r[0] for r in rows.select(score(F.col("q"), F.col("p"))).collect()] == [2.0, 0.0]
+    assert [r[0] for r in frame(spark, [("q", "bad")], "q string, p string").select(score(F.col("q"), F.col("p"))).collect()] == [None]
+    make = answering.model_generator(lambda: lambda question, context, lang: context.upper() + str(1 // len(question)))
+    asked = frame(spark, [("q", "c", "en"), ("", "c", "en"), ("q", None, None)], "q string, c string, lang string")
+    assert [r[0] for r in asked.select(make(F.col("q"), F.col("c"), F.col("lang"))).collect()] == ["C1", None, None]

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import state
 from quern.streaming import serving
@@ -90,3 +91,34 @@ def test_stream_history(spark, tmp_path):
     q = serving.stream_history(source, turns=2).writeStream.format("memory").queryName("hist").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [r["recent"] for r in spark.table("hist").orderBy("t").collect()] == ["user: 0", "user: 0\nuser: 1", "user: 1\nuser: 2", "user: 3"]
+
+
+@pytest.mark.parametrize("make", [lambda: state.SlidingLimiter(3, 60), lambda: state.FixedLimiter(3, 60), lambda: state.TtlCache(60)])
+def test_stretches_change_nothing(spark, make):
+    rng = random.Random(5)
+    rows, t = [], 0.0
+    for i in range(300):
+        t += rng.choice([0.5, 1, 20, 59.999999, 60, 60.000001, 61, 119, 120, 121, 4000])
+        rows.append((i, T0 + dt.timedelta(microseconds=round(t * 1e6)), rng.choice(["a", "a", "b", None])))
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, k string")
+    got = {r["event_id"]: r["allowed"] for r in state.limited(df, "k", "ts", "event_id", make, 60).collect()}
+    want, machines = {}, {}
+    for i, ts, k in rows:
+        want[i] = machines.setdefault(k or "", make()).allow((ts - dt.datetime(1970, 1, 1)) / dt.timedelta(seconds=1))
+    assert got == want
+    times = df.select(F.coalesce("k", F.lit("")).alias("_key"), state.seconds(F.col("ts")).alias("_t"))
+    assert state.stretches(times, 60).select("_key", "_part").distinct().count() > 40
+
+
+def test_requests_without_a_time_or_any_at_all(spark):
+    df = spark.createDataFrame([(1, None, "k"), (2, None, "k"), (3, T0, "k")], "event_id long, ts timestamp_ntz, user_id string")
+    got = {r["event_id"]: r["allowed"] for r in state.rate_limit_sliding(df, limit=1).collect()}
+    assert got == {1: True, 2: False, 3: True}
+    assert state.rate_limit_sliding(df.limit(0)).count() == 0
+
+
+def test_reads_that_do_not_renew(spark):
+    df = log(spark, [0, 3000, 4000, 4100, 8000]).withColumn("read", F.col("event_id").isin(1, 2))
+    number = lambda **kw: [r["session_no"] for r in state.sessions(df, **kw).orderBy("event_id").collect()]
+    assert number() == [1, 1, 1, 1, 2]
+    assert number(renews=~F.col("read")) == [1, 1, None, 2, 3]

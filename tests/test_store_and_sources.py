@@ -99,3 +99,59 @@ def test_header_names():
 def test_overlap(spark):
     df = spark.createDataFrame([(0.0, 10.0, 5.0, 7.0), (0.0, 10.0, 8.0, 20.0), (0.0, 1.0, 2.0, 3.0)], "a double, b double, c double, d double")
     assert [r[0] for r in df.select(tables.overlap(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).collect()] == [1.0, 0.2, 0.0]
+
+
+def test_crawl_fetches_within_its_budget(spark):
+    page = lambda *links: "".join(f"<a href='{x}'>x</a>" for x in links).encode() + b"\xff"
+    web = {
+        "http://h/": page("/b", "/a", "http://other/x", "/f.pdf#p", "/gone"),
+        "http://h/a": page("/c", "/deep.pdf", "/"),
+        "http://h/b": page("http://www.h/d"),
+        "http://h/c": page("/e"),
+        "http://h/f.pdf": b"%PDF",
+        "http://k/": page("http://h/a"),
+    }
+    calls = spark.sparkContext.accumulator(0)
+
+    def fetcher(url):
+        calls.add(1)
+        if url not in web:
+            raise ValueError("404")
+        return url, "application/pdf" if url.endswith(".pdf") else "text/html", web[url]
+
+    fetch = lambda urls: documents.fetch(urls, fetcher, lambda h: ["93.184.216.34"])
+    seeds = spark.createDataFrame([("http://h/",), ("http://k/",), ("http://h/",), (None,)], "url string")
+    rows = lambda **kw: sorted((r["seed"], r["depth"], r["url"], r["error"]) for r in crawl.crawl_pages(seeds, fetch, **kw).collect() if r["depth"] is not None)
+    everything = crawl.crawl_pages(seeds, fetch, max_depth=1)
+    assert {(r["seed"], r["url"], r["error"]) for r in everything.where("depth IS NULL").collect()} == {("http://h/", "http://h/f.pdf", None), ("http://h/", "http://h/deep.pdf", "404")}
+    assert calls.value == 7  # two seeds, three pages and two files, each once
+    got = [tuple(r) for r in crawl.crawl_report(everything).orderBy("seed").collect()]
+    assert got == [("http://h/", 4, 3, 1, 2), ("http://k/", 1, 1, 0, 0)]
+    # the budget counts pages that fail, level by level in order of their addresses
+    assert rows(max_depth=2, max_pages=5, fetch_pdfs=False) == [
+        ("http://h/", 0, "http://h/", None), ("http://h/", 1, "http://h/a", None), ("http://h/", 1, "http://h/b", None), ("http://h/", 1, "http://h/gone", "404"),
+        ("http://h/", 2, "http://h/c", None), ("http://k/", 0, "http://k/", None),
+    ]
+    assert crawl.crawl_pages(seeds.limit(0), fetch).count() == 0
+
+
+def test_one_file(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.pdf").write_bytes(b"one")
+    source = lambda root: documents.one_pdf(spark, str(tmp_path / "a" / "x.pdf"), root).first()["source"]
+    assert (source(str(tmp_path)), source("/elsewhere"), source(None)) == ("a/x.pdf", "x.pdf", "x.pdf")
+
+
+def test_title_given_for_a_seed(spark):
+    from quern.plans.ingest import web_documents
+
+    pages = spark.createDataFrame([(1, "http://h/", "<title>T</title><body>a</body>"), (2, "http://h/b", "<title>U</title><body>b</body>")], "page_id long, url string, html string")
+    given = spark.createDataFrame([("http://h/", "Given"), ("http://h/b#top", "No"), ("http://h/b", "")], "url string, title string")
+    assert {r["url"]: r["title"] for r in web_documents(pages, given).collect()} == {"http://h/": "Given", "http://h/b": "U"}
+
+
+def test_table_is_made_once(spark, tmp_path):
+    t = store.ChunkTable(spark, str(tmp_path / "t"))
+    assert t.ensure("source string, text string").count() == 0
+    t.publish(spark.createDataFrame([("a", "x")], "source string, text string"))
+    assert t.ensure("source string, text string").count() == 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arc_to_warc, conversation_repair, decontamination, embedding_neighbours, license_scan, main_text, mixing, near_duplicates, personal_data, quality, sharding
+from . import arc_to_warc, conversation_repair, decontamination, embedding_neighbours, filter_audit, license_scan, main_text, mixing, near_duplicates, personal_data, quality, sharding
 
 QUERIES = {
     "op1_winnowing": decontamination.op1_winnowing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_p_stable": embedding_neighbours.op9_p_stable,
     "op10_minhash_forest": near_duplicates.op10_minhash_forest,
     "op11_earley_repair": conversation_repair.op11_earley_repair,
+    "op12_permutation_trie": filter_audit.op12_permutation_trie,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op8_diagonal_voting": license_scan.ORACLE_SQL,
     "op9_p_stable": embedding_neighbours.ORACLE_SQL,
     "op11_earley_repair": conversation_repair.ORACLE_SQL,
+    "op12_permutation_trie": filter_audit.ORACLE_SQL,
 }

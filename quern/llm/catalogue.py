@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arc_to_warc, conversation_repair, decontamination, embedding_neighbours, filter_audit, license_scan, main_text, mixing, near_duplicates, personal_data, quality, sharding
+from . import arc_to_warc, conversation_repair, decontamination, embedding_neighbours, filter_audit, license_scan, main_text, mixing, near_duplicates, personal_data, quality, quality_rules, sharding
 
 QUERIES = {
     "op1_winnowing": decontamination.op1_winnowing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_minhash_forest": near_duplicates.op10_minhash_forest,
     "op11_earley_repair": conversation_repair.op11_earley_repair,
     "op12_permutation_trie": filter_audit.op12_permutation_trie,
+    "op13_monotone_trees": quality_rules.op13_monotone_trees,
 }
 
 ORACLES = {

@@ -25,7 +25,7 @@ class MixConfig:
     frequencies; ``deviation``: how many standard deviations the documents of a domain that hold a
     bucket must differ from all documents for the bucket to count by itself; ``ridge``: what moving a
     rate costs; ``least``: the least rate of a document that is as likely in the anchor's domain as in
-    any other; ``removed``: domains whose documents, likelier in one of them than in any other domain,
+    any other; ``least_others``, ``most``: the least of any other document, and the greatest of all; ``removed``: domains whose documents, likelier in one of them than in any other domain,
     go whatever the targets; ``rounds``: at most; ``tolerance``: of the last round's moves (root of
     their mean square, by tokens); ``chained``: rounds after which the rates are written."""
 
@@ -36,6 +36,8 @@ class MixConfig:
     deviation: float = 3.5
     ridge: float = 1e-4
     least: float = 0.0
+    least_others: float = 0.0
+    most: float | None = None
     removed: tuple[str, ...] = ()
     rounds: int = 100
     tolerance: float = 1e-6
@@ -124,8 +126,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
 
         sum over domains of (expected - target)^2 / own + ridge x sum over documents of tokens x (rate - 1)^2
 
-    (own: what a domain has at rates of 1; all in shares of all tokens) over rates of 0 or more, and of ``least``
-    or more for documents that are likeliest in the anchor's domain.  As posteriors sum to 1, the slope changes by no more than 1 + ridge times a
+    (own: what a domain has at rates of 1; all in shares of all tokens) over rates within the bounds that the
+    configuration sets: of ``least`` or more for documents that are likeliest in the anchor's domain.  As posteriors sum to 1, the slope changes by no more than 1 + ridge times a
     move, which gives the step.  Rounds have Nesterov's momentum, dropped where it points uphill, and end when
     ``residual``, the size of a round's moves, is within the tolerance, or after ``rounds``: a larger residual says that they haven't
     converged, and ``expected`` what of a target is out of reach.  A round is one aggregate over a narrow table.  Null and wordless
@@ -141,11 +143,11 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
     if removed := [i for i, d in enumerate(domains) if d in config.removed]:
         others = [p[i] for i in range(size) if i not in removed]
         gone = F.array_max(F.array(*[p[i] for i in removed])) > F.array_max(F.array(*others, F.lit(0.0)))
-    floor = F.lit(0.0)
+    floor = F.lit(float(config.least_others))
     if anchor is not None and config.least:
-        floor = F.when(p[domains.index(anchor)] >= F.array_max("posterior"), config.least).otherwise(0.0)
+        floor = F.when(p[domains.index(anchor)] >= F.array_max("posterior"), config.least).otherwise(floor)
     names = [id_col, *keep, "tokens", "posterior"]
-    low, high, rate, last = absent(rows, "low", "high", "rate", "last")
+    low, high, rate, last, to, slope_ = absent(rows, "low", "high", "rate", "last", "ahead", "down")
     rows = written(rows.select(*names, F.when(gone, 0.0).otherwise(floor).alias(low), F.when(gone, 0.0).alias(high)))
     here = F.when(F.col(high).isNull(), F.col("tokens")).otherwise(0)
     stats = rows.agg(F.sum("tokens"), *[F.sum(here * x) for x in p]).first()
@@ -172,18 +174,21 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
             ahead = F.col(rate) + beta * (F.col(rate) - F.col(last))
             down = sum((x * s for x, s in zip(p, slope, strict=True)), F.lit(0.0))
             held = [*names, low, high]
-            state = state.select(*held, F.col(rate).alias(last), ahead.alias("_ahead"), down.alias("_down"))
-            moved = F.greatest(F.col(low), F.col("_ahead") - (F.col("_down") + config.ridge * (F.col("_ahead") - 1)) / (1 + config.ridge))
-            state = state.select(*held, last, "_ahead", F.coalesce(high, moved).alias(rate))
+            state = state.select(*held, F.col(rate).alias(last), ahead.alias(to), down.alias(slope_))
+            moved = F.col(to) - (F.col(slope_) + config.ridge * (F.col(to) - 1)) / (1 + config.ridge)
+            bounded = F.greatest(F.col(low), moved if config.most is None else F.least(F.lit(float(config.most)), moved))
+            state = state.select(*held, last, to, F.coalesce(high, bounded).alias(rate))
             if n % config.chained == 0:
                 state = written(state)
-            move = F.col(rate) - F.col("_ahead")
+            move = F.col(rate) - F.col(to)
             now = state.agg(*moments(F.col(rate)), F.sum(F.col("tokens") * move * move) / total, F.sum(F.col("tokens") * move * (F.col(last) - F.col(rate))) / total).first()
             before, got = got, [float(x) for x in now[:size]]
             momentum = 1.0 if now[size + 1] > 0 else faster
             residual = math.sqrt(now[size])
             if residual <= config.tolerance:
                 break
+        if n % config.chained:
+            state = written(state)  # a filter on the rate would be pushed through all rounds
     constant = lambda xs: F.array(*[F.lit(round(x, 9)) for x in xs])
     return state.select(*names, F.round(rate, 6).alias("rate"), constant(want).alias("target"), constant(got).alias("expected"), F.lit(round(residual, 9)).alias("residual"))
 

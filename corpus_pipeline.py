@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from quern.llm import decontamination, mixing, near_duplicates, quality, sharding
 from quern.llm.spark_io import small_or_not, table, written
 
-#: Shares of tokens of the mix, beside what good documents' posteriors hold of toxic; low quality is gone by then.
-TARGETS = {"good": 1.0, "toxic": 0.0}
-#: What is likelier toxic than good goes, at every share of toxic texts; all else stays.
-MIX = mixing.MixConfig(least=1.0, removed=("toxic",))
+#: Shares of tokens by language: English is over-represented in what is there, the others are repeated to meet these.
+TARGETS = {"en": 0.46, "de": 0.18, "es": 0.18, "fr": 0.18}
+#: Every clean document stays, and comes at most four times; a language needs this share of the labelled rows to be a domain.
+MIX = mixing.MixConfig(least=1.0, least_others=1.0, most=4.0)
+LEAST_SHARE = 0.01
 
 
 def _digest(text: str = "text"):
@@ -51,21 +52,42 @@ def decontamination_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return docs.withColumn("_text", _digest()).join(bad, "_text", "left_anti").select(docs.columns)
 
 
+def _same_document(left: str, right: str):
+    return F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")) & (F.col(f"{left}._t1") == F.col(f"{right}._t1")) & (F.col(f"{left}._t2") == F.col(f"{right}._t2"))
+
+
+def without_toxic(keyed: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (doc_id, _t1, _t2, text and more) but those likelier toxic than good, by soft membership learned from ``labels``."""
+    marks = mixing.label_domains(labels).where("domain <> 'low'")
+    told = mixing.domain_posteriors(keyed, marks, ["good", "toxic"], keep=("_t1", "_t2"))
+    bad = written(told.where(F.element_at("posterior", 2) > F.element_at("posterior", 1)).select("doc_id", "_t1", "_t2").distinct())
+    return keyed.alias("d").join(small_or_not(bad).alias("b"), _same_document("d", "b"), "left_anti")
+
+
+def language_rates(clean: DataFrame, labels: DataFrame) -> DataFrame:
+    """``mixing.mix`` of the rows by language, learned from labelled documents whose language is told: rates that meet TARGETS, of domains that the corpus has."""
+    told = clean.join(labels.select("doc_id").distinct(), "doc_id").where(F.col("lang").isin(list(TARGETS))).select("doc_id", F.col("lang").alias("domain"))
+    told = written(told)
+    counts = {r["domain"]: r["count"] for r in told.groupBy("domain").count().collect()}  # TARGETS rows at most
+    known = {d: share for d, share in TARGETS.items() if counts.get(d, 0) >= max(1, LEAST_SHARE * sum(counts.values()))} or {"en": 1.0}
+    anchor = max(known, key=lambda d: (known[d], d))
+    return mixing.mix(clean, told, known, anchor=anchor, config=MIX, keep=("_t1", "_t2"))
+
+
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that domains' expected tokens meet TARGETS.
+    """Drops toxic documents, and repeats others so that languages' expected tokens meet TARGETS.
 
     A document comes out as often as its rate says: the whole part, and once more by a hash of
     its id and text with the chance of the rest.
     """
-    labelled = mixing.label_domains(table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels")
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit(1), text)})  # 128 bits of the text
-    mixed = mixing.mix(keyed, labelled, TARGETS, anchor="good", config=MIX, keep=("_t1", "_t2"))
+    clean = without_toxic(keyed, labels)
     # rows of one id and text have one rate; a rate of 1, which most have, needs no row
-    rates = written(mixed.where("rate <> 1").groupBy("doc_id", "_t1", "_t2").agg(F.min("rate").alias("_rate")))
-    same = F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("r._t1") == F.col("d._t1")) & (F.col("r._t2") == F.col("d._t2"))
+    rates = written(language_rates(clean, labels).where("rate <> 1").groupBy("doc_id", "_t1", "_t2").agg(F.min("rate").alias("_rate")))
     chance = F.pmod(F.xxhash64("doc_id", "_t1"), F.lit(1 << 20)) / float(1 << 20)
-    joined = keyed.alias("d").join(small_or_not(rates).alias("r"), same, "left").select("d.*", F.coalesce("_rate", F.lit(1.0)).alias("_rate"))
+    joined = clean.alias("d").join(small_or_not(rates).alias("r"), _same_document("d", "r"), "left").select("d.*", F.coalesce("_rate", F.lit(1.0)).alias("_rate"))
     copies = joined.withColumn("_copies", F.floor(F.col("_rate") + chance).cast("int")).where("_copies > 0")
     return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
 

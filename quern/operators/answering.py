@@ -40,7 +40,7 @@ def messages(system: Column, history: Column, context: Column, question: Column,
 
 def extractive_answer(question: Column, context: Column, lang: Column) -> Column:
     """The default generator: the first line of the first document in the context."""
-    return F.nullif(F.regexp_extract(context, r'<doc id="1"[^>]*>\n([^\n]*)', 1), F.lit(""))
+    return F.coalesce(F.nullif(F.regexp_extract(context, r'<doc id="1"[^>]*>\n([^\n]*)', 1), F.lit("")), F.lit(P.NO_INFORMATION))
 
 
 def model_generator(load: Callable[[], Callable[[str, str, str], str | None]]) -> Generator:
@@ -63,10 +63,14 @@ def model_generator(load: Callable[[], Callable[[str, str, str], str | None]]) -
 
 
 def answer(routed: DataFrame, contexts: DataFrame, group: str, generator: Generator = extractive_answer) -> DataFrame:
-    """``routed`` questions with ``answer``: the fixed reply, or the generator's, or that there is no information."""
+    """``routed`` questions with ``answer``: the fixed reply, or the generator's, or, without a context, that there is no information.
+
+    Where the generator failed (null), there is no answer, and ``failed`` says so; it is null elsewhere.
+    """
     joined = routed.join(contexts, group, "left")
-    made = F.when(F.col("context").isNotNull(), F.coalesce(generator(F.col("clean"), F.col("context"), F.col("lang")), F.lit(P.NO_INFORMATION))).otherwise(P.NO_INFORMATION)
-    return joined.withColumn("answer", F.coalesce("reply", made))
+    asked = F.col("reply").isNull() & F.col("context").isNotNull()
+    made = joined.withColumn("answer", F.when(asked, generator(F.col("clean"), F.col("context"), F.col("lang"))).otherwise(F.coalesce("reply", F.lit(P.NO_INFORMATION))))
+    return made.withColumn("failed", F.when(asked & F.col("answer").isNull(), F.lit("generation")))
 
 
 def sse_events(answers: DataFrame, key: str, text: str = "answer", sources: str | None = None, session: str | None = None, failed: str | None = None) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id
+from .snapshots import SnapshotLog
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -65,38 +67,58 @@ def ingest_report(chunks: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 class ChunkTable:
-    """Versions of a chunk table in a folder: each write makes a new one, and a pointer names the current.
+    """Versions of a chunk table in a folder, by a log of commits (``snapshots``).
 
-    Readers see the old version until the new one is whole, unlike delete-then-insert.
+    Readers see a version until the next is whole, unlike delete-then-insert.  ``replace``, ``upsert`` and ``delete``
+    are done again on the newer version if another writer commits first, so no writer's rows are lost.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.log = SnapshotLog(spark, path)
 
-    def current(self) -> DataFrame | None:
-        try:
-            pointer = self.spark.read.text(f"{self.path}/pointer")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        return self.spark.read.parquet(f"{self.path}/{pointer.first()[0]}")
+    def current(self, number: int | None = None) -> DataFrame | None:
+        """The last version, or that of a commit; None if nothing was ever committed."""
+        commit = self.log.read(number)
+        return None if commit is None else self._rows(commit)
+
+    def _rows(self, commit: dict) -> DataFrame:
+        return self.spark.read.schema(commit["schema"]).parquet(f"{self.path}/{commit['data']}")
+
+    def history(self) -> list[dict]:
+        """All commits, the first one first."""
+        return [self.log.read(n) for n in range(1, self.log.latest() + 1)]
+
+    def _change(self, operation: str, make: Callable[[DataFrame | None], DataFrame]) -> DataFrame:
+        def write(at: int, commit: dict | None) -> dict:
+            rows = make(None if commit is None else self._rows(commit))
+            folder = self.log.folder(at + 1)
+            rows.repartition("source").sortWithinPartitions("source").write.parquet(folder)
+            return {"data": folder.rsplit("/", 1)[1], "operation": operation, "schema": _ddl(rows)}
+
+        return self._rows(self.log.change(write))
 
     def ensure(self, schema: str) -> DataFrame:
         """The current version, or an empty first one with these columns."""
         old = self.current()
-        return self.publish(self.spark.createDataFrame([], schema)) if old is None else old
+        return self._change("ensure", lambda now: self.spark.createDataFrame([], schema) if now is None else now) if old is None else old
 
     def publish(self, rows: DataFrame) -> DataFrame:
-        version = f"v-{uuid.uuid4().hex}"
-        rows.repartition("source").sortWithinPartitions("source").write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/pointer")
-        return self.spark.read.parquet(f"{self.path}/{version}")
+        """``rows`` in place of whatever is there."""
+        return self._change("publish", lambda _: rows)
 
     def replace(self, new: DataFrame) -> DataFrame:
-        old = self.current()
-        return self.publish(new if old is None else replace_sources(old, new))
+        return self._change("replace", lambda old: new if old is None else replace_sources(old, new))
 
     def upsert(self, new: DataFrame, key: str = "chunk_id") -> DataFrame:
-        old = self.current()
-        return self.publish(new if old is None else upsert(old, new, key))
+        return self._change("upsert", lambda old: new if old is None else upsert(old, new, key))
+
+    def delete(self, source: str) -> DataFrame:
+        """Without a source; a table that was never written stays so."""
+        if self.current() is None:
+            raise ValueError(f"{self.path} has no version")
+        return self._change("delete", lambda old: delete_by_source(old, source))
+
+
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)

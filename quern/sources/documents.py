@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import ipaddress
 import socket
-from collections.abc import Callable, Iterator
-from urllib.parse import urlsplit
+import urllib.error
+import urllib.request
+from collections.abc import Callable, Iterable, Iterator
+from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +26,8 @@ HTML_TYPES = ("text/html", "application/xhtml+xml")
 
 #: Of a file's bytes: the text of each page, or a ValueError with the reason (a password, a bad file).
 Extractor = Callable[[bytes], list[str]]
-#: Of a URL: (final URL, content type, bytes), or a ValueError.
-Fetcher = Callable[[str], tuple[str, str, bytes]]
+#: Of a URL: (final URL, content type, the body as bytes or in pieces), or a ValueError.
+Fetcher = Callable[[str], tuple[str, str, bytes | Iterable[bytes]]]
 
 
 def scan_pdfs(spark: SparkSession, root: str) -> DataFrame:
@@ -90,22 +92,80 @@ def check_url(url: str, resolve: Callable[[str], list[str]] | None = None) -> st
         return "host"
 
 
+class TooLarge(Exception):
+    """A body went beyond its limit while it was read."""
+
+
+def _limited(content: bytes | Iterable[bytes], limit: int) -> bytes:
+    """The body, read no further than its limit."""
+    if isinstance(content, (bytes, bytearray)):
+        content = [content]
+    held = bytearray()
+    for piece in content:
+        held += piece
+        if len(held) > limit:
+            raise TooLarge
+    return bytes(held)
+
+
+class _NoRedirects(urllib.request.HTTPRedirectHandler):
+    def redirect_request(self, *args):
+        return None
+
+
+def http_fetcher(resolve: Callable[[str], list[str]] | None = None, timeout_s: float = 20, redirects: int = 5, agent: str = "quern", piece: int = 1 << 16) -> Fetcher:
+    """A fetcher by the standard library: every redirect's target is checked before it is asked, and the body comes in pieces."""
+
+    def get(url: str) -> tuple[str, str, Iterable[bytes]]:
+        opener = urllib.request.build_opener(_NoRedirects)
+        for _ in range(redirects + 1):
+            if reason := check_url(url, resolve):
+                raise ValueError(f"redirect: {reason}")
+            try:
+                answer = opener.open(urllib.request.Request(url, headers={"User-Agent": agent}), timeout=timeout_s)
+            except urllib.error.HTTPError as e:
+                with e:
+                    if e.code not in (301, 302, 303, 307, 308) or not e.headers.get("Location"):
+                        raise ValueError(f"status {e.code}") from None
+                    url = urljoin(url, e.headers["Location"])
+                continue
+
+            def pieces():
+                with answer:
+                    while part := answer.read(piece):
+                        yield part
+
+            return url, answer.headers.get("Content-Type", ""), pieces()
+        raise ValueError("redirect: too many")
+
+    return get
+
+
 def fetch(urls: DataFrame, fetcher: Fetcher, resolve: Callable[[str], list[str]] | None = None) -> DataFrame:
-    """(url, final_url, kind, content, error) of ``urls`` (url): pages up to 5 MB, PDF files up to 30 MB."""
+    """(url, final_url, kind, content, error) of ``urls`` (url): pages up to 5 MB, PDF files up to 30 MB.
+
+    ``fetcher`` gives the address after redirects, the content type, and the body as bytes or in pieces, of which no
+    more are taken than the limit allows.  The address after redirects must be one that may be fetched, too.
+    """
 
     def one(url: str) -> tuple:
         if reason := check_url(url, resolve):
             return None, None, None, reason
         try:
             final, content_type, content = fetcher(url)
-        except Exception as e:
+            if reason := check_url(final, resolve) if final != url else None:
+                return final, None, None, f"redirect: {reason}"
+            kind = content_type.partition(";")[0].strip().lower()
+            pdf = kind == "application/pdf" or urlsplit(final).path.lower().endswith(".pdf")
+            if not pdf and kind not in HTML_TYPES:
+                return final, None, None, f"content type {kind}"
+            name, limit = ("pdf", MAX_WEB_PDF_BYTES) if pdf else ("html", MAX_HTML_BYTES)
+            try:
+                return final, name, _limited(content, limit), None
+            except TooLarge:
+                return final, name, None, "too large"
+        except Exception as e:  # one address's failure is its own
             return None, None, None, str(e) or type(e).__name__
-        kind = content_type.partition(";")[0].strip().lower()
-        if kind == "application/pdf" or urlsplit(final).path.lower().endswith(".pdf"):
-            return (final, "pdf", content, None) if len(content) <= MAX_WEB_PDF_BYTES else (final, "pdf", None, "too large")
-        if kind in HTML_TYPES:
-            return (final, "html", content, None) if len(content) <= MAX_HTML_BYTES else (final, "html", None, "too large")
-        return final, None, None, f"content type {kind}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

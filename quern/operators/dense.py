@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from ..config import SETTINGS
 from .lexical import terms, top_k
-from .store import written
+from .store import BROADCAST_BYTES, written
 
 #: Prefixes of what is embedded; lexical search takes the bare text.
 QUERY_PREFIX, PASSAGE_PREFIX = "query: ", "passage: "
 
 #: Vectors of a block; a task multiplies one block of queries with one of vectors.
 BLOCK = 4096
+#: Blocks of vectors that a part holds, where blocks of queries are copied to parts.
+PART_BLOCKS = 8
 
 
 class Encoder(Protocol):
@@ -62,61 +64,99 @@ def bucket_weights(docs: DataFrame, id_col: str, text_col: str = "text", dim: in
     return counted.join(norm, id_col).select(id_col, "bucket", (F.col("c") / F.col("norm")).alias("weight"))
 
 
+def _summed(dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(1)
+            sizes = np.diff(held.offsets.to_numpy())
+            own = np.repeat(np.arange(len(sizes)), sizes)
+            counts = np.bincount(own * dim + held.flatten().to_numpy(), minlength=len(sizes) * dim).astype(np.float64)
+            vectors = pa.FixedSizeListArray.from_arrays(pa.array(counts), dim).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], ["id", "vector"])
+
+    return run
+
+
 def bucket_vectors(docs: DataFrame, id_col: str, text_col: str = "text", dim: int = SETTINGS.dense_dim) -> DataFrame:
-    """(id, vector): the default encoder's counts as dense arrays; texts without terms are left out."""
-    each = docs.select(id_col, F.explode(terms(F.col(text_col))).alias("t")).select(id_col, (F.conv(F.substring(F.md5("t"), 1, 6), 16, 10).cast("int") % dim).alias("bucket"))
-    sums = [F.count(F.when(F.col("bucket") == i, 1)).cast("double").alias(f"b{i}") for i in range(dim)]
-    return each.groupBy(id_col).agg(*sums).select(id_col, F.array(*[f"b{i}" for i in range(dim)]).alias("vector"))
+    """(id, vector): the default encoder's counts as dense arrays, without a shuffle; texts without terms are left out."""
+    bucket = lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("int") % dim
+    rows = docs.select(F.col(id_col).alias("id"), F.transform(terms(F.col(text_col)), bucket).alias("buckets")).where(F.size("buckets") > 0)
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(_summed(dim), f"id {kind}, vector array<double>").withColumnRenamed("id", id_col)
+
+
+def unit_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, unit vectors) of the batch's (id, vector) rows, by length; rows that are null, empty, zero or not finite, or hold nulls, are left out."""
+    ids, held = batch.column(0), batch.column(1)
+    sizes = np.zeros(len(held), np.int64)
+    told = ~(ids.is_null().to_numpy(zero_copy_only=False) | held.is_null().to_numpy(zero_copy_only=False))
+    offsets = held.offsets.to_numpy()
+    sizes = np.where(told, np.diff(offsets), 0)
+    values = held.values.cast(pa.float64()).fill_null(np.nan).to_numpy()
+    keys = ids.fill_null(0).to_numpy().astype(np.int64)
+    for dim in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == dim)
+        x = values[offsets[at][:, None] + np.arange(dim)]
+        norms = np.sqrt((x * x).sum(1))
+        good = np.isfinite(x).all(1) & x.any(1)
+        yield int(dim), keys[at][good], x[good] / norms[good][:, None]
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of unit vectors; vectors that are null, zero or not finite are left out."""
+    """Blocks of unit vectors."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(lo, BLOCK)
-            rows = [(i, v) for i, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if v is not None and i is not None]
-            by_size: dict[int, list] = {}
-            for i, v in rows:
-                x = np.array(v, dtype=np.float64)
-                if len(x) and np.isfinite(x).all() and x.any():
-                    by_size.setdefault(len(x), []).append((i, x / np.sqrt((x * x).sum())))
-            for dim, own in by_size.items():
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([[i for i, _ in own]], pa.list_(pa.int64())), pa.array([np.stack([x for _, x in own]).tobytes()], pa.binary())], ["dim", "ids", "data"])
+        for dim, ids, x in unit_rows(batch):
+            for lo in range(0, len(ids), BLOCK):
+                part = x[lo : lo + BLOCK]
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[lo : lo + BLOCK]], pa.list_(pa.int64())), pa.array([part.tobytes()], pa.binary())], ["dim", "ids", "data"])
 
 
 def _nearest(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                dim, qids, qdata, ids, data = (batch.column(c)[r].as_py() for c in range(5))
-                q = np.frombuffer(qdata).reshape(-1, dim)
-                x = np.frombuffer(data).reshape(-1, dim)
-                ids = np.array(ids, np.int64)
+                dim, qids, qdata, ids, data = batch.column(0)[r].as_py(), *(batch.column(c)[r] for c in range(1, 5))
+                q, x = (np.frombuffer(c.as_buffer()).reshape(-1, dim) for c in (qdata, data))
+                qids, ids = qids.values.to_numpy(), ids.values.to_numpy()
+                order = np.argsort(ids, kind="stable")  # so that the first of equal scores has the least id
+                ids, x = ids[order], x[order]
                 sims = np.round(q @ x.T, 6)
-                out = []
-                for i in range(len(q)):
-                    # the k best and whatever ties with the last of them
-                    cut = np.partition(sims[i], len(ids) - k)[len(ids) - k] if len(ids) > k else -2.0
-                    at = np.flatnonzero(sims[i] >= cut)
-                    at = at[np.lexsort((ids[at], -sims[i][at]))][:k]
-                    out += [(qids[i], int(ids[j]), float(sims[i][j])) for j in at]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["query_id", "id", "score"])
+                if len(ids) > k:
+                    # what reaches the k-th best of each query, ties included
+                    cut = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
+                    rows, at = np.nonzero(sims >= cut)
+                else:
+                    rows, at = (i.ravel() for i in np.indices(sims.shape))
+                scores = sims[rows, at]
+                best = np.lexsort((at, -scores, rows))
+                rows, at, scores = rows[best], at[best], scores[best]
+                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                keep = place < k
+                yield pa.RecordBatch.from_arrays([pa.array(qids[rows[keep]]), pa.array(ids[at[keep]]), pa.array(scores[keep])], ["query_id", "id", "score"])
 
     return run
 
 
+def nearest_in_pairs(pairs: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score): the k best of every pair of blocks (dim, qids, qdata, ids, data)."""
+    return pairs.select("dim", "qids", "qdata", "ids", "data").mapInArrow(_nearest(k), "query_id long, id long, score double")
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): the k vectors of greatest cosine of every query; both sides are (id, vector).
 
     Exact.  Rows are packed into blocks first, so the product is of blocks; every pair of blocks
-    is one matrix product that keeps k rows a query.
+    is one matrix product that keeps k rows a query.  Blocks of queries are broadcast if they are counted to be small;
+    else they are dealt to as many parts as the blocks of vectors need.
     """
     schema = "dim int, ids array<long>, data binary"
     q = written(queries.mapInArrow(_packed, schema)).select("dim", F.col("ids").alias("qids"), F.col("data").alias("qdata"))
     x = vectors.mapInArrow(_packed, schema)
-    # blocks of vectors are dealt to parts, and each block of queries goes to all of them
-    parts = 4 * queries.sparkSession.sparkContext.defaultParallelism
-    dealt = x.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)))
-    pairs = dealt.join(q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), ["dim", "part"])
-    found = pairs.select("dim", "qids", "qdata", "ids", "data").mapInArrow(_nearest(k), "query_id long, id long, score double")
-    return top_k(found, "query_id", "score", "id", k)
+    if (q.agg(F.sum(F.octet_length("qdata") + 8 * F.size("qids"))).first()[0] or 0) <= BROADCAST_BYTES:
+        pairs = x.join(F.broadcast(q), "dim")
+    else:
+        x = written(x)
+        parts = max(1, x.count() // PART_BLOCKS)
+        dealt = x.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)))
+        pairs = dealt.join(q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), ["dim", "part"])
+    return top_k(nearest_in_pairs(pairs, k), "query_id", "score", "id", k)

@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS, Settings
-from .store import written
+from .store import small_or_not, written
 
-#: Terms of questions in a broadcast, at most; more are scored by a shuffled join.
-BROADCAST_TERMS = 200_000
 #: Pairs of a question's term and a posting that are scored as they are, at most; of more, only documents that can still be among the best.
 DIRECT_ROWS = 50_000_000
 #: A question's rarest terms are scored first: those with this many postings together, for each document wanted.
@@ -47,27 +45,43 @@ def top_k(scored: DataFrame, group: str, score: str, tie: str, k: int, rank: str
     return scored.withColumn(rank, F.row_number().over(order) - 1).where(F.col(rank) < k)
 
 
+def asked_terms(questions: DataFrame, question_id: str) -> DataFrame:
+    """(question, term, qtf): how often each question has each of its terms."""
+    return questions.select(question_id, F.explode(terms(F.col("text"))).alias("term")).groupBy(question_id, "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
 def bm25(docs: DataFrame, questions: DataFrame, k: int, settings: Settings = SETTINGS, id_col: str = "doc_id", question_id: str = "item_id") -> DataFrame:
     """(question, id, score, rank): the k best documents of every question, exactly.
 
     Documents are read once, into postings of the questions' terms (and one row a document, for the
-    corpus's size).  Where these are many, the best documents by each question's rarest terms are scored in full, and the k-th
-    of these scores is a bound that its k-th best document reaches; terms that can't reach it together (by the greatest contribution of each) need not be looked up to
-    find candidates, so what very frequent terms alone bring is never scored.
+    corpus's size).  A kept index (``lexical_index``) saves that reading.
     """
-    asked = written(questions.select(question_id, F.explode(terms(F.col("text"))).alias("term")).groupBy(question_id, "term").agg(F.count(F.lit(1)).alias("qtf")))
-    hint = F.broadcast if asked.count() <= BROADCAST_TERMS else (lambda x: x)
+    asked = written(asked_terms(questions, question_id))
+    hint = small_or_not
     vocabulary = asked.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))  # "" stands for the document
     each = docs.select(id_col, terms(F.col("text")).alias("t")).select(id_col, F.size("t").alias("dl"), F.explode(F.concat("t", F.array(F.lit("")))).alias("term"))
-    posts = written(each.join(hint(vocabulary), "term", "left_semi").groupBy(id_col, "term", "dl").agg(F.count(F.lit(1)).alias("tf")))
+    posts = written(each.join(hint(written(vocabulary)), "term", "left_semi").groupBy(id_col, "term", "dl").agg(F.count(F.lit(1)).alias("tf")))
     n, words = posts.where("term = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.coalesce(F.sum(F.col("dl") * F.col("tf")), F.lit(0))).first()
+    return score_postings(posts.where("term <> ''"), asked, n, words, k, settings, id_col, question_id)
+
+
+def score_postings(posts: DataFrame, asked: DataFrame, n: int, words: int, k: int, settings: Settings = SETTINGS, id_col: str = "doc_id", question_id: str = "item_id", df: DataFrame | None = None) -> DataFrame:
+    """(question, id, score, rank) of the postings (id, term, tf, dl; a written table) of the asked terms (question, term, qtf; written, too).
+
+    ``n`` and ``words`` are the corpus's documents and terms, ``df`` (term, df) may be known.  Where scored postings are many, the
+    best documents by each question's rarest terms are scored in full, and the k-th of these scores is a bound that its
+    k-th best document reaches; terms that can't reach it together (by the greatest contribution of each) need not be looked
+    up to find candidates, so what very frequent terms alone bring is never scored.
+    """
     avgdl = words / n if n else 1.0
+    hint = small_or_not
     tf = F.col("tf") * (settings.bm25_k1 + 1) / (F.col("tf") + settings.bm25_k1 * (1 - settings.bm25_b + settings.bm25_b * F.col("dl") / F.lit(float(avgdl or 1))))
-    posts = posts.where("term <> ''").withColumn("part", tf)
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most"))
+    posts = posts.withColumn("part", tf)
+    most = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most"))
+    df = most if df is None else most.drop("df").join(df, "term")
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = written(asked.join(df, "term").withColumn("w", F.col("qtf") * idf).select(question_id, "term", "w", "df", (F.col("w") * F.col("most")).alias("bound")))
-    summed = lambda by: posts.join(hint(by.select(question_id, "term", "w")), "term").groupBy(question_id, id_col).agg(F.sum(F.col("w") * F.col("part")).alias("sum"))
+    summed = lambda by: posts.join(hint(written(by.select(question_id, "term", "w"))), "term").groupBy(question_id, id_col).agg(F.sum(F.col("w") * F.col("part")).alias("sum"))
     if (weighted.agg(F.sum("df")).first()[0] or 0) <= DIRECT_ROWS:
         scored = summed(weighted)
     else:
@@ -75,7 +89,7 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int, settings: Settings = SET
         seeds = weighted.withColumns({"upto": F.sum("df").over(rare), "nth": F.row_number().over(rare)}).where((F.col("nth") == 1) | (F.col("upto") <= SEED_POSTINGS * k))
         best = Window.partitionBy(question_id).orderBy(F.desc("sum"))
         first = summed(seeds).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= SEED_DOCUMENTS * k).select(question_id, id_col)
-        whole = first.join(hint(weighted.select(question_id, "term", "w")), question_id).join(posts.select(id_col, "term", "part"), [id_col, "term"]).groupBy(question_id, id_col).agg(F.sum(F.col("w") * F.col("part")).alias("sum"))
+        whole = first.join(hint(written(weighted.select(question_id, "term", "w"))), question_id).join(posts.select(id_col, "term", "part"), [id_col, "term"]).groupBy(question_id, id_col).agg(F.sum(F.col("w") * F.col("part")).alias("sum"))
         reached = whole.withColumn("nth", F.row_number().over(best)).where(F.col("nth") == k).select(question_id, (F.col("sum") - _SLACK).alias("reached"))
         low = Window.partitionBy(question_id).orderBy("bound", "term")
         split = weighted.join(reached, question_id, "left").withColumn("upto", F.sum("bound").over(low)).withColumn("idle", F.coalesce(F.col("upto") < F.col("reached"), F.lit(False)))
@@ -83,7 +97,7 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int, settings: Settings = SET
         left = split.groupBy(question_id).agg(F.max("reached").alias("reached"), F.coalesce(F.max(F.when(F.col("idle"), F.col("upto"))), F.lit(0.0)).alias("rest"))
         found = summed(split.where("NOT idle")).join(left, question_id).where(F.col("reached").isNull() | (F.col("sum") + F.col("rest") >= F.col("reached"))).select(question_id, id_col, "sum")
         found = written(found)
-        more = found.select(question_id, id_col).join(hint(split.where("idle").select(question_id, "term", "w")), question_id).join(posts.select(id_col, "term", "part"), [id_col, "term"])
+        more = found.select(question_id, id_col).join(hint(written(split.where("idle").select(question_id, "term", "w"))), question_id).join(posts.select(id_col, "term", "part"), [id_col, "term"])
         more = more.groupBy(question_id, id_col).agg(F.sum(F.col("w") * F.col("part")).alias("more"))
         scored = found.join(more, [question_id, id_col], "left").withColumn("sum", F.col("sum") + F.coalesce("more", F.lit(0.0)))
     scored = scored.select(question_id, id_col, F.round("sum", 4).alias("score"))

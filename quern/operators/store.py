@@ -34,6 +34,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A table of at most so many rows and bytes (as JSON) may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
+
+
+def small_or_not(df: DataFrame) -> DataFrame:
+    """``df`` (a written table) marked for broadcast if its rows and bytes are counted to be few; beyond that the join shuffles."""
+    if df.count() > BROADCAST_ROWS:
+        return df
+    held = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
+
+
 def with_ids(chunks: DataFrame, position: str = "chunk_index") -> DataFrame:
     """``chunks`` with ``chunk_id``, of the source, the place among all its chunks, and the text."""
     return chunks.withColumn("chunk_id", chunk_id(F.col("source"), F.col(position), F.col("text")))

@@ -9,6 +9,8 @@ from ..config import SETTINGS
 from ..functions import text as T
 from ..operators import answering, dense, evaluate, fusion, lexical, rerank
 from ..operators.routing import route
+from ..operators.store import written
+from . import kept
 from .corpus import read
 
 K1, B = SETTINGS.bm25_k1, SETTINGS.bm25_b
@@ -49,7 +51,8 @@ def idf_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25(_docs(spark, sf_dir), _questions(spark, sf_dir), SETTINGS.candidate_k)
+    """By the kept index: the corpus is read when the index is made, and not by its searches."""
+    return kept.document_index(spark, sf_dir).search(_questions(spark, sf_dir), SETTINGS.candidate_k)
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +61,12 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.nearest(vectors.where("vec_id % 20 = 0"), vectors, SETTINGS.candidate_k)
 
 
+def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As dense_topk, by the kept cells: approximate."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return kept.embedding_index(spark, sf_dir).search(vectors.where("vec_id % 20 = 0"), SETTINGS.candidate_k)
+
+
 DENSE_SQL = f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM e AS q, e WHERE q.vec_id % 20 = 0)
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM s QUALIFY rank < {SETTINGS.candidate_k}"""
@@ -78,9 +87,9 @@ HASHED_SQL = f"WITH {_buckets('documents', 'doc_id')} SELECT doc_id, CAST(bucket
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    docs, questions = _docs(spark, sf_dir), _questions(spark, sf_dir)
-    sparse = lexical.bm25(docs, questions, PREFETCH)
-    near = dense.nearest(dense.bucket_vectors(questions, "item_id"), dense.bucket_vectors(docs, "doc_id"), PREFETCH)
+    questions = _questions(spark, sf_dir)
+    sparse = kept.document_index(spark, sf_dir).search(questions, PREFETCH)
+    near = dense.nearest(dense.bucket_vectors(questions, "item_id"), kept.document_vectors(spark, sf_dir), PREFETCH)
     return fusion.reciprocal_rank([sparse, near.withColumnsRenamed({"query_id": "item_id", "id": "doc_id"})], "item_id", "doc_id", k)
 
 
@@ -106,10 +115,11 @@ _HALVES = r"""halves AS (SELECT item_id, array_to_string(w[1:CAST(ceil(len(w) /
 
 
 def _variants(spark: SparkSession, sf_dir: str, exhaustive: bool) -> DataFrame:
-    docs, questions = _docs(spark, sf_dir), _questions(spark, sf_dir)
-    k = SETTINGS.candidate_k
-    full, half = lexical.bm25(docs, questions, k), lexical.bm25(docs, _halves(questions), k)
-    return fusion.merge_variants(half, full, "item_id", "doc_id", k, exhaustive)
+    index, questions, k = kept.document_index(spark, sf_dir), _questions(spark, sf_dir), SETTINGS.candidate_k
+    half = written(index.search(_halves(questions), k))
+    if not exhaustive:  # the whole question is searched only where its half found too little
+        questions = questions.join(half.groupBy("item_id").count().where(F.col("count") >= k), "item_id", "left_anti")
+    return fusion.merge_variants(half, index.search(questions, k), "item_id", "doc_id", k, True)
 
 
 def variant_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +142,7 @@ SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) -
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical candidates with their questions and passages: the texts join after the cut."""
-    hits = lexical.bm25(_docs(spark, sf_dir), _questions(spark, sf_dir), SETTINGS.candidate_k)
+    hits = kept.document_index(spark, sf_dir).search(_questions(spark, sf_dir), SETTINGS.candidate_k)
     return hits.join(_questions(spark, sf_dir).withColumnRenamed("text", "question"), "item_id").join(_docs(spark, sf_dir).withColumnRenamed("text", "passage"), "doc_id")
 
 
@@ -181,7 +191,7 @@ def eval_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     words = F.slice(T.tokens(F.col("text")), 5, 25)
     asked = docs.join(chosen, "doc_id").select(F.col("doc_id").alias("case_id"), F.array_join(words, " ").alias("text"), F.concat(F.lit("doc/"), "doc_id", F.lit("/")).alias("expected_source"))
-    hits = lexical.bm25(docs, asked, SETTINGS.top_k, question_id="case_id").select("case_id", F.concat(F.lit("doc/"), "doc_id", F.lit("/")).alias("source"), F.lit(None).cast("string").alias("title"))
+    hits = kept.document_index(spark, sf_dir).search(asked, SETTINGS.top_k, question_id="case_id").select("case_id", F.concat(F.lit("doc/"), "doc_id", F.lit("/")).alias("source"), F.lit(None).cast("string").alias("title"))
     return evaluate.hit_rate(asked, hits)
 
 
@@ -193,7 +203,7 @@ FROM (SELECT (SELECT count(*) FROM asked) AS total, (SELECT count(DISTINCT case_
 
 def retrieval_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best lexical hits of every question, as a person looks at them; documents have no title."""
-    hits = lexical.bm25(_docs(spark, sf_dir), _questions(spark, sf_dir), SETTINGS.top_k).join(_docs(spark, sf_dir), "doc_id").withColumn("title", F.lit(None).cast("string"))
+    hits = kept.document_index(spark, sf_dir).search(_questions(spark, sf_dir), SETTINGS.top_k).join(_docs(spark, sf_dir), "doc_id").withColumn("title", F.lit(None).cast("string"))
     return evaluate.diagnostics(hits, "item_id")
 
 
@@ -213,6 +223,7 @@ QUERIES = {
     "idf_stats": idf_stats,
     "bm25_topk": bm25_topk,
     "dense_topk": dense_topk,
+    "ivf_topk": ivf_topk,
     "hashed_embedding": hashed_embedding,
     "hybrid_rrf": hybrid_rrf,
     "variant_merge": variant_merge,

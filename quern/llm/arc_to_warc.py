@@ -11,7 +11,10 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import re
+import zlib
 from collections.abc import Iterator
+from datetime import datetime
 from urllib.parse import quote
 
 import numpy as np
@@ -61,14 +64,31 @@ def build_arc(records: list[tuple[str | None, str, str, bytes]], version: int, n
     return b"".join(out) + b"\n"
 
 
-def parse_arc(content: bytes) -> Iterator[dict]:
+# a header line is read from what can't be mistaken: the address and date before the content type, and the fields at its end
+_BEGIN = r"(?P<url>.*) (?P<ip>[0-9A-Fa-f:.]+|-) (?P<date>[0-9]{4,14}) (?P<content_type>.*\S)"
+_HEADERS = {1: re.compile(_BEGIN + r" (?P<length>[0-9]+)"), 2: re.compile(_BEGIN + "".join(f" (?P<{f}>\\S+)" for f in ARC_FIELDS[2][4:-1]) + r" (?P<length>[0-9]+)")}
+
+
+def parse_arc(content: bytes, strict: bool = True) -> Iterator[dict]:
     """The records of an ARC file, of either version and gzipped or not: its header fields and ``content``.
 
     The version block tells the version; each content is taken by its declared length, whatever
-    it holds.  A header line that doesn't fit the version, or a length beyond the end, is an error.
+    it holds.  URLs and content types may hold blanks.  A header line that doesn't fit the version, or a length beyond
+    the end, is an error, raised if ``strict`` and else given as a record of ``error`` and ``content`` (what was there); after
+    one whose length isn't known or isn't there, nothing more can be read.
     """
+
+    def bad(reason: str, held: bytes) -> dict:
+        if strict:
+            raise ValueError(reason)
+        return {"error": reason, "content": held}
+
     if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
+        try:
+            content = gzip.decompress(content)
+        except (OSError, EOFError, zlib.error) as e:
+            yield bad(f"an ARC file is no gzip file: {e}", content)
+            return
     at, version = 0, 0
     while at < len(content):
         end = content.find(b"\n", at)
@@ -76,29 +96,41 @@ def parse_arc(content: bytes) -> Iterator[dict]:
             at += 1
             continue
         if end < 0:
-            raise ValueError("an ARC header line has no end")
-        fields = content[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
-        size = int(fields[-1])
+            yield bad("an ARC header line has no end", content[at:])
+            return
+        line = content[at:end].decode("utf-8", "replace").rstrip("\r")
+        length = line.rpartition(" ")[2]
+        if not (length.isascii() and length.isdigit()):
+            yield bad("an ARC header line has no length", content[at:])
+            return
+        size = int(length)
         body = content[end + 1 : end + 1 + size]
-        if size < 0 or len(body) < size:
-            raise ValueError("an ARC record ends before its declared length")
-        at = end + 1 + size
+        if len(body) < size:
+            yield bad("an ARC record ends before its declared length", content[at:])
+            return
+        begun, at = at, end + 1 + size
         if not version:
-            if not fields[0].startswith("filedesc://"):
-                raise ValueError("an ARC file begins with a version block")
-            version = int(body.split(b" ", 1)[0])
-            if version not in ARC_FIELDS:
-                raise ValueError(f"unknown ARC version {version}")
+            told = body.split(b" ", 1)[0]
+            if not line.startswith("filedesc://") or not told.isdigit() or int(told) not in ARC_FIELDS:
+                yield bad("an ARC file begins with a version block of a known version", content)
+                return
+            version = int(told)
             continue
-        if len(fields) != len(ARC_FIELDS[version]):
-            raise ValueError(f"an ARC {version} header line has {len(fields)} fields")
-        yield dict(zip(ARC_FIELDS[version], fields, strict=True)) | {"content": body}
+        fields = _HEADERS[version].fullmatch(line)
+        yield fields.groupdict() | {"content": body} if fields else bad(f"an ARC {version} header line has other fields: {line[:200]}", content[begun:at])
+
+
+#: The date of a record whose own is none.
+NO_DATE = "1970-01-01T00:00:00Z"
 
 
 def _warc_date(date: str) -> str:
-    """A WARC timestamp of an ARC date of 14 digits, or of its first 4 to 12."""
+    """A WARC timestamp of an ARC date of 14 digits, or of its first 4 to 12; NO_DATE if there is no such time."""
     d = date + "00000101000000"[len(date) :] if len(date) < 14 else date
-    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+    try:
+        return datetime.strptime(d, "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ").rjust(20, "0")
+    except ValueError:
+        return NO_DATE
 
 
 def record_id(key: str) -> str:
@@ -106,12 +138,12 @@ def record_id(key: str) -> str:
     return f"urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]}"
 
 
-RECORD = "key long, id string, date string, uri string, content_type string, http binary, payload binary, digest string"
+RECORD = "key long, id string, date string, uri string, content_type string, http binary, payload binary, digest string, error string"
 
 
 def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split(" ")[0] for x in RECORD.split(", ")]
-    types = [pa.int64(), *[pa.string()] * 4, pa.binary(), pa.binary(), pa.string()]
+    types = [pa.int64(), *[pa.string()] * 4, pa.binary(), pa.binary(), pa.string(), pa.string()]
     batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
     for batch in batches:
         for content, keys in zip(batch.column(0), batch.column(1), strict=True):
@@ -120,12 +152,13 @@ def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             content, keys = content.as_py(), keys.as_py()
             archive = hashlib.sha256(content).hexdigest()
             rows, size = [], 0
-            for i, r in enumerate(parse_arc(content)):
-                body, http = r["content"], b""
-                if body[:5] == b"HTTP/" and (cut := body.find(b"\r\n\r\n")) >= 0:
+            for i, r in enumerate(parse_arc(content, strict=False)):
+                body, http, error = r["content"], b"", r.get("error")
+                if error is None and body[:5] == b"HTTP/" and (cut := body.find(b"\r\n\r\n")) >= 0:
                     http, body = body[: cut + 4], body[cut + 4 :]
                 digest = hashlib.sha256(body).hexdigest()
-                rows.append((keys[i] if keys is not None else None, record_id(f"{archive} {i} {digest}"), _warc_date(r["date"]), r["url"], r["content_type"], http, body, digest))
+                key = keys[i] if keys is not None and i < len(keys) else None
+                rows.append((key, record_id(f"{archive} {i} {digest}"), _warc_date(r.get("date", "")), r.get("url"), r.get("content_type"), http, body, digest, error))
                 size += len(body)
                 if size >= BATCH_BYTES:
                     yield batch_of(rows)
@@ -139,7 +172,8 @@ def convert_arc(archives: DataFrame) -> DataFrame:
 
     ``archives`` has ``content`` (binary; null: none) and ``keys`` (an array of longs, one per
     record in order, or null, as ARC has no field for them: then keys are null).  An HTTP header at the start of a record is
-    split from its payload.  An id is made of the archive's digest, the record's place in it and its
+    split from its payload.  What can't be read is a record with an ``error``, its bytes the payload: it is never
+    written as a WARC record, and fails no other.  An id is made of the archive's digest, the record's place in it and its
     payload's digest: the same for the same archive, and no two records of different archives share one.
     """
     return archives.select("content", "keys").mapInArrow(_convert, RECORD)
@@ -180,7 +214,7 @@ def with_revisits(records: DataFrame) -> DataFrame:
     are records that repeat its key; records without a key are always stored.  Payloads aren't
     shuffled where the ids of revisits fit a broadcast, and never by a digest that many share.
     """
-    narrow = records.where((F.octet_length("payload") >= REVISIT_BYTES) & F.col("key").isNotNull()).select("digest", "key", "id", "uri", "date")
+    narrow = records.where((F.octet_length("payload") >= REVISIT_BYTES) & F.col("key").isNotNull() & F.col("error").isNull()).select("digest", "key", "id", "uri", "date")
     stored = narrow.groupBy("digest").agg(F.min(F.struct("key", "id", "uri", "date")).alias("refers"), F.count(F.lit(1)).alias("n")).where("n > 1")
     again = narrow.join(small_or_not(written(stored.drop("n"))), "digest").where("key > refers.key").select("id", "refers")
     return records.join(small_or_not(written(again)), "id", "left").withColumn("type", F.when(F.col("refers").isNull(), "response").otherwise("revisit"))
@@ -248,7 +282,7 @@ def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> N
     is the byte which every member ends with, so the files are plain members one after another.
     """
     names = ["key", "id", "date", "uri", "content_type", "http", "payload", "digest", "type", "refers"]
-    rows = records.select(*names).mapInArrow(_members(file_bytes), "file int, value binary")
+    rows = records.where("error is null").select(*names).mapInArrow(_members(file_bytes), "file int, value binary")
     rows = rows.select("file", F.col("value").cast("string").alias("value"))  # bytes as they are
     rows.write.partitionBy("file").option("compression", "none").option("lineSep", _LAST.decode()).text(path)
 
@@ -306,6 +340,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``pages`` through both archives; a null html is an empty payload, repeats and nulls are as ``with_revisits`` says."""
     records = written(convert_arc(pages_as_arc(table(spark, sf_dir, "pages"))))
     path = shared_dir(spark)
     write_warc(with_revisits(records), path)

@@ -39,6 +39,22 @@ def _gnu(name: str, version: str, thing: str = "program") -> str:
     )
 
 
+def _gnu_notice(name: str, version: str) -> str:
+    return f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version"
+
+
+def _spdx(name: str) -> str:
+    return f"SPDX-License-Identifier: {name}"
+
+
+# labels by identifiers of one line, and the words that decide
+_IDENTIFIERS = [
+    ("mit", "MIT", "mit"), ("apache-2", "Apache-2.0", "apache 2"), ("gpl-2", "GPL-2.0", "gpl 2"), ("gpl-3", "GPL-3.0", "gpl 3"), ("lgpl-2.1", "LGPL-2.1", "lgpl 2 1"), ("lgpl-3", "LGPL-3.0", "lgpl 3"),
+    ("agpl-3", "AGPL-3.0", "agpl 3"), ("bsd-2-clause", "BSD-2-Clause", "bsd 2"), ("bsd-3-clause", "BSD-3-Clause", "bsd 3"), ("isc", "ISC", "isc"), ("mpl-2", "MPL-2.0", "mpl 2"), ("epl-2", "EPL-2.0", "epl 2"),
+    ("zlib", "Zlib", "zlib"), ("unlicense", "Unlicense", "unlicense"), ("cc0-1", "CC0-1.0", "cc0 1"),
+]
+
+
 def _cc(parts: str, version: str, kind: str) -> str:
     return f"This work is licensed under a Creative Commons {parts} {version} {kind} License"
 
@@ -70,6 +86,18 @@ TEMPLATES = [
     ("lgpl-2.1", _gnu("Lesser General Public License", "2.1", "library"), ("gnu lesser general", "either version 2 1 of")),
     ("lgpl-3", _gnu("Lesser General Public License", "3"), ("gnu lesser general", "either version 3 of")),
     ("agpl-3", _gnu("Affero General Public License", "3"), ("gnu affero general", "either version 3 of")),
+    ("gpl-2", _gnu_notice("General Public License", "2"), ("gnu general public", "either version 2 of")),
+    ("gpl-3", _gnu_notice("General Public License", "3"), ("gnu general public", "either version 3 of")),
+    ("agpl-3", "Licensed under the GNU Affero General Public License version 3", ("gnu affero general", "license version 3")),
+    ("lgpl-2.1", "Licensed under the GNU Lesser General Public License version 2.1", ("gnu lesser general", "license version 2 1")),
+    ("lgpl-3", "Licensed under the GNU Lesser General Public License version 3", ("gnu lesser general", "license version 3")),
+    ("epl-2", "made available under the terms of the Eclipse Public License 2.0", ("eclipse public license", "public license 2 0")),
+    ("epl-2", "made available under the terms of the Eclipse Public License v. 2.0", ("eclipse public license", "license v 2 0")),
+    ("isc", "released under the ISC license", ("the isc license",)),
+    ("isc", "licensed under the ISC license", ("the isc license",)),
+    ("cc0-1", "dedicated to the public domain under the Creative Commons CC0 1.0 Universal Public Domain Dedication", ("cc0 1 0",)),
+    ("cc0-1", "released under CC0 1.0 Universal", ("cc0 1 0",)),
+    *[(label, _spdx(name), (f"license identifier {decides}",)) for label, name, decides in _IDENTIFIERS],
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ()),
     ("bsd-2-clause", _BSD + _BSD_WARRANTY, ("in binary form", "with the distribution this software is")),
     (
@@ -106,7 +134,7 @@ TEMPLATES = [
     ),
     *[
         (label, _cc(parts, version, kind), (f"commons {decides}",) if len(decides.split()) > 1 else ())
-        for version, kind in (("4.0", "International"), ("3.0", "Unported"))
+        for version, kind in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic"))
         for label, parts, decides in (
             ("cc-by", "Attribution", f"attribution {version[0]}"),
             ("cc-by-sa", "Attribution-ShareAlike", "attribution sharealike"),

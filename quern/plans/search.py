@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import SETTINGS
 from ..functions import text as T
-from ..operators import answering, dense, evaluate, fusion, lexical, rerank
+from ..operators import answering, dense, evaluate, fusion, language, lexical, rerank
 from ..operators.routing import route
 from ..operators.store import written
 from . import kept
@@ -218,7 +218,31 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answering.answer(routed, answering.build_context(hits, "item_id"), "item_id").select("item_id", "route", "lang", "answer")
 
 
+def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, by profiles of the languages that the table tells."""
+    docs = _docs(spark, sf_dir)
+    return language.detected(docs, written(language.profiles(docs)))
+
+
+_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\P{L}+'), lambda x: x <> '')"
+_CUT = "unnest(list_transform(range(1, length(word) + 1), lambda i: substr(' ' || word || ' ', i, 3)))"
+LANGUAGE_SQL = f"""WITH s AS (SELECT DISTINCT doc_id, lang FROM documents WHERE lang IS NOT NULL AND doc_id IS NOT NULL),
+chosen AS (SELECT doc_id, lang FROM s QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) <= {language.SAMPLE}),
+w AS (SELECT doc_id, lang, word, count(*) AS n FROM (SELECT doc_id, lang, unnest({_WORDS}) AS word FROM documents) GROUP BY ALL),
+g AS (SELECT doc_id, lang, gram, sum(n) AS n FROM (SELECT doc_id, lang, n, {_CUT} AS gram FROM w) GROUP BY ALL),
+c AS (SELECT lang, gram, sum(n) AS n FROM g JOIN chosen USING (doc_id, lang) GROUP BY ALL),
+common AS (SELECT gram FROM c GROUP BY gram ORDER BY sum(n) DESC, gram LIMIT {language.GRAMS}),
+p AS (SELECT t.lang, gram, ln((coalesce(n, 0) + 1) / (total + {language.GRAMS})) AS weight
+      FROM (SELECT lang, sum(n) AS total FROM c GROUP BY lang) AS t CROSS JOIN common LEFT JOIN c USING (lang, gram)),
+d AS (SELECT doc_id, gram, sum(n) AS n FROM g GROUP BY ALL),
+x AS (SELECT doc_id, p.lang, round(sum(n * weight) / sum(n), 6) AS score FROM d JOIN p USING (gram) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS place FROM x)
+SELECT i.doc_id, coalesce(a.lang, 'und') AS detected, coalesce(round(a.score - b.score, 6), 0) AS margin
+FROM (SELECT DISTINCT doc_id FROM documents) AS i LEFT JOIN r AS a ON a.doc_id = i.doc_id AND a.place = 1 LEFT JOIN r AS b ON b.doc_id = i.doc_id AND b.place = 2"""
+
+
 QUERIES = {
+    "detect_language": detect_language,
     "term_postings": term_postings,
     "idf_stats": idf_stats,
     "bm25_topk": bm25_topk,
@@ -236,6 +260,7 @@ QUERIES = {
     "answers": answers,
 }
 ORACLES = {
+    "detect_language": LANGUAGE_SQL,
     "term_postings": f"WITH {_POSTS} SELECT doc_id, term, CAST(dl AS INT) AS dl, tf FROM posts",
     "idf_stats": f"WITH {_POSTS} SELECT term, df, cf FROM df",
     "bm25_topk": f"WITH {_POSTS}, {_bm25('h', 'benchmark', 'item_id', SETTINGS.candidate_k)} SELECT item_id, doc_id, score, rank FROM h",

@@ -141,37 +141,43 @@ def http_fetcher(resolve: Callable[[str], list[str]] | None = None, timeout_s: f
     return get
 
 
+#: What is known of a fetched address.
+FETCHED = {"url": pa.string(), "final_url": pa.string(), "kind": pa.string(), "content": pa.binary(), "error": pa.string()}
+
+
+def fetch_one(url: str, fetcher: Fetcher, resolve: Callable[[str], list[str]] | None = None) -> tuple[str | None, str | None, bytes | None, str | None]:
+    """(final address, kind, content, error) of an address; the address after redirects must be one that may be fetched, too."""
+    if reason := check_url(url or "", resolve):
+        return None, None, None, reason
+    try:
+        final, content_type, content = fetcher(url)
+        if reason := check_url(final, resolve) if final != url else None:
+            return final, None, None, f"redirect: {reason}"
+        kind = content_type.partition(";")[0].strip().lower()
+        pdf = kind == "application/pdf" or urlsplit(final).path.lower().endswith(".pdf")
+        if not pdf and kind not in HTML_TYPES:
+            return final, None, None, f"content type {kind}"
+        name, limit = ("pdf", MAX_WEB_PDF_BYTES) if pdf else ("html", MAX_HTML_BYTES)
+        try:
+            return final, name, _limited(content, limit), None
+        except TooLarge:
+            return final, name, None, "too large"
+    except Exception as e:  # one address's failure is its own
+        return None, None, None, str(e) or type(e).__name__
+
+
 def fetch(urls: DataFrame, fetcher: Fetcher, resolve: Callable[[str], list[str]] | None = None) -> DataFrame:
     """(url, final_url, kind, content, error) of ``urls`` (url): pages up to 5 MB, PDF files up to 30 MB.
 
     ``fetcher`` gives the address after redirects, the content type, and the body as bytes or in pieces, of which no
-    more are taken than the limit allows.  The address after redirects must be one that may be fetched, too.
+    more are taken than the limit allows.
     """
 
-    def one(url: str) -> tuple:
-        if reason := check_url(url, resolve):
-            return None, None, None, reason
-        try:
-            final, content_type, content = fetcher(url)
-            if reason := check_url(final, resolve) if final != url else None:
-                return final, None, None, f"redirect: {reason}"
-            kind = content_type.partition(";")[0].strip().lower()
-            pdf = kind == "application/pdf" or urlsplit(final).path.lower().endswith(".pdf")
-            if not pdf and kind not in HTML_TYPES:
-                return final, None, None, f"content type {kind}"
-            name, limit = ("pdf", MAX_WEB_PDF_BYTES) if pdf else ("html", MAX_HTML_BYTES)
-            try:
-                return final, name, _limited(content, limit), None
-            except TooLarge:
-                return final, name, None, "too large"
-        except Exception as e:  # one address's failure is its own
-            return None, None, None, str(e) or type(e).__name__
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*[one(u) for u in batch.column(0).to_pylist()], strict=True)) or [[], [], [], []]
-            types = [pa.string(), pa.string(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), t) for c, t in zip(rows, types, strict=True)]], ["url", "final_url", "kind", "content", "error"])
+            for url in batch.column(0).to_pylist():
+                row = (url, *fetch_one(url, fetcher, resolve))
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, FETCHED.values(), strict=True)], list(FETCHED))
 
     return urls.select("url").mapInArrow(run, "url string, final_url string, kind string, content binary, error string")
 

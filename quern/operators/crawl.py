@@ -71,7 +71,7 @@ def crawl_pages(seeds: DataFrame, fetch: Fetch, max_depth: int = 1, max_pages: i
     levels, found, visited = [], [], None
     for depth in range(max_depth + 1):
         place = F.row_number().over(Window.partitionBy("seed").orderBy("url"))
-        left = frontier.withColumn("_place", place)
+        left = frontier.withColumn("_place", place).where(F.col("_place") <= max_pages)  # so many of a task's are shuffled, at most
         if visited is not None:
             left = left.join(visited.groupBy("seed").agg(F.count(F.lit(1)).alias("_n")), "seed", "left")
         budget = F.lit(max_pages) - (F.coalesce("_n", F.lit(0)) if visited is not None else F.lit(0))

@@ -1,12 +1,11 @@
 """Tables of positioned cells into text: headers, columns, continuations and headings.
 
 Cells are (doc, page, table_no, row_no, cell_no, x0, x1, text) rows; header merging is a fold
-over a few leading rows and runs per table, all else is joins and windows.
+over a few leading rows of each table, all else is joins and windows.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +24,6 @@ def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.when(common <= 0, 0.0).otherwise(common / F.when(width == 0, 1.0).otherwise(width))
 
 
-def _overlap(a0: float, a1: float, b0: float, b1: float) -> float:
-    common = min(a1, b1) - max(a0, b0)
-    return 0.0 if common <= 0 else common / (min(a1 - a0, b1 - b0) or 1.0)
-
-
 def clean_cells(cells: DataFrame) -> DataFrame:
     """Cells with their newlines as spaces, without empty ones."""
     return cells.withColumn("text", F.trim(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))).where("text <> ''")
@@ -51,38 +45,39 @@ def split_header(cells: DataFrame) -> DataFrame:
     return cells.join(marked, [*TABLE, "row_no"])
 
 
-def merged_name(parts: list[str]) -> str:
-    """Fragments of a column's name: each once, and of words that differ by case only the first."""
-    words = " ".join(dict.fromkeys(parts)).split()
-    return " ".join({w.lower(): w for w in reversed(words)}[k] for k in dict.fromkeys(w.lower() for w in words))
+def merged_name(parts: Column) -> Column:
+    """Fragments (an array) of a column's name: each once, and of words that differ by case only the first."""
+    words = F.filter(F.split(F.array_join(F.array_distinct(parts), " "), r"(?U)\s+"), lambda w: w != "")
+    lowered = F.transform(words, F.lower)
+    return F.array_join(F.filter(words, lambda w, i: F.array_position(lowered, F.lower(w)) == i + 1), " ")
+
+
+_COLUMN = "struct<x0: double, x1: double, parts: array<string>>"
 
 
-def _columns_of(frame: pd.DataFrame) -> pd.DataFrame:
-    found: list[list] = []  # x0, x1, fragments
-    for r in frame.sort_values(["row_no", "cell_no"]).itertuples():
-        if len(r.text) > 60 or len(r.text.split()) > 8:
-            continue
-        near = next((c for c in found if _overlap(r.x0, r.x1, c[0], c[1]) >= MIN_OVERLAP), None)
-        if near is None:
-            found.append([r.x0, r.x1, [r.text]])
-        elif r.x1 - r.x0 < (near[1] - near[0]) * SUBCOLUMN:
-            found.append([r.x0, r.x1, [merged_name(near[2]), r.text]])
-        else:
-            near[0], near[1] = min(near[0], r.x0), max(near[1], r.x1)
-            near[2].append(r.text)
-    found.sort(key=lambda c: c[0])
-    key = {k: frame[k].iloc[0] for k in TABLE}
-    rows = [key | {"col": i, "x0": c[0], "x1": c[1], "name": merged_name(c[2])} for i, c in enumerate(found)] if len(found) > 1 else []
-    return pd.DataFrame(rows, columns=[*TABLE, "col", "x0", "x1", "name"])
+def _with_fragment(found: Column, r: Column) -> Column:
+    """The columns found so far with one more fragment: in the first that it overlaps, as a sub-column of a much wider one, or as one of its own."""
+    at = F.array_position(F.transform(found, lambda c: overlap(r["x0"], r["x1"], c["x0"], c["x1"]) >= MIN_OVERLAP), True).cast("int")
+    near = F.get(found, at - 1)
+    column = lambda x0, x1, parts: F.struct(x0.alias("x0"), x1.alias("x1"), parts.alias("parts")).cast(_COLUMN)
+    own = column(r["x0"], r["x1"], F.array(r["text"]))
+    below = column(r["x0"], r["x1"], F.array(merged_name(near["parts"]), r["text"]))
+    wider = lambda c: column(F.least(c["x0"], r["x0"]), F.greatest(c["x1"], r["x1"]), F.concat(c["parts"], F.array(r["text"])))
+    narrow = r["x1"] - r["x0"] < (near["x1"] - near["x0"]) * SUBCOLUMN
+    return F.when(at == 0, F.concat(found, F.array(own))).when(narrow, F.concat(found, F.array(below))).otherwise(F.transform(found, lambda c, i: F.when(i == at - 1, wider(c)).otherwise(c)))
 
 
 def header_columns(cells: DataFrame) -> DataFrame:
     """(table, col, x0, x1, name): the columns of every table's header rows; a single one is no header.
 
-    A fragment joins the first column that it overlaps, or makes a sub-column of a much wider one.
+    Fragments are taken by row and cell, in one fold a table: header rows are few.  Long ones name no column.
     """
-    header = cells.where("is_header").select(*TABLE, "row_no", "cell_no", "x0", "x1", "text")
-    return header.groupBy(*TABLE).applyInPandas(_columns_of, "doc string, page int, table_no int, col int, x0 double, x1 double, name string")
+    short = (F.length("text") <= 60) & (F.size(F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")) <= 8)
+    fragments = F.array_sort(F.collect_list(F.struct("row_no", "cell_no", "x0", "x1", "text")))
+    held = cells.where("is_header").where(short).groupBy(*TABLE).agg(fragments.alias("f"))
+    found = held.select(*TABLE, F.aggregate("f", F.array().cast(f"array<{_COLUMN}>"), _with_fragment).alias("found")).where(F.size("found") > 1)
+    ordered = F.array_sort(F.transform("found", lambda c, i: F.struct(c["x0"].alias("x0"), i.alias("i"), c["x1"].alias("x1"), merged_name(c["parts"]).alias("name"))))
+    return found.select(*TABLE, F.posexplode(ordered).alias("col", "c")).select(*TABLE, "col", "c.x0", "c.x1", "c.name")
 
 
 def stitched(cells: DataFrame, columns: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ The standard library's parser reads the page; the tree is only as deep as what i
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlsplit
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE = frozenset("script style nav footer header noscript iframe form svg aside button".split())
 ROOTS = ("main", "article", "body")
+#: Tables within tables that are tables of their own; rows of deeper ones are rows of the last of these.
+NESTED = 64
 
 
 def table_markdown(rows: list[list[str]]) -> str:
@@ -34,11 +37,14 @@ class PageReader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[str] = []
+        self.count: Counter[str] = Counter()  # of open elements by tag, so that none need be searched
+        self.noise = 0
         self.nodes: dict[str, list[str]] = {r: [] for r in ("", *ROOTS)}
         self.done: set[str] = set()
         self.title: list[str] = []
         self.links: list[str] = []
         self.tables: list[dict] = []
+        self.own: list[bool] = []  # for each open table, whether it is one of ``tables``
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "a" and (href := dict(attrs).get("href")):
@@ -46,42 +52,45 @@ class PageReader(HTMLParser):
         if tag in VOID:
             return
         self.open.append(tag)
-        if tag == "table" and not self._noise():
-            self.tables.append({"rows": []})
+        self.count[tag] += 1
+        self.noise += tag in NOISE
+        if tag == "table":
+            self.own.append(not self.noise and len(self.tables) < NESTED)
+            if self.own[-1]:
+                self.tables.append({"rows": []})
         elif self.tables and tag == "tr":
             self.tables[-1]["rows"].append([])
         elif self.tables and tag in ("td", "th") and self.tables[-1]["rows"]:
             self.tables[-1]["rows"][-1].append([])
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in self.open:
+        if not self.count[tag]:
             return
         while self.open:
             last = self.open.pop()
-            if last == "table" and self.tables:
+            self.count[last] -= 1
+            self.noise -= last in NOISE
+            if last == "table" and self.own.pop():
                 t = self.tables.pop()
                 text = table_markdown([[" ".join(c) for c in row] for row in t["rows"]])
                 if self.tables:
                     self.handle_data(text)
                 elif text:
                     self._keep(text.split("\n"))
-            if last in ROOTS and last not in self.open and self.nodes[last]:
+            if last in ROOTS and not self.count[last] and self.nodes[last]:
                 self.done.add(last)  # the first of its kind is the root
             if last == tag:
                 return
 
-    def _noise(self) -> bool:
-        return any(t in NOISE for t in self.open)
-
     def _keep(self, lines: list[str]) -> None:
         for root in self.nodes:
-            if not root or (root in self.open and root not in self.done):
+            if not root or (self.count[root] and root not in self.done):
                 self.nodes[root] += lines
 
     def handle_data(self, data: str) -> None:
-        if "title" in self.open and "body" not in self.open and "svg" not in self.open:
+        if self.count["title"] and not self.count["body"] and not self.count["svg"]:
             self.title.append(data)
-        if self._noise() or "title" in self.open:
+        if self.noise or self.count["title"]:
             return
         if self.tables:
             rows = self.tables[-1]["rows"]

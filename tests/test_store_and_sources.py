@@ -92,8 +92,19 @@ def test_source_list(spark):
     assert documents.read_sources(spark, "")[0].count() == 0
 
 
-def test_header_names():
-    assert tables.merged_name(["Ред.", "бр.", "Ред.", "БР."]) == "Ред. бр."
+def test_header_names(spark):
+    assert spark.range(1).select(tables.merged_name(F.array(*map(F.lit, ["Ред.", "бр.", "Ред.", "БР."])))).first()[0] == "Ред. бр."
+
+
+def test_header_columns_by_fragments(spark):
+    """A title over two sub-columns, a name in two rows, a long remark, and a table of one column."""
+    rows = [
+        ("d", 1, 1, 0, 0, 0.0, 10.0, "No"), ("d", 1, 1, 0, 1, 20.0, 60.0, "Points"), ("d", 1, 1, 1, 0, 0.0, 9.0, "no."), ("d", 1, 1, 1, 1, 20.0, 38.0, "oral"), ("d", 1, 1, 1, 2, 41.0, 60.0, "written"),
+        ("d", 1, 1, 1, 3, 70.0, 90.0, "x" * 61), ("d", 1, 2, 0, 0, 0.0, 5.0, "One"), ("d", 1, 2, 1, 0, 0.0, 5.0, "column"),
+    ]
+    cells = spark.createDataFrame([(*r, True) for r in rows], "doc string, page int, table_no int, row_no int, cell_no int, x0 double, x1 double, text string, is_header boolean")
+    got = [(r["col"], r["x0"], r["x1"], r["name"]) for r in tables.header_columns(cells).orderBy("col").collect()]
+    assert got == [(0, 0.0, 10.0, "No no."), (1, 20.0, 60.0, "Points"), (2, 20.0, 38.0, "Points oral"), (3, 41.0, 60.0, "Points written")]
 
 
 def test_overlap(spark):

@@ -58,6 +58,8 @@ class PageReader(HTMLParser):
             self.own.append(not self.noise and len(self.tables) < NESTED)
             if self.own[-1]:
                 self.tables.append({"rows": []})
+        elif self.noise:
+            pass
         elif self.tables and tag == "tr":
             self.tables[-1]["rows"].append([])
         elif self.tables and tag in ("td", "th") and self.tables[-1]["rows"]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .linkage import answer, forest, groups, link, lists
+from .linkage import answer, forest, groups, link
 from .spark_io import absent, table, written
 from .words import mixed
 
@@ -56,9 +56,32 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+class _Tables:
+    """The buckets of unit vectors in all tables; the projections of a dimension are made once."""
+
+    def __init__(self, projections: int, tables: int, width: float):
+        self.projections, self.tables, self.width = projections, tables, width
+        self.planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        dim = x.shape[1]
+        if dim not in self.planes:
+            rng = np.random.default_rng([405, dim])
+            self.planes[dim] = rng.standard_normal((dim, self.projections * self.tables)), rng.uniform(0, self.width, self.projections * self.tables)
+        a, shift = self.planes[dim]
+        out = np.empty((len(x), self.tables), np.int32)
+        for lo in range(0, len(x), 2048):
+            cells = np.floor((x[lo : lo + 2048] @ a + shift) / self.width).astype(np.int64).view(np.uint64).reshape(-1, self.tables, self.projections)
+            h = np.full(cells.shape[:2], dim, np.uint64)
+            for j in range(self.projections):
+                h = mixed(h + cells[:, :, j])
+            out[lo : lo + 2048] = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return out
+
+
 def _sign(projections: int, tables: int, config: PStableConfig, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        buckets = _Tables(projections, tables, config.width)
         for batch in batches:
             n = batch.num_rows
             vectors = batch.column(1)
@@ -74,16 +97,7 @@ def _sign(projections: int, tables: int, config: PStableConfig, kind: type):
                 at, x = at[ok], x[ok]
                 if not len(at):
                     continue
-                if dim not in planes:
-                    rng = np.random.default_rng([405, dim])
-                    planes[dim] = rng.standard_normal((dim, projections * tables)), rng.uniform(0, config.width, projections * tables)
-                a, shift = planes[dim]
-                for lo in range(0, len(at), 2048):
-                    cells = np.floor((_unit(x[lo : lo + 2048]) @ a + shift) / config.width).astype(np.int64).view(np.uint64).reshape(-1, tables, projections)
-                    h = np.full(cells.shape[:2], dim, np.uint64)
-                    for j in range(projections):
-                        h = mixed(h + cells[:, :, j])
-                    nodes[at[lo : lo + 2048]] = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                nodes[at] = buckets(_unit(x))
                 for i, v in zip(at.tolist(), x, strict=True):
                     payload[i] = (v + 0.0).astype(kind).tobytes()
                     sids[i] = hashlib.blake2b(payload[i], digest_size=16).hexdigest()
@@ -117,13 +131,17 @@ def _pairs(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, cosine: float)
             yield start + lo + i[up], start + j[up]
 
 
-def _check(config: PStableConfig, kind: type):
-    """The exact check: cosines in double precision, of many groups at a time; a pair counts under its first common node."""
+def _check(config: PStableConfig, kind: type, projections: int, tables: int):
+    """The exact check: cosines in double precision, of many groups at a time; a pair counts under its first common bucket.
+
+    Buckets of other tables don't travel with the vectors: they are worked out anew for those that have a link.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = _Tables(projections, tables, config.width)
         for t in groups(batches):
             rep, copies, tree, lo, hi, own = (t.column(c).to_numpy() for c in ("rep", "copies", "tree", "lo", "hi", "own"))
-            gid, nodes = t.column("gid").to_numpy(), lists(t.column("nodes"))
+            gid = t.column("gid").to_numpy()
             payload = t.column("payload").to_pylist()
             length = np.array([len(p) for p in payload])
             first, second = [np.zeros(0, int)], [np.zeros(0, int)]
@@ -132,12 +150,20 @@ def _check(config: PStableConfig, kind: type):
                 x = _unit(np.frombuffer(b"".join([payload[i] for i in at.tolist()]), kind).astype(np.float64).reshape(len(at), -1))
                 edge = np.flatnonzero(np.r_[True, gid[at][1:] != gid[at][:-1], True])
                 for i, j in _pairs(x, edge[:-1], np.diff(edge), config.cosine):
-                    for part in range(0, len(i), _AT_ONCE // nodes.shape[1] + 1):
-                        a, b = at[i[part : part + _AT_ONCE // nodes.shape[1] + 1]], at[j[part : part + _AT_ONCE // nodes.shape[1] + 1]]
-                        common = np.argmax(nodes[a] == nodes[b], axis=1)  # they share the node of this group's table
-                        mine = (common == tree[a]) & (nodes[a, tree[a]] == nodes[b, tree[a]]) & ((lo[a] == hi[a]) | (own[a] != own[b]))
-                        first.append(a[mine])
-                        second.append(b[mine])
+                    # each pair once a group: of several blocks, only across two of them
+                    across = (lo[at[i]] == hi[at[i]]) | (own[at[i]] != own[at[j]])
+                    i, j = i[across], j[across]
+                    linked, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+                    nodes = buckets(x[linked])
+                    step = _AT_ONCE // tables + 1
+                    for part in range(0, len(i), step):
+                        a, b = i[part : part + step], j[part : part + step]
+                        na, nb = nodes[place[: len(i)][part : part + step]], nodes[place[len(i) :][part : part + step]]
+                        here = tree[at[a]]
+                        earlier = (na == nb) & (np.arange(tables) < here[:, None])
+                        mine = ~earlier.any(1)
+                        first.append(at[a[mine]])
+                        second.append(at[b[mine]])
             a, b = np.concatenate(first), np.concatenate(second)
             if not len(a):
                 continue
@@ -164,7 +190,7 @@ def embedding_neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     signed = keyed.mapInArrow(_sign(projections, tables, config, stored), f"key struct<n: bigint, id: {kind}>, sid string, label array<int>, payload binary")
     signed = written(signed.select(F.col("key.n").alias("row"), F.col("key.id").alias("id"), "sid", "label", "payload"))
     once = lambda last, near: tables if last is None else None
-    linked = link(signed, _check(config, stored), "id", lambda n: F.col("label"), once)
+    linked = link(signed, _check(config, stored, projections, tables), "id", lambda n: F.col("label"), once, labelled=False)
     return linked.select(F.col("id").alias(id_col), "n_links", F.col("class_id").alias("component_id"), F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 

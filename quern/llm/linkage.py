@@ -184,13 +184,14 @@ def _blocks(thin: DataFrame, classes: bool, first: bool, done: DataFrame | None)
     return placed.select("rep", "tree", "own", "lo", "hi", F.xxhash64("tree", "node", "lo", "hi").alias("gid")), sizes.select("n", "who")
 
 
-def link(signed: DataFrame, check: Check, id_col: str, nodes: Callable[[int], Column], shorter: Callable[[int | None, np.ndarray], int | None], classes: bool = False) -> DataFrame:
+def link(signed: DataFrame, check: Check, id_col: str, nodes: Callable[[int], Column], shorter: Callable[[int | None, np.ndarray], int | None], classes: bool = False, labelled: bool = True) -> DataFrame:
     """``signed`` without its signature, with ``n_links`` (other rows linked to it) and ``class_id`` (least id of its component).
 
     ``signed`` has ``row`` (unique), an id, ``sid`` (null: links with nothing), ``label`` and
     ``payload``, and is a written table.  ``nodes`` gives the nodes (an array) of a length of labels,
     and ``shorter`` the next length to search by, or None, from the last one (at first None) and the
-    bins of the links found.  With ``classes`` alone, ``n_links`` is left out.
+    bins of the links found.  With ``classes`` alone, ``n_links`` is left out.  Unless ``labelled``, checks see the
+    payloads alone, without the nodes of all trees beside each.
     """
     spark = signed.sparkSession
     reps = written(signed.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(id_col).alias("first_id")))
@@ -211,7 +212,7 @@ def link(signed: DataFrame, check: Check, id_col: str, nodes: Callable[[int], Co
         placed, sizes = _blocks(rows.select("rep", "kind", F.posexplode("nodes").alias("tree", "node")), classes, first, done)
         if not classes:  # where all pairs of a node were checked, under it or an earlier one
             done = sizes if done is None else done.unionByName(sizes)
-        full = placed.join(rows, "rep").join(payload, "rep")
+        full = placed.join(rows if labelled else rows.select("rep", "copies"), "rep").join(payload, "rep")
         now = written(full.repartition("gid").sortWithinPartitions("gid").mapInArrow(check, FOUND))
         bins = now.where("near IS NOT NULL").select(F.posexplode("near").alias("bin", "links")).groupBy("bin").agg(F.sum("links")).collect()
         near = near + np.bincount([r[0] for r in bins], [r[1] for r in bins], BINS).astype(np.int64)

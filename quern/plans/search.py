@@ -154,13 +154,13 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reranked(spark, sf_dir).select("item_id", "doc_id", "score", "rerank_score", "rank")
 
 
-_RERANK = f"""{_POSTS}, {_bm25('sparse', 'benchmark', 'item_id', SETTINGS.candidate_k)},
+RERANKED = f"""{_POSTS}, {_bm25('sparse', 'benchmark', 'item_id', SETTINGS.candidate_k)},
 pair AS (SELECT s.*, d.source, d.lang, d.text, list_distinct({_terms('b.text')}) AS q, list_distinct({_terms('d.text')}) AS p
   FROM sparse AS s JOIN benchmark AS b USING (item_id) JOIN documents AS d USING (doc_id)),
 logit AS (SELECT *, round(1 / (1 + exp(-(CASE WHEN len(q) = 0 THEN -4.0 ELSE 8.0 * len(list_intersect(q, p)) / len(q) - 4.0 END))), 6) AS rerank_score FROM pair),
 top5 AS (SELECT item_id, doc_id, score, rerank_score, source, lang, text, row_number() OVER (PARTITION BY item_id ORDER BY rerank_score DESC, logit.rank) - 1 AS place
   FROM logit WHERE rerank_score >= {SETTINGS.rerank_threshold} QUALIFY place < {SETTINGS.top_k})"""
-RERANK_SQL = f"WITH {_RERANK} SELECT item_id, doc_id, score, rerank_score, place AS rank FROM top5"
+RERANK_SQL = f"WITH {RERANKED} SELECT item_id, doc_id, score, rerank_score, place AS rank FROM top5"
 
 
 def extract_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +180,7 @@ def build_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answering.build_context(hits, "item_id").select("item_id", F.md5("context").alias("digest"), F.length("context").alias("chars"))
 
 
-CONTEXT_SQL = f"""WITH {_RERANK}, c AS (SELECT item_id, '<context>' || chr(10) || string_agg('<doc id="' || (place + 1) || '" source="' || source || ' | ' || lang || '">' || chr(10)
+CONTEXT_SQL = f"""WITH {RERANKED}, c AS (SELECT item_id, '<context>' || chr(10) || string_agg('<doc id="' || (place + 1) || '" source="' || source || ' | ' || lang || '">' || chr(10)
   || replace(replace(substr(text, 1, {SETTINGS.context_chars}), '<', '&lt;'), '>', '&gt;') || chr(10) || '</doc>', chr(10) ORDER BY place) || chr(10) || '</context>' AS context FROM top5 GROUP BY item_id)
 SELECT item_id, md5(context) AS digest, length(context) AS chars FROM c"""
 

@@ -13,6 +13,7 @@ from ..operators import answering, chunking, crawl, fusion, routing, state, tabl
 from ..sources import html
 from . import fixtures as X
 from .corpus import _S, read
+from .search import RERANKED
 
 
 def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,17 +34,23 @@ def _votes() -> str:
     return known, f"CASE WHEN regexp_matches(question, '[\\x{{400}}-\\x{{4FF}}]') THEN 'mk' WHEN {best} = 0 THEN 'und' {pick} END"
 
 
-def _route_sql() -> str:
+def route_ctes(asked: str) -> str:
+    """CTEs a to d: questions (id, question) of a query, and what the router makes of them."""
     known, lang = _votes()
     one_line = f"substr(regexp_replace(regexp_replace(regexp_replace(question, '{P.CONTROL}', '', 'g'), '{_S}+', ' ', 'g'), '^ | $', '', 'g'), 1, 1000)"
-    refusals = " ".join(f"WHEN '{code}' THEN '{text.replace(chr(39), chr(39) * 2)}'" for code, text in P.REFUSALS.items())
-    fallback = P.REFUSALS["en"].replace("'", "''")
-    return rf"""WITH a AS (SELECT conv_id || '/' || turn AS id, text AS question FROM conversations WHERE role = 'user' UNION ALL SELECT 'q' || n, text FROM {X.values(X.QUESTIONS, 'n, text')}),
+    return rf"""a AS ({asked}),
 b AS (SELECT *, {one_line} AS o, regexp_split_to_array(lower(question), '[^\p{{L}}]+') AS w FROM a),
 c AS (SELECT *, regexp_matches(o, '{_re2(P.QUESTION_INJECTIONS)}') AS flagged, regexp_replace(o, '{_re2(P.QUESTION_INJECTIONS)}', '{P.QUESTION_MARK}', 'g') AS clean, {known} FROM b),
 d AS (SELECT *, {lang} AS lang, CASE WHEN clean = '' THEN 'invalid' WHEN regexp_matches(question, '{_re2(P.PROMPT_REQUESTS)}') THEN 'refusal'
   WHEN regexp_matches(question, '{_re2(P.AUTHORSHIP)}') THEN 'author'
-  WHEN len(list_filter(string_split(clean, ' '), lambda x: x <> '')) <= 5 AND regexp_matches(lower(clean), '{_re2(P.GREETINGS)}') THEN 'greeting' ELSE 'retrieve' END AS route FROM c)
+  WHEN len(list_filter(string_split(clean, ' '), lambda x: x <> '')) <= 5 AND regexp_matches(lower(clean), '{_re2(P.GREETINGS)}') THEN 'greeting' ELSE 'retrieve' END AS route FROM c)"""
+
+
+def _route_sql() -> str:
+    asked = f"SELECT conv_id || '/' || turn AS id, text AS question FROM conversations WHERE role = 'user' UNION ALL SELECT 'q' || n, text FROM {X.values(X.QUESTIONS, 'n, text')}"
+    refusals = " ".join(f"WHEN '{code}' THEN '{text.replace(chr(39), chr(39) * 2)}'" for code, text in P.REFUSALS.items())
+    fallback = P.REFUSALS["en"].replace("'", "''")
+    return rf"""WITH {route_ctes(asked)}
 SELECT id, route, flagged, lang, CASE route WHEN 'refusal' THEN CASE lang {refusals} ELSE '{fallback}' END WHEN 'author' THEN '{P.AUTHOR_REPLY}' WHEN 'greeting' THEN '{P.GREETING_REPLY}' ELSE '' END AS reply,
   NOT regexp_matches(question, '[\x{{400}}-\x{{4FF}}]') AS translate FROM d"""
 
@@ -351,7 +358,15 @@ QUERIES = {
     "heading_asof": heading_asof,
     "table_chunks": table_chunks,
 }
+#: Answers of benchmark questions: the reply, or the first line of the best passage as the context shows it.
+ANSWERS_SQL = rf"""WITH RECURSIVE {RERANKED}, {route_ctes("SELECT item_id AS id, text AS question FROM benchmark")},
+best AS (SELECT item_id, string_split(replace(replace(substr(text, 1, {SETTINGS.context_chars}), '<', '&lt;'), '>', '&gt;'), chr(10))[1] AS line FROM top5 WHERE place = 0)
+SELECT id AS item_id, route, lang, CASE route WHEN 'retrieve' THEN coalesce(nullif(line, ''), '{P.NO_INFORMATION}') WHEN 'greeting' THEN '{P.GREETING_REPLY}' WHEN 'author' THEN '{P.AUTHOR_REPLY}' ELSE '{P.NO_INFORMATION}' END AS answer
+FROM d LEFT JOIN best ON best.item_id = d.id"""
+
+
 ORACLES = {
+    "answers": ANSWERS_SQL,
     "html_extract": HTML_SQL,
     "html_links": LINKS_SQL,
     "route_questions": _route_sql(),

@@ -194,6 +194,10 @@ def features(text: str, start: int, kind: int, end: int) -> list[float]:
     ]
 
 
+#: Marks a spelling that only its surroundings tell from a number of another sort.
+PLAIN = "\0"
+
+
 def _otherwise(kind: int, s: str, pick, num) -> tuple[str, bool]:
     """A base span written another way, or something of that shape that is none, and whether it is personal data."""
     good = bool(int(num(1)) % 2)
@@ -212,7 +216,7 @@ def _otherwise(kind: int, s: str, pick, num) -> tuple[str, bool]:
         parts = [int(x) for x in s.split(".")]
         if good:
             six = [f"{x:x}" for x in (0x2001, 0xDB8, parts[0] * 256 + parts[1], int(num(4)), parts[2] * 256 + parts[3], parts[0] * 256 + parts[3], int(num(4)), parts[1] * 256 + parts[2] + 4096)]
-            return pick([s.replace(".", "[.]"), s.replace(".", "(.)"), s.replace(".", " . "), s.replace(".", "[dot]"), ":".join(six), f"2001:db8::{six[4]}", f"fe80::{six[2]}:{six[4]}", f"{six[0]}:{six[2]}::{six[7]}", f"{six[0]}:{pick(['db8', six[2]])}::{num(1)}", f"fe80::{six[2]}:{num(1)}"]), True
+            return pick([s.replace(".", "[.]"), s.replace(".", "(.)"), s.replace(".", " . "), s.replace(".", "[dot]"), ":".join(six), f"2001:db8::{six[4]}", f"fe80::{six[2]}:{six[4]}", f"{six[0]}:{six[2]}::{six[7]}", f"{six[0]}:{pick(['db8', six[2]])}::{num(1)}", f"fe80::{six[2]}:{num(1)}", f"fe80::{num(1)}", f"{six[0]}:{six[1]}::{num(1)}"]), True
         return pick([".".join([num(3), str(300 + int(num(2))), num(2), num(1)]).replace(".", pick(["[.]", "(.)", " . "])), ":".join(num(2) for _ in range(8)), f"{pick('abcdef')}::{pick('abcdef')}", ":".join(num(1) for _ in range(8)), f"{num(1)} . {num(1)} . {num(1)} . {num(1)}"]), False
     if kind == 2:
         if not good:
@@ -223,7 +227,7 @@ def _otherwise(kind: int, s: str, pick, num) -> tuple[str, bool]:
     n = digits[-10:]
     a, b, c = n[:3], n[3:6], n[6:]
     if good:
-        return pick([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"({a}){b}-{c}", f"0{a}/{b}{c}", f"00{digits[:-10] or '1'} {a} {b} {c}", f"0{a[:2]} {n[2:6]} {c}", f"{a}/{b}-{c}"]), True
+        return pick([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"({a}){b}-{c}", f"0{a}/{b}{c}", f"00{digits[:-10] or '1'} {a} {b} {c}", f"0{a[:2]} {n[2:6]} {c}", f"{a}/{b}-{c}", f"{PLAIN}{n}", f"{PLAIN}0{n[1:]}"]), True
     year = str(1900 + int(num(2)))
     return pick([f"{year}-{num(2)}-{num(2)} {num(2)}", f"{year}-{int(year) + 5} {num(2)}", f"{num(2)}/{num(2)}/{year}", f"{num(1)}.{num(3)}.{num(3)}.{num(3)}", f"97{num(1)}-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"{num(2)} {num(2)} {num(2)} {num(2)}", f"{num(3)}-{num(4)}", num(8), num(9), num(12), f"{num(5)}.{num(5)}"]), False
 
@@ -245,7 +249,12 @@ def examples(text: str, config: BoostConfig = BoostConfig()) -> list[tuple[list[
             if len(out) >= config.each:
                 return out
             written_so, good = _otherwise(kind, text[s:e], pick, num)
-            lead = pick(["", "", f"{pick(_CONTEXT[KINDS[kind]] if good or int(num(1)) < 2 else _IDLE)}{pick([' ', ': ', ' is '])}"])
+            plain, written_so = written_so.startswith(PLAIN), written_so.removeprefix(PLAIN)
+            told = good or int(num(1)) < 2
+            if kind == 3 and good and int(num(1)) < (5 if plain else 2):
+                good = told = False  # the same shape after a word for numbers of other sorts
+            word = f"{pick(_CONTEXT[KINDS[kind]] if told else _IDLE)}{pick([' ', ': ', ' is '])}"
+            lead = word if kind == 3 and (plain or not told) else pick(["", "", word])
             left = text[max(0, s - _BEFORE) : s] + lead
             snippet = left + written_so + text[e : e + _AFTER]
             a, b = len(left), len(left) + len(written_so)

@@ -121,7 +121,7 @@ def pii(spark):
 
 
 def test_spans_added_to_whole_documents(spark, pii):
-    """Spans of other formats than training saw, planted in other documents: precision and recall by document, and nothing added to untouched ones."""
+    """Spans of formats that examples are written in, planted in other documents: precision and recall by document, and nothing added to untouched ones."""
     rng = random.Random(11)
     num = lambda n: "".join(str(rng.randrange(10)) for _ in range(n))
 

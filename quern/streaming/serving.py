@@ -14,11 +14,16 @@ from ..operators.routing import route
 from ..operators.state import SlidingLimiter
 
 
-def stream_limiter(requests: DataFrame, key: str, limit: int = SETTINGS.rate_limit, window_s: float = SETTINGS.rate_window_s) -> DataFrame:
+def _timeout(forever: bool) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if forever else GroupStateTimeout.NoTimeout
+
+
+def stream_limiter(requests: DataFrame, key: str, limit: int = SETTINGS.rate_limit, window_s: float = SETTINGS.rate_window_s, forever: bool = True) -> DataFrame:
     """(key, id, t, allowed) of a stream of requests (key, id, t in seconds), each key by a sliding limiter.
 
     The state is the times of admitted requests of the last window, ``limit`` at most; it ends
-    when a key is idle for a window.
+    when a key is idle for a window.  With such timeouts Spark runs batches without end, new rows or not; a stream that is to end
+    with what is there (``availableNow``) takes ``forever=False``, and keeps its state.
     """
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -31,14 +36,18 @@ def stream_limiter(requests: DataFrame, key: str, limit: int = SETTINGS.rate_lim
             allowed = [machine.allow(t) for t in frame["t"].tolist()]
             yield pd.DataFrame({"key": [str(keys[0])] * len(frame), "id": frame["id"], "t": frame["t"], "allowed": allowed})
         state.update((list(machine.admitted),))
-        state.setTimeoutDuration(int(window_s * 1000) or 1)
+        if forever:
+            state.setTimeoutDuration(int(window_s * 1000) or 1)
 
     rows = requests.selectExpr(f"cast(`{key}` as string) as key", "id", "t")
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, id long, t double, allowed boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, id long, t double, allowed boolean", "times array<double>", "append", _timeout(forever))
 
 
-def stream_history(messages: DataFrame, turns: int = SETTINGS.history_turns, ttl_s: float = SETTINGS.history_ttl_s) -> DataFrame:
-    """(session, t, recent) of a stream of messages (session, t, role, text): the last ``turns`` messages, from an empty history after an idle ``ttl_s``."""
+def stream_history(messages: DataFrame, turns: int = SETTINGS.history_turns, ttl_s: float = SETTINGS.history_ttl_s, forever: bool = True) -> DataFrame:
+    """(session, t, recent) of a stream of messages (session, t, role, text): the last ``turns`` messages, from an empty history after an idle ``ttl_s``.
+
+    ``forever`` as in ``stream_limiter``.
+    """
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -54,9 +63,10 @@ def stream_history(messages: DataFrame, turns: int = SETTINGS.history_turns, ttl
                 out.append((keys[0], t, "\n".join(held[-turns:])))
             yield pd.DataFrame(out, columns=["session", "t", "recent"])
         state.update((held, last))
-        state.setTimeoutDuration(int(ttl_s * 1000) or 1)
+        if forever:
+            state.setTimeoutDuration(int(ttl_s * 1000) or 1)
 
-    return messages.groupBy("session").applyInPandasWithState(step, "session string, t double, recent string", "held array<string>, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return messages.groupBy("session").applyInPandasWithState(step, "session string, t double, recent string", "held array<string>, last double", "append", _timeout(forever))
 
 
 def serve(questions: DataFrame, respond: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

@@ -64,9 +64,9 @@ def test_stream_is_the_batch(spark, tmp_path):
     for n in range(2):
         spark.createDataFrame(data[n * 40 : n * 40 + 40], "key string, id long, t double").coalesce(1).write.parquet(f"{tmp_path}/in{n}")
     source = spark.readStream.schema("key string, id long, t double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
-    out = serving.stream_limiter(source, "key", limit=3, window_s=60)
+    out = serving.stream_limiter(source, "key", limit=3, window_s=60, forever=False)
     q = out.writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     got = {r["id"]: r["allowed"] for r in spark.table("limited").collect()}
     want = {}
     for key in "ab":
@@ -80,7 +80,7 @@ def test_questions_are_served_by_the_batch_operators(spark, tmp_path):
     source = spark.readStream.schema("id long, question string").parquet(f"{tmp_path}/q")
     seen = []
     q = serving.serve(source, lambda routed: routed.select("id", "route"), lambda df, n: seen.extend(df.collect()), f"{tmp_path}/c")
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     assert sorted((r["id"], r["route"]) for r in seen) == [(1, "greeting"), (2, "retrieve")]
 
 
@@ -88,8 +88,8 @@ def test_stream_history(spark, tmp_path):
     rows = [("s", float(t), "user", str(i)) for i, t in enumerate([0, 1, 2, 5000])]
     spark.createDataFrame(rows, "session string, t double, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/m")
     source = spark.readStream.schema("session string, t double, role string, text string").parquet(f"{tmp_path}/m")
-    q = serving.stream_history(source, turns=2).writeStream.format("memory").queryName("hist").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = serving.stream_history(source, turns=2, forever=False).writeStream.format("memory").queryName("hist").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     assert [r["recent"] for r in spark.table("hist").orderBy("t").collect()] == ["user: 0", "user: 0\nuser: 1", "user: 1\nuser: 2", "user: 3"]
 
 

@@ -23,15 +23,24 @@ def _stamp(rows: DataFrame) -> int:
     return files.agg(F.coalesce(F.sum(F.xxhash64("file_path", "file_size", "file_modification_time").cast("decimal(38,0)")), F.lit(0))).first()[0]
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def kept(spark: SparkSession, sf_dir: str, table: str, name: str, make: Callable[[DataFrame], T]) -> T:
-    """What ``make`` makes of the table, made once for a session and a state of its files."""
+    """What ``make`` makes of the table, made once for a session and a state of its files, and anew if its own files were cleared."""
     rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     key = (spark.sparkContext.applicationId, name, sf_dir)
     stamp = _stamp(rows)
     held = _KEPT.get(key)
-    if held is None or held[0] != stamp:
-        held = _KEPT[key] = (stamp, make(rows))
-    return held[1]
+    if held is not None and held[0] == stamp:
+        made = held[1]
+        files = made.inputFiles()[:1] if isinstance(made, DataFrame) else [made.path]
+        if all(_there(spark, f) for f in files):
+            return made
+    _KEPT[key] = (stamp, make(rows))
+    return _KEPT[key][1]
 
 
 def document_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:

@@ -247,7 +247,7 @@ _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 HTML_SQL = rf"""WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
 n AS (SELECT page_id, url, title, flatten(list_transform(regexp_split_to_array(body, '<[^>]*>'), lambda x: string_split({_plain('x')}, chr(10)))) AS nodes FROM a),
 t AS (SELECT page_id, url, title, array_to_string(list_filter(list_transform(nodes, lambda x: {_TRIM.format('x')}), lambda x: x <> ''), chr(10)) AS text FROM n)
-SELECT page_id, coalesce(nullif({_TRIM.format(f"regexp_replace({_plain('title')}, '\s+', ' ', 'g')")}, ''), url) AS title, md5(text) AS digest, length(text) AS chars FROM t"""
+SELECT page_id, coalesce(nullif({_TRIM.format(rf"regexp_replace({_plain('title')}, '\s+', ' ', 'g')")}, ''), url) AS title, md5(text) AS digest, length(text) AS chars FROM t"""
 LINKS_SQL = rf"""WITH h AS (SELECT page_id, url, unnest(list_distinct(list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: regexp_extract({_plain('x')}, '^[^#]*')))) AS href FROM pages)
 SELECT page_id, url, regexp_extract(url, '^https?://[^/]+') || href AS link, CASE WHEN regexp_matches(lower(regexp_extract(href, '^[^?#]*')), '\.pdf$') THEN 'pdf' ELSE 'html' END AS kind FROM h"""
 

@@ -65,6 +65,16 @@ def test_a_search_reads_only_its_terms(spark, sf):
     assert set(r[0] for r in posts.select("term").distinct().collect()) == {r[0] for r in some.collect()}
 
 
+def test_a_cleared_index_is_made_anew(spark, sf):
+    import shutil
+
+    index = kept.document_index(spark, sf)
+    shutil.rmtree(index.path)
+    again = kept.document_index(spark, sf)
+    assert again is not index and again.commit()["n"] == index.spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert kept.document_index(spark, sf) is again
+
+
 def test_empty_indexes(spark, tmp_path):
     index = LexicalIndex(spark, str(tmp_path / "l"))
     with pytest.raises(ValueError):

@@ -109,18 +109,18 @@ class LexicalIndex:
 
     def _looked_up(self, asked: DataFrame, commit: dict, part: str, schema: str) -> DataFrame:
         """A part's rows for the terms of ``asked``, of their buckets alone."""
-        count = asked.count()
         buckets = [r[0] for r in asked.select(self._bucket(F.col("term"))).distinct().collect()]  # as many as there are buckets, at most
-        own = [r[0] for r in asked.select("term").collect()] if count <= LITERAL_TERMS else None
+        first = asked.select("term").limit(LITERAL_TERMS + 1).collect()
+        own = [r[0] for r in first] if len(first) <= LITERAL_TERMS else None
         held = []
         for i, s in enumerate(commit["segments"]):
             rows = self.spark.read.schema(schema).parquet(f"{self.path}/{s['data']}/{part}").where(F.col("bucket").isin(buckets))
             held.append((rows.where(F.col("term").isin(own)) if own is not None else rows).withColumn("seg", F.lit(i)))
         rows = reduce(DataFrame.unionByName, held)
-        return rows if own is not None else rows.join(small_or_not(asked), "term", "left_semi")
+        return rows if own is not None else rows.join(asked, "term", "left_semi")
 
     def postings(self, asked: DataFrame, commit: dict) -> DataFrame:
-        """(id, term, tf, dl) of the terms of ``asked`` (term, each once; a written table)."""
+        """(id, term, tf, dl) of the terms of ``asked`` (term, each once; a written table, marked for broadcast if it is small)."""
         p = f"p array<struct<id: {commit['id']}, tf: int, dl: int>>"
         blocks = self._looked_up(asked, commit, "postings", f"bucket int, term string, block int, {p}, most_tf int, least_dl int")
         return self._alive(blocks.select("term", "seg", F.inline("p")), commit).select("id", "term", "tf", "dl")
@@ -135,6 +135,6 @@ class LexicalIndex:
         if commit is None:
             raise ValueError(f"{self.path} has no version")
         asked = written(asked_terms(questions, question_id))
-        vocabulary = written(asked.select("term").distinct())
+        vocabulary = small_or_not(written(asked.select("term").distinct()))
         posts = written(self.postings(vocabulary, commit).withColumnRenamed("id", id_col))
         return score_postings(posts, asked, commit["n"], commit["words"], k, settings, id_col, question_id, self.frequencies(vocabulary, commit))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS, Settings
-from .store import small_or_not, written
+from .lexical_blocks import in_blocks, in_question_blocks, scored
+from .store import BROADCAST_BYTES, small_or_not, written
 
 #: Pairs of a question's term and a posting that are scored as they are, at most; of more, only documents that can still be among the best.
 DIRECT_ROWS = 50_000_000
@@ -16,6 +17,8 @@ SEED_POSTINGS = 50
 SEED_DOCUMENTS = 4
 #: What rounding and the order of sums may add to a score.
 _SLACK = 1e-3
+#: Blocks of documents of a part, where blocks of questions are copied to parts.
+PART_BLOCKS = 16
 
 
 def terms(c: Column) -> Column:
@@ -50,19 +53,61 @@ def asked_terms(questions: DataFrame, question_id: str) -> DataFrame:
     return questions.select(question_id, F.explode(terms(F.col("text"))).alias("term")).groupBy(question_id, "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def one_text_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` (id, text) without null ids, of an id's several rows the one of least text; texts are shuffled only if there are such ids."""
+    docs = docs.where(F.col(id_col).isNotNull()).select(id_col, F.col(text_col).alias("text"))
+    several = written(docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col))
+    if several.isEmpty():
+        return docs
+    several = small_or_not(several)
+    return docs.join(several, id_col, "left_anti").unionByName(docs.join(several, id_col, "left_semi").groupBy(id_col).agg(F.min("text").alias("text")))
+
+
+def document_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The postings of ``docs`` in blocks of documents (``lexical_blocks``), written."""
+    rows = one_text_each(docs, id_col, text_col)
+    return written(in_blocks(rows.select(F.col(id_col).alias("id"), terms(F.col("text")).alias("terms"))))
+
+
 def bm25(docs: DataFrame, questions: DataFrame, k: int, settings: Settings = SETTINGS, id_col: str = "doc_id", question_id: str = "item_id") -> DataFrame:
     """(question, id, score, rank): the k best documents of every question, exactly.
 
-    Documents are read once, into postings of the questions' terms (and one row a document, for the
-    corpus's size).  A kept index (``lexical_index``) saves that reading.
+    Documents are read once, into blocks that may be kept (``document_blocks``).
+    """
+    return search_blocks(document_blocks(docs, id_col), questions, k, settings, id_col, question_id)
+
+
+def search_blocks(blocks: DataFrame, questions: DataFrame, k: int, settings: Settings = SETTINGS, id_col: str = "doc_id", question_id: str = "item_id", reach: DataFrame | None = None) -> DataFrame:
+    """(question, id, score, rank): the k best documents of every question, exactly, of ``document_blocks``.
+
+    A pair of a block of documents and one of questions is scored by one task, which keeps k documents a question; only
+    these are shuffled.  ``reach`` (question, term, tf, dl) are postings of a document of each question: documents that score less than
+    it are not looked for, so that questions that expect a document are scored against few others.
     """
     asked = written(asked_terms(questions, question_id))
-    hint = small_or_not
-    vocabulary = asked.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))  # "" stands for the document
-    each = docs.select(id_col, terms(F.col("text")).alias("t")).select(id_col, F.size("t").alias("dl"), F.explode(F.concat("t", F.array(F.lit("")))).alias("term"))
-    posts = written(each.join(hint(written(vocabulary)), "term", "left_semi").groupBy(id_col, "term", "dl").agg(F.count(F.lit(1)).alias("tf")))
-    n, words = posts.where("term = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)), F.coalesce(F.sum(F.col("dl") * F.col("tf")), F.lit(0))).first()
-    return score_postings(posts.where("term <> ''"), asked, n, words, k, settings, id_col, question_id)
+    n, words = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    avgdl = words / n if n and words else 1.0
+    vocabulary = small_or_not(written(asked.select("term").distinct()))
+    counts = blocks.select(F.explode(F.arrays_zip("terms", "counts")).alias("c")).select(F.col("c.terms").alias("term"), F.col("c.counts").alias("df"))
+    df = counts.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = written(asked.join(df, "term").select(question_id, "term", (F.col("qtf") * idf).alias("w")))
+    if reach is None:
+        floored = weighted.withColumn("floor", F.lit(None).cast("double"))
+    else:
+        part = F.col("tf") * (settings.bm25_k1 + 1) / (F.col("tf") + settings.bm25_k1 * (1 - settings.bm25_b + settings.bm25_b * F.col("dl") / F.lit(float(avgdl))))
+        floors = weighted.join(reach, [question_id, "term"]).groupBy(question_id).agg(F.sum(F.col("w") * part).alias("floor"))
+        floored = written(weighted.join(floors, question_id, "left"))
+    q = written(in_question_blocks(floored, question_id))
+    held = F.octet_length("qcodes") + F.octet_length("qws") + F.octet_length(F.to_json("qids")) + F.octet_length(F.to_json("qterms")) + F.octet_length("qfloors")
+    if (q.agg(F.sum(held)).first()[0] or 0) <= BROADCAST_BYTES:
+        pairs = blocks.join(F.broadcast(q), F.lit(True))
+    else:
+        parts = max(1, blocks.count() // PART_BLOCKS)
+        dealt = blocks.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)))
+        pairs = dealt.join(q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), "part")
+    scores = scored(pairs, k, settings.bm25_k1, settings.bm25_b, float(avgdl), question_id, id_col)
+    return top_k(scores, question_id, "score", id_col, k).select(question_id, id_col, "score", "rank")
 
 
 def score_postings(posts: DataFrame, asked: DataFrame, n: int, words: int, k: int, settings: Settings = SETTINGS, id_col: str = "doc_id", question_id: str = "item_id", df: DataFrame | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from typing import TypeVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import lexical
 from ..operators.dense import bucket_vectors
 from ..operators.lexical_index import LexicalIndex
 from ..operators.store import shared_folder, written
@@ -54,6 +55,15 @@ def document_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
     return kept(spark, sf_dir, "documents", "lexical", make)
 
 
+def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' postings in blocks of documents, written."""
+    def make(rows: DataFrame) -> DataFrame:
+        cores = spark.sparkContext.defaultParallelism
+        return lexical.document_blocks(rows.select("doc_id", "text").repartition(cores) if rows.rdd.getNumPartitions() * 3 <= cores else rows)
+
+    return kept(spark, sf_dir, "documents", "blocks", make)
+
+
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, vector) by the default encoder, written."""
     def make(rows: DataFrame) -> DataFrame:

@@ -145,3 +145,48 @@ def test_models_load_once_a_task_and_may_fail(spark):
     make = answering.model_generator(lambda: lambda question, context, lang: context.upper() + str(1 // len(question)))
     asked = frame(spark, [("q", "c", "en"), ("", "c", "en"), ("q", None, None)], "q string, c string, lang string")
     assert [r[0] for r in asked.select(make(F.col("q"), F.col("c"), F.col("lang"))).collect()] == ["C1", None, None]
+
+
+def test_bm25_by_blocks_is_bm25_by_postings(spark, monkeypatch):
+    import random
+
+    from quern.operators import lexical_blocks
+    from quern.operators.store import written
+
+    monkeypatch.setattr(lexical, "PART_BLOCKS", 1)
+    monkeypatch.setattr(lexical_blocks, "BLOCK_QUESTIONS", 7)
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"r{rng.randrange(300)}" if rng.random() < 0.3 else rng.choice(["the", "of", "and", "to"]) for _ in range(n))
+    texts = {f"d{i}": words(rng.randrange(1, 60)) for i in range(400)} | {"n": None, "e": "", "c1": "the the", "c2": "the the"}
+    docs = frame(spark, list(texts.items()), "doc_id string, text string").repartition(5)
+    asked = frame(spark, [(i, words(8)) for i in range(30)] + [(90, "the of"), (91, "nowhere"), (92, None)], "item_id long, text string")
+    n, held = len(texts), sum(len((t or "").split()) for t in texts.values())
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(lexical.score_postings(written(lexical.postings(docs)), written(lexical.asked_terms(asked, "item_id")), n, held, 5))
+    assert rows(lexical.bm25(docs, asked, 5)) == want and len(want) > 100
+    monkeypatch.setattr(lexical, "BROADCAST_BYTES", 0)  # dealt to parts
+    blocks = lexical.document_blocks(docs)
+    assert rows(lexical.search_blocks(blocks, asked, 5)) == want
+    # with a document to reach: what scores less is left out, all else stays
+    expected = {i: f"d{i}" for i in range(30)}
+    reach = lexical.postings(docs).join(frame(spark, list(expected.items()), "item_id long, doc_id string"), "doc_id").drop("doc_id")
+    got = rows(lexical.search_blocks(blocks, asked, 5, reach=reach))
+    own = {q: s for q, d, s, _ in lexical.search_blocks(blocks, asked, 500).collect() if expected.get(q) == d}
+    must = [r for r in want if r[2] >= own.get(r[0], 0)]
+    assert set(must) <= set(got) <= set(want) and 0 < len(must) < len(want)
+
+
+def test_a_search_shuffles_no_pairs(spark):
+    """What is shuffled of a question is its best documents, however many hold its terms."""
+    blocks = lexical.document_blocks(spark.range(20_000).selectExpr("id AS doc_id", "concat('the of r', id % 50) AS text").repartition(4))
+    asked = frame(spark, [(i, f"the of r{i}") for i in range(50)], "item_id long, text string")
+    found = lexical.search_blocks(blocks, asked, 3)
+    assert [r["doc_id"] for r in found.where("item_id = 7").orderBy("rank").collect()] == [7, 57, 107]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "BroadcastNestedLoopJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_of_an_ids_several_texts_the_least_is_searched(spark):
+    docs = frame(spark, [(1, "b cat"), (1, "a dog"), (2, "cat"), (None, "cat")], "doc_id long, text string")
+    got = lexical.bm25(docs, frame(spark, [(5, "cat"), (6, "dog")], "item_id long, text string"), 9)
+    assert sorted((r["item_id"], r["doc_id"]) for r in got.collect()) == [(5, 2), (6, 1)]

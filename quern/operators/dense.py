@@ -19,6 +19,8 @@ QUERY_PREFIX, PASSAGE_PREFIX = "query: ", "passage: "
 
 #: Vectors of a block; a task multiplies one block of queries with one of vectors.
 BLOCK = 4096
+#: Queries of a block that are multiplied at once.
+TILE = 256
 #: Blocks of vectors that a part holds, where blocks of queries are copied to parts.
 PART_BLOCKS = 8
 
@@ -116,23 +118,25 @@ def _nearest(k: int):
         for batch in batches:
             for r in range(batch.num_rows):
                 dim, qids, qdata, ids, data = batch.column(0)[r].as_py(), *(batch.column(c)[r] for c in range(1, 5))
-                q, x = (np.frombuffer(c.as_buffer()).reshape(-1, dim) for c in (qdata, data))
-                qids, ids = qids.values.to_numpy(), ids.values.to_numpy()
+                every, x = (np.frombuffer(c.as_buffer()).reshape(-1, dim) for c in (qdata, data))
+                asked, ids = qids.values.to_numpy(), ids.values.to_numpy()
                 order = np.argsort(ids, kind="stable")  # so that the first of equal scores has the least id
                 ids, x = ids[order], x[order]
-                sims = np.round(q @ x.T, 6)
-                if len(ids) > k:
-                    # what reaches the k-th best of each query, ties included
-                    cut = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
-                    rows, at = np.nonzero(sims >= cut)
-                else:
-                    rows, at = (i.ravel() for i in np.indices(sims.shape))
-                scores = sims[rows, at]
-                best = np.lexsort((at, -scores, rows))
-                rows, at, scores = rows[best], at[best], scores[best]
-                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-                keep = place < k
-                yield pa.RecordBatch.from_arrays([pa.array(qids[rows[keep]]), pa.array(ids[at[keep]]), pa.array(scores[keep])], ["query_id", "id", "score"])
+                for lo in range(0, len(asked), TILE):  # so that a task holds the scores of few queries at once
+                    qids, sims = asked[lo : lo + TILE], every[lo : lo + TILE] @ x.T
+                    np.round(sims, 6, out=sims)
+                    if len(ids) > k:
+                        # what reaches the k-th best of each query, ties included
+                        cut = np.partition(sims, len(ids) - k, axis=1)[:, len(ids) - k, None]
+                        rows, at = np.nonzero(sims >= cut)
+                    else:
+                        rows, at = (i.ravel() for i in np.indices(sims.shape))
+                    scores = sims[rows, at]
+                    best = np.lexsort((at, -scores, rows))
+                    rows, at, scores = rows[best], at[best], scores[best]
+                    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                    keep = place < k
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[rows[keep]]), pa.array(ids[at[keep]]), pa.array(scores[keep])], ["query_id", "id", "score"])
 
     return run
 

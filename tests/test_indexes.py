@@ -120,3 +120,22 @@ def test_nearest_by_dealt_blocks_is_nearest(spark, monkeypatch):
     monkeypatch.setattr(dense, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(dense, "PART_BLOCKS", 1)
     assert rows(dense.nearest(v, v, 7)) == near
+
+
+def test_a_pair_of_blocks_holds_the_scores_of_few_queries(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    x = np.random.default_rng(0).normal(size=(dense.BLOCK, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    ids = pa.array([np.arange(len(x))], pa.list_(pa.int64()))
+    pair = pa.RecordBatch.from_arrays([pa.array([64], pa.int32()), ids, pa.array([x.tobytes()]), ids, pa.array([x.tobytes()])], ["dim", "qids", "qdata", "ids", "data"])
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(dense._nearest(20)(iter([pair]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 and found.num_rows == 20 * len(x)
+    q = 4_000  # of the last queries
+    best = np.argsort(-np.round(x[q] @ x.T, 6), kind="stable")[:20]
+    assert [r["id"] for r in found.to_pylist() if r["query_id"] == q] == best.tolist()

@@ -139,3 +139,16 @@ def test_a_pair_of_blocks_holds_the_scores_of_few_queries(spark):
     q = 4_000  # of the last queries
     best = np.argsort(-np.round(x[q] @ x.T, 6), kind="stable")[:20]
     assert [r["id"] for r in found.to_pylist() if r["query_id"] == q] == best.tolist()
+
+
+def test_texts_of_documents_are_not_shuffled_to_few_hits(spark, sf):
+    from quern.plans import search
+
+    hits = spark.createDataFrame([(1, 0), (1, 2)], "item_id long, doc_id long")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = search._of_documents(hits, docs)
+        assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -96,3 +96,18 @@ def test_languages_of_odd_texts(spark):
     rows = [(1, "the dog"), (2, "und der"), (3, None), (4, "123 !!"), (5, "щщщ"), (6, "THE")]
     got = {r["doc_id"]: r["detected"] for r in language.detected(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
     assert got == {1: "en", 2: "de", 3: "und", 4: "und", 5: "und", 6: "en"}
+
+
+def test_languages_without_a_shuffle_of_trigrams(spark, monkeypatch):
+    texts = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, "le chat et le chien", "fr"), (4, "ÿĀ 𝒜𝒷 ñandú", "es"), (5, None, "en"), (6, "", "de")]
+    known = written(language.profiles(spark.createDataFrame(texts, "doc_id long, text string, lang string"), grams=40))
+    rows = [*texts, (7, "THE hund", None), (7, "le chien, the dog", None), (8, "x 1 y", None), (None, "the dog", None), (9, "zzz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = language.detected(docs, known)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    told = lambda df: sorted(((r["doc_id"] or -1, r["detected"], round(r["margin"], 5)) for r in df.collect()))
+    own = told(got)
+    monkeypatch.setattr(language, "BROADCAST_ROWS", 0)  # by joins
+    joined = language.detected(docs, known)
+    assert "Generate" in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert own == told(joined) and len(own) == 10 and own[0][1] == "und"

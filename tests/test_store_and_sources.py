@@ -166,3 +166,16 @@ def test_table_is_made_once(spark, tmp_path):
     assert t.ensure("source string, text string").count() == 0
     t.publish(spark.createDataFrame([("a", "x")], "source string, text string"))
     assert t.ensure("source string, text string").count() == 1
+
+
+def test_pages_are_read_in_slices():
+    import pyarrow as pa
+
+    from quern.sources import html
+
+    n = 3 * html.PAGES + 1
+    pages = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["http://a.b/c"] * n), pa.array([f"<body><p>t{i}</p><a href='/{i}'>l</a></body>" for i in range(n)])], ["page_id", "url", "html"])
+    out = list(html._extract(iter([pages])))
+    assert max(b.num_rows for b in out) <= html.PAGES
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [(r["page_id"], r["text"], r["links"]) for r in rows] == [(i, f"t{i}\nl", [f"http://a.b/{i}"]) for i in range(n)]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Terms and documents of a block, at most; a document of more terms is a block of its own.
-BLOCK_TERMS, BLOCK_DOCS = 4 << 20, 1 << 16
+BLOCK_TERMS, BLOCK_DOCS = 2 << 20, 1 << 16
 #: Questions of a block.
 BLOCK_QUESTIONS = 2048
 #: What rounding and the order of sums may add to a score.
@@ -29,7 +29,9 @@ def _block(ids: pa.Array, sizes: np.ndarray, flat: pa.Array) -> pa.RecordBatch:
     place = np.empty(n, np.int64)
     place[order.to_numpy()] = np.arange(n)
     held = flat.dictionary_encode()
-    keys = held.indices.to_numpy().astype(np.int64) * n + np.repeat(place, sizes)
+    keys = held.indices.to_numpy().astype(np.int64)
+    keys *= n
+    keys += np.repeat(place, sizes)
     keys.sort()
     first = np.flatnonzero(np.diff(keys, prepend=-1))
     tfs = np.diff(first, append=len(keys)).astype(np.int32)
@@ -92,7 +94,10 @@ class _Postings:
     def __init__(self, ids: pa.Array, dls: np.ndarray, terms: pa.Array, counts: np.ndarray, docs: np.ndarray, tfs: np.ndarray, k1: float, b: float, avgdl: float):
         self.ids, self.terms, self.docs = ids, terms, docs.astype(np.int64)
         self.ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-        self.parts = tfs * (k1 + 1) / (tfs + k1 * (1 - b + b * dls[self.docs] / avgdl))
+        self.parts = (k1 * (1 - b + b * dls / avgdl))[self.docs]  # and in place from here on, as these are the largest arrays
+        self.parts += tfs
+        np.divide(tfs, self.parts, out=self.parts)
+        self.parts *= k1 + 1
         self.most = np.maximum.reduceat(self.parts, self.ends[:-1]) if len(counts) else np.zeros(0)
         self.sums = np.zeros(len(ids))
 

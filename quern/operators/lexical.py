@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ SEED_POSTINGS = 50
 SEED_DOCUMENTS = 4
 #: What rounding and the order of sums may add to a score.
 _SLACK = 1e-3
-#: Blocks of documents of a part, where blocks of questions are copied to parts.
-PART_BLOCKS = 16
+#: Blocks of documents of a file, at most: readers and writers hold a file's rows at once.
+PART_BLOCKS = 4
 
 
 def terms(c: Column) -> Column:
@@ -66,7 +68,7 @@ def one_text_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def document_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The postings of ``docs`` in blocks of documents (``lexical_blocks``), written."""
     rows = one_text_each(docs, id_col, text_col)
-    return written(in_blocks(rows.select(F.col(id_col).alias("id"), terms(F.col("text")).alias("terms"))))
+    return written(in_blocks(rows.select(F.col(id_col).alias("id"), terms(F.col("text")).alias("terms"))), maxRecordsPerFile=PART_BLOCKS)
 
 
 def bm25(docs: DataFrame, questions: DataFrame, k: int, settings: Settings = SETTINGS, id_col: str = "doc_id", question_id: str = "item_id") -> DataFrame:
@@ -80,7 +82,7 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int, settings: Settings = SET
 def search_blocks(blocks: DataFrame, questions: DataFrame, k: int, settings: Settings = SETTINGS, id_col: str = "doc_id", question_id: str = "item_id", reach: DataFrame | None = None) -> DataFrame:
     """(question, id, score, rank): the k best documents of every question, exactly, of ``document_blocks``.
 
-    A pair of a block of documents and one of questions is scored by one task, which keeps k documents a question; only
+    A pair of a block of documents and a group of blocks of questions is scored by one task, which keeps k documents a question; only
     these are shuffled.  ``reach`` (question, term, tf, dl) are postings of a document of each question: documents that score less than
     it are not looked for, so that questions that expect a document are scored against few others.
     """
@@ -98,14 +100,11 @@ def search_blocks(blocks: DataFrame, questions: DataFrame, k: int, settings: Set
         part = F.col("tf") * (settings.bm25_k1 + 1) / (F.col("tf") + settings.bm25_k1 * (1 - settings.bm25_b + settings.bm25_b * F.col("dl") / F.lit(float(avgdl))))
         floors = weighted.join(reach, [question_id, "term"]).groupBy(question_id).agg(F.sum(F.col("w") * part).alias("floor"))
         floored = written(weighted.join(floors, question_id, "left"))
-    q = written(in_question_blocks(floored, question_id))
-    held = F.octet_length("qcodes") + F.octet_length("qws") + F.octet_length(F.to_json("qids")) + F.octet_length(F.to_json("qterms")) + F.octet_length("qfloors")
-    if (q.agg(F.sum(held)).first()[0] or 0) <= BROADCAST_BYTES:
-        pairs = blocks.join(F.broadcast(q), F.lit(True))
-    else:
-        parts = max(1, blocks.count() // PART_BLOCKS)
-        dealt = blocks.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)))
-        pairs = dealt.join(q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), "part")
+    q = written(in_question_blocks(floored, question_id), maxRecordsPerFile=PART_BLOCKS)
+    groups, held = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json("asked"))), F.lit(0))).first()
+    turns = max(1, min(groups, -(-held // max(1, BROADCAST_BYTES))))
+    # of more questions than may be broadcast, some at a time meet all blocks, as copies of blocks would be larger
+    pairs = reduce(DataFrame.unionByName, [blocks.join(F.broadcast(q.where(F.col("nth") % turns == i)), F.lit(True)) for i in range(turns)])
     scores = scored(pairs, k, settings.bm25_k1, settings.bm25_b, float(avgdl), question_id, id_col)
     return top_k(scores, question_id, "score", id_col, k).select(question_id, id_col, "score", "rank")
 

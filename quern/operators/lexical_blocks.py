@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 #: Terms and documents of a block, at most; a document of more terms is a block of its own.
 BLOCK_TERMS, BLOCK_DOCS = 2 << 20, 1 << 16
-#: Questions of a block.
-BLOCK_QUESTIONS = 2048
+#: Questions of a block, and blocks of questions that are sent to a block of documents together.
+BLOCK_QUESTIONS, GROUP_BLOCKS = 2048, 16
+#: Pairs of a question and a document that have a sum at once, and postings that are added at once, but for a question of more.
+CELLS, ADDED = 1 << 20, 1 << 20
 #: What rounding and the order of sums may add to a score.
 SLACK = 1e-3
 
@@ -34,7 +36,8 @@ def _block(ids: pa.Array, sizes: np.ndarray, flat: pa.Array) -> pa.RecordBatch:
     keys += np.repeat(place, sizes)
     keys.sort()
     first = np.flatnonzero(np.diff(keys, prepend=-1))
-    tfs = np.diff(first, append=len(keys)).astype(np.int32)
+    tfs = np.diff(first, append=len(keys))
+    tfs = tfs.astype(np.min_scalar_type(tfs.max(initial=0)))
     term, doc = np.divmod(keys[first], n)
     counts = np.bincount(term, minlength=len(held.dictionary)).astype(np.int32)
     dls = sizes[order.to_numpy()].astype(np.int32)
@@ -74,71 +77,107 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             floors = np.zeros(len(ids))
             floors[at] = rows.field("floor").fill_null(0.0).to_numpy()
             row = [
-                pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([ends.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(held.dictionary)], pa.int32()), held.dictionary),
+                batch.column(0).slice(r, 1), pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([ends.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(held.dictionary)], pa.int32()), held.dictionary),
                 pa.array([held.indices.to_numpy()[order].astype(np.int32).tobytes()], pa.binary()), pa.array([rows.field("w").to_numpy()[order].tobytes()], pa.binary()), pa.array([floors.tobytes()], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(row, ["qblock", "qids", "qends", "qterms", "qcodes", "qws", "qfloors"])
+            yield pa.RecordBatch.from_arrays(row, ["nth", "qblock", "qids", "qends", "qterms", "qcodes", "qws", "qfloors"])
 
 
 def in_question_blocks(weighted: DataFrame, question_id: str) -> DataFrame:
-    """(qblock, qids, qends, qterms, qcodes, qws, qfloors) of ``weighted`` (question, term, w, floor), a written table; no document below a question's floor is looked for."""
+    """(nth, asked) of ``weighted`` (question, term, w, floor), a written table: groups of blocks of questions; no document below a question's floor is looked for."""
     kind = weighted.schema[question_id].dataType.simpleString()
     blocks = -(-weighted.select(question_id).distinct().count() // BLOCK_QUESTIONS)
     each = weighted.select(F.pmod(F.xxhash64(question_id), F.lit(max(1, blocks))).alias("part"), F.struct(F.col(question_id).alias("q"), "term", "w", "floor").alias("row"))
-    return each.groupBy("part").agg(F.collect_list("row").alias("rows")).mapInArrow(_packed, f"qblock string, qids array<{kind}>, qends binary, qterms array<string>, qcodes binary, qws binary, qfloors binary")
+    packed = each.groupBy("part").agg(F.collect_list("row").alias("rows")).mapInArrow(_packed, f"nth long, qblock string, qids array<{kind}>, qends binary, qterms array<string>, qcodes binary, qws binary, qfloors binary")
+    return packed.groupBy(F.expr(f"nth div {GROUP_BLOCKS}").alias("nth")).agg(F.collect_list(F.struct("qblock", "qids", "qends", "qterms", "qcodes", "qws", "qfloors")).alias("asked"))
 
 
 class _Postings:
     """A block's postings by term, with what each adds to a score of weight 1."""
 
     def __init__(self, ids: pa.Array, dls: np.ndarray, terms: pa.Array, counts: np.ndarray, docs: np.ndarray, tfs: np.ndarray, k1: float, b: float, avgdl: float):
-        self.ids, self.terms, self.docs = ids, terms, docs.astype(np.int64)
+        self.ids, self.terms, self.docs, self.n = ids, terms, docs, len(ids)
         self.ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-        self.parts = (k1 * (1 - b + b * dls / avgdl))[self.docs]  # and in place from here on, as these are the largest arrays
+        self.parts = (k1 * (1 - b + b * dls / avgdl))[docs]  # and in place from here on, as these are the largest arrays
         self.parts += tfs
         np.divide(tfs, self.parts, out=self.parts)
         self.parts *= k1 + 1
         self.most = np.maximum.reduceat(self.parts, self.ends[:-1]) if len(counts) else np.zeros(0)
-        self.sums = np.zeros(len(ids))
+        self.keys = np.repeat(np.arange(len(counts)) * self.n, counts)  # of a term and a document, in order
+        self.keys += docs
+        self.sums = np.zeros(max(CELLS, self.n))
 
-    def best(self, spans: list[tuple[int, int]], ws: np.ndarray, rests: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best documents of a question and their scores, of those that reach ``floor``.
+    def best(self, at: np.ndarray, ws: np.ndarray, own: np.ndarray, floors: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(questions, documents, scores): of each question the k best documents of those that reach its floor, which rises to the k-th.
 
-        Its terms are ``spans`` of postings, the most that they can add first; ``rests`` are what each and all after it can add.
-        Documents that hold only terms that can't reach the floor together are never touched.
+        ``own`` are the questions of the terms ``at`` and their weights.  Documents that hold only terms that can't reach the floor
+        together are never touched, and what others have is looked up until they can't reach it.
         """
-        sums, docs, parts = self.sums, self.docs, self.parts
-        needed = int(np.searchsorted(-rests, -(floor - SLACK), "right")) if floor > SLACK else len(spans)
-        touched = []
-        for (lo, hi), w in zip(spans[:needed], ws, strict=False):
-            own = docs[lo:hi]
-            sums[own] += w * parts[lo:hi]
-            touched.append(own)
-        if not touched:
-            return np.zeros(0, np.int64), np.zeros(0)
-        rest = rests[needed] if needed < len(spans) else 0.0
-        few = sum(map(len, touched)) * 8 < len(sums)
-        if few:
-            at = np.concatenate(touched)
-            found = np.unique(at[sums[at] + rest >= floor - SLACK])
-        else:
-            found = np.flatnonzero((sums > 0) & (sums + rest >= floor - SLACK))
-        for (lo, hi), w in zip(spans[needed:], ws[needed:], strict=True):
-            own = docs[lo:hi]
-            i = np.minimum(np.searchsorted(own, found), hi - lo - 1)
-            sums[found] += np.where(own[i] == found, w * parts[lo:hi][i], 0.0)
-        scores = np.floor(sums[found] * 1e4 + 0.5) / 1e4
-        if few:
-            sums[at] = 0
-        else:
-            sums[:] = 0
-        if floor > 0:
-            found, scores = found[scores >= floor - SLACK], scores[scores >= floor - SLACK]
-        if len(found) > k:
-            reach = scores >= -np.partition(-scores, k - 1)[k - 1]
-            found, scores = found[reach], scores[reach]
-        order = np.argsort(-scores, kind="stable")[:k]
-        return found[order], scores[order]
+        most = ws * self.most[at]
+        order = np.lexsort((-most, own))
+        at, ws, own, most = at[order], ws[order], own[order], most[order]
+        ends = np.searchsorted(own, np.arange(len(floors) + 1))
+        upto = np.concatenate([[0.0], np.cumsum(most)])
+        needed = upto[ends[own + 1]] - upto[:-1] >= floors[own] - SLACK  # what a term and all after it can add
+        mids = ends[:-1] + np.bincount(own[needed], minlength=len(floors))
+        at_most = upto[ends[1:]] - upto[mids]
+        sizes = np.where(needed, self.ends[at + 1] - self.ends[at], 0)
+        added = np.concatenate([[0], np.cumsum(sizes)])[ends]
+        lo = 0
+        while lo < len(floors):
+            hi = min(lo + max(1, CELLS // max(1, self.n)), max(lo + 1, int(np.searchsorted(added, added[lo] + ADDED, "right")) - 1), len(floors))
+            if added[hi] > added[lo]:
+                reach = floors[lo:hi] - SLACK - at_most[lo:hi]
+                q, docs, sums = self._summed(at[ends[lo] : ends[hi]], ws[ends[lo] : ends[hi]], own[ends[lo] : ends[hi]] - lo, sizes[ends[lo] : ends[hi]], reach, floors[lo:hi] <= SLACK, k)
+                q += lo
+                q, docs, sums = self._whole(q, docs, sums, at, ws, upto, mids[q], ends[q + 1], floors)
+                scores = np.floor(sums * 1e4 + 0.5) / 1e4
+                held = (floors[q] <= 0) | (scores >= floors[q] - SLACK)
+                q, docs, scores = q[held], docs[held], scores[held]
+                order = np.lexsort((docs, -scores, q))
+                q, docs, scores = q[order], docs[order], scores[order]
+                nth = np.arange(len(q)) - np.searchsorted(q, q)
+                last = nth == k - 1
+                floors[q[last]] = np.maximum(floors[q[last]], scores[last])
+                if len(q):
+                    yield q[nth < k], docs[nth < k], scores[nth < k]
+            lo = hi
+
+    def _summed(self, at: np.ndarray, ws: np.ndarray, own: np.ndarray, sizes: np.ndarray, reach: np.ndarray, free: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(questions, documents, sums) of the sums that reach ``reach``; of questions that are ``free``, and so summed whole, only the k best and their equals."""
+        total, n = int(sizes.sum()), self.n
+        place = np.arange(total)
+        place += np.repeat(self.ends[at] - np.cumsum(sizes) + sizes, sizes)
+        docs, q = self.docs[place], np.repeat(own, sizes)
+        cells = q * n
+        cells += docs
+        parts = self.parts[place]
+        parts *= np.repeat(ws, sizes)
+        held = self.sums[: len(reach) * n]
+        np.add.at(held, cells, parts)
+        if n > k and free.any():
+            reach = reach.copy()
+            reach[free] = np.maximum(reach[free], np.partition(held.reshape(-1, n)[free], n - k, axis=1)[:, n - k] - SLACK)
+        sums = held[cells]
+        found = np.flatnonzero(sums >= reach[q])
+        held[cells[found]] = found  # of a pair's several postings the last counts
+        found = found[held[cells[found]] == found]
+        held[cells] = 0
+        return q[found], docs[found].astype(np.int64), sums[found]
+
+    def _whole(self, q: np.ndarray, docs: np.ndarray, sums: np.ndarray, at: np.ndarray, ws: np.ndarray, upto: np.ndarray, nexts: np.ndarray, ends: np.ndarray, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of a question and a document with their whole sums, without those that can't reach the floor; ``nexts`` to ``ends`` are the terms not yet added."""
+        whole = []
+        while len(q):
+            left = (nexts < ends) & (sums + (upto[ends] - upto[nexts]) >= floors[q] - SLACK)
+            over = nexts == ends
+            whole.append((q[over], docs[over], sums[over]))
+            q, docs, sums, nexts, ends = q[left], docs[left], sums[left], nexts[left], ends[left]
+            key = at[nexts] * self.n + docs
+            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            sums = sums + np.where(self.keys[i] == key, ws[nexts] * self.parts[i], 0.0)
+            nexts = nexts + 1
+        return tuple(map(np.concatenate, zip(*whole, strict=True))) if whole else (q, docs, sums)
 
 
 def _scored(k: int, k1: float, b: float, avgdl: float, question_id: str, id_col: str):
@@ -146,45 +185,32 @@ def _scored(k: int, k1: float, b: float, avgdl: float, question_id: str, id_col:
         name, block = None, None
         reached: dict[str, np.ndarray] = {}  # by block of questions: what the k-th best document reaches, so far
         for batch in batches:
-            col = {c: batch.column(c) for c in batch.schema.names}
             for r in range(batch.num_rows):
-                get = lambda c, kind: np.frombuffer(col[c][r].as_buffer(), kind)  # noqa: B023, E731
-                if name != col["block"][r].as_py():
-                    name = col["block"][r].as_py()
-                    block = _Postings(col["ids"][r].values, get("dls", np.int32), col["terms"][r].values, col["counts"][r].values.to_numpy(), get("docs", np.uint16), get("tfs", np.int32), k1, b, avgdl)
-                qids, qends = col["qids"][r].values, get("qends", np.int32)
-                floors = reached.setdefault(col["qblock"][r].as_py(), get("qfloors", np.float64).copy())
-                place = pc.fill_null(pc.index_in(col["qterms"][r].values, value_set=block.terms), -1).to_numpy()
-                at, ws, own = place[get("qcodes", np.int32)], get("qws", np.float64), np.repeat(np.arange(len(qids)), np.diff(qends))
-                there = at >= 0
-                at, ws, own = at[there], ws[there], own[there]
-                most = ws * block.most[at]
-                order = np.lexsort((-most, own))
-                at, ws, own, most = at[order], ws[order], own[order], most[order]
-                ends = np.searchsorted(own, np.arange(len(qids) + 1))
-                los, his = block.ends[at].tolist(), block.ends[at + 1].tolist()
-                asked, ids, scores = [], [], []
-                for q in range(len(qids)):
-                    lo, hi = ends[q], ends[q + 1]
-                    if lo == hi:
-                        continue
-                    rests = np.cumsum(most[lo:hi][::-1])[::-1]
-                    if rests[0] < floors[q] - SLACK:
-                        continue
-                    found, own_scores = block.best(list(zip(los[lo:hi], his[lo:hi], strict=True)), ws[lo:hi], rests, floors[q], k)
-                    if len(found) == k:
-                        floors[q] = max(floors[q], own_scores[-1])
-                    asked.append(np.full(len(found), q))
-                    ids.append(found)
-                    scores.append(own_scores)
-                if asked:
-                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(np.concatenate(asked))), block.ids.take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(scores))], [question_id, id_col, "score"])
+                col = {c: batch.column(c)[r] for c in batch.schema.names}
+                if name != col["block"].as_py():
+                    name = col["block"].as_py()
+                    docs = np.frombuffer(col["docs"].as_buffer(), np.uint16)
+                    tfs = np.frombuffer(col["tfs"].as_buffer(), f"u{col['tfs'].as_buffer().size // max(1, len(docs)) or 1}")
+                    block = _Postings(col["ids"].values, np.frombuffer(col["dls"].as_buffer(), np.int32), col["terms"].values, col["counts"].values.to_numpy(), docs, tfs, k1, b, avgdl)
+                asked = {c: [x[c] for x in col["asked"]] for c in ("qblock", "qids", "qends", "qterms", "qcodes", "qws", "qfloors")}
+                places = pc.fill_null(pc.index_in(pa.concat_arrays([x.values for x in asked["qterms"]]), value_set=block.terms), -1).to_numpy()
+                first = 0
+                for i, qblock in enumerate(asked["qblock"]):
+                    get = lambda c, kind: np.frombuffer(asked[c][i].as_buffer(), kind)  # noqa: B023, E731
+                    qids = asked["qids"][i].values
+                    floors = reached.setdefault(qblock.as_py(), get("qfloors", np.float64).copy())
+                    at = places[first : first + len(asked["qterms"][i].values)][get("qcodes", np.int32)].astype(np.int64)
+                    first += len(asked["qterms"][i].values)
+                    there = at >= 0
+                    own = np.repeat(np.arange(len(qids)), np.diff(get("qends", np.int32)))
+                    for q, found, scores in block.best(at[there], get("qws", np.float64)[there], own[there], floors, k):
+                        yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), block.ids.take(pa.array(found)), pa.array(scores)], [question_id, id_col, "score"])
 
     return run
 
 
 def scored(pairs: DataFrame, k: int, k1: float, b: float, avgdl: float, question_id: str, id_col: str) -> DataFrame:
-    """(question, id, score) of pairs of a block of documents and one of questions: of each pair the k best of every question at least, of those that can be among the k best of all."""
-    kind = lambda c: pairs.schema[c].dataType.elementType.simpleString()
-    columns = pairs.select("block", "ids", "dls", "terms", "counts", "docs", "tfs", "qblock", "qids", "qends", "qterms", "qcodes", "qws", "qfloors")
-    return columns.mapInArrow(_scored(k, k1, b, avgdl, question_id, id_col), f"`{question_id}` {kind('qids')}, `{id_col}` {kind('ids')}, score double")
+    """(question, id, score) of pairs of a block of documents and a group of blocks of questions: of each pair the k best of every question at least, of those that can be among the k best of all."""
+    ids, asked = pairs.schema["ids"].dataType.elementType, pairs.schema["asked"].dataType.elementType["qids"].dataType.elementType
+    columns = pairs.select("block", "ids", "dls", "terms", "counts", "docs", "tfs", "asked")
+    return columns.mapInArrow(_scored(k, k1, b, avgdl, question_id, id_col), f"`{question_id}` {asked.simpleString()}, `{id_col}` {ids.simpleString()}, score double")

@@ -190,3 +190,72 @@ def test_of_an_ids_several_texts_the_least_is_searched(spark):
     docs = frame(spark, [(1, "b cat"), (1, "a dog"), (2, "cat"), (None, "cat")], "doc_id long, text string")
     got = lexical.bm25(docs, frame(spark, [(5, "cat"), (6, "dog")], "item_id long, text string"), 9)
     assert sorted((r["item_id"], r["doc_id"]) for r in got.collect()) == [(5, 2), (6, 1)]
+
+
+def test_a_file_of_blocks_and_a_block_of_documents_meet_little_at_once(spark, monkeypatch):
+    """Readers and writers hold a file's rows, and a row holds a block: few are in a file, and a block is sent once to many blocks of questions."""
+    from quern.operators import lexical_blocks
+
+    monkeypatch.setattr(lexical_blocks, "BLOCK_QUESTIONS", 7)
+    blocks = lexical.document_blocks(spark.range(0, 90_000, 1, 1).selectExpr("id AS doc_id", "concat('of r', id % 300) AS text"))
+    files = blocks.groupBy(F.input_file_name().alias("file")).count().collect()
+    assert sum(r["count"] for r in files) >= 9 and max(r["count"] for r in files) <= 4
+    asked = frame(spark, [(i, f"of r{i}") for i in range(300)], "item_id long, text string")
+    pairs, plain = [], lexical.scored
+    monkeypatch.setattr(lexical, "scored", lambda rows, *a: pairs.append(rows) or plain(rows, *a))
+    want = {(i, rank): i + 300 * rank for i in range(300) for rank in range(2)}
+    found = lambda: {(r["item_id"], r["rank"]): r["doc_id"] for r in lexical.search_blocks(blocks, asked, 2).collect()}
+    assert found() == want
+    assert pairs[0].count() == 3 * blocks.count()  # 43 blocks of questions in 3 groups
+    monkeypatch.setattr(lexical, "BROADCAST_BYTES", 1)  # a group at a time
+    assert found() == want
+    assert str(pairs[1]._jdf.queryExecution().executedPlan()).count("BroadcastNestedLoopJoin") == 3
+
+
+def test_scores_of_many_questions_at_once_are_plain_scores(monkeypatch):
+    import math
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quern.operators import lexical_blocks
+
+    rng, k = random.Random(5), 4
+    texts = [["t0"] * 300 + ["rare"]] + [[f"t{int(rng.random() ** 3 * 80)}" for _ in range(rng.randrange(0, 40))] for _ in range(120)]
+    sizes = np.array([len(t) for t in texts])
+    batch = lexical_blocks._block(pa.array(range(len(texts))), sizes, pa.array([t for text in texts for t in text]))
+    avgdl = sizes.mean()
+    part = lambda text, t: (tf := text.count(t)) * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(text) / avgdl))
+    df = {t: sum(t in text for text in texts) for t in {t for text in texts for t in text}}
+    w = {t: math.log(1 + (len(texts) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    asked = [sorted(set(rng.choices(list(w), k=rng.randrange(1, 12)))) + ["nowhere"] for _ in range(50)]
+    score = lambda q, d: math.floor(sum(w[t] * part(texts[d], t) for t in q if t in w) * 1e4 + 0.5) / 1e4
+    want = [sorted(((-s, d) for d in range(len(texts)) if (s := score(q, d)) > 0))[:k] for q in asked]
+    for cells, added, expected in ((1 << 20, 1 << 20, False), (300, 1 << 20, True), (1 << 20, 40, True), (1, 1, False)):
+        monkeypatch.setattr(lexical_blocks, "CELLS", cells)
+        monkeypatch.setattr(lexical_blocks, "ADDED", added)
+        own = [want[i][i % len(want[i])][1] if expected else None for i in range(len(asked))]
+        rows = [{"q": i, "term": t, "w": w.get(t, 1.0), "floor": None if own[i] is None else sum(w[x] * part(texts[own[i]], x) for x in q if x in w)} for i, q in enumerate(asked) for t in q]
+        kind = pa.struct([("q", pa.int64()), ("term", pa.string()), ("w", pa.float64()), ("floor", pa.float64())])
+        (q,) = lexical_blocks._packed([pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([rows], pa.list_(kind))], ["part", "rows"])])
+        group = pa.array([[{c: q[c][0].as_py() for c in q.schema.names[1:]}]], pa.list_(pa.struct([(c, q.schema.field(c).type) for c in q.schema.names[1:]])))
+        pair = pa.RecordBatch.from_arrays([*batch.columns, group], [*batch.schema.names, "asked"])
+        got = {}
+        for out in lexical_blocks._scored(k, 1.2, 0.75, avgdl, "q", "d")([pair]):
+            for i, d, s in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                got.setdefault(i, []).append((-s, d))
+        for i in range(len(asked)):
+            least = -math.inf if own[i] is None else score(asked[i], own[i]) - 1e-3
+            assert [(round(s, 3), d) for s, d in got.get(i, [])] == [(round(s, 3), d) for s, d in want[i] if -s >= least]
+
+
+def test_an_expected_document_that_stands_twice_is_found(spark, tmp_path):
+    from quern.plans.search import eval_hit_rate
+
+    words = lambda i: " ".join(f"w{i}x{j % 20}" for j in range(40))
+    docs = [(i, words(i), "s", "en") for i in range(12)] + [(3, words(3), "s", "en")]
+    frame(spark, docs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    frame(spark, [(3, 1), (4, 1), (5, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = eval_hit_rate(spark, str(tmp_path)).first()
+    assert got["total"] == got["hits"] == 3

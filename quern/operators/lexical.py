@@ -103,9 +103,9 @@ def search_blocks(blocks: DataFrame, questions: DataFrame, k: int, settings: Set
     q = written(in_question_blocks(floored, question_id), maxRecordsPerFile=PART_BLOCKS)
     groups, held = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json("asked"))), F.lit(0))).first()
     turns = max(1, min(groups, -(-held // max(1, BROADCAST_BYTES))))
-    # of more questions than may be broadcast, some at a time meet all blocks, as copies of blocks would be larger
-    pairs = reduce(DataFrame.unionByName, [blocks.join(F.broadcast(q.where(F.col("nth") % turns == i)), F.lit(True)) for i in range(turns)])
-    scores = scored(pairs, k, settings.bm25_k1, settings.bm25_b, float(avgdl), question_id, id_col)
+    of_turn = lambda i: scored(blocks.join(F.broadcast(q.where(F.col("nth") % turns == i)), F.lit(True)), k, settings.bm25_k1, settings.bm25_b, float(avgdl), question_id, id_col)
+    # more questions than may be broadcast meet all blocks in turns, and one turn's are held at a time
+    scores = of_turn(0) if turns == 1 else reduce(DataFrame.unionByName, [written(of_turn(i)) for i in range(turns)])
     return top_k(scores, question_id, "score", id_col, k).select(question_id, id_col, "score", "rank")
 
 

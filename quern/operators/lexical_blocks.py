@@ -20,7 +20,7 @@ BLOCK_TERMS, BLOCK_DOCS = 2 << 20, 1 << 16
 #: Questions of a block, and blocks of questions that are sent to a block of documents together.
 BLOCK_QUESTIONS, GROUP_BLOCKS = 2048, 16
 #: Pairs of a question and a document that have a sum at once, and postings that are added at once, but for a question of more.
-CELLS, ADDED = 1 << 20, 1 << 20
+CELLS, ADDED = 1 << 20, 1 << 18
 #: What rounding and the order of sums may add to a score.
 SLACK = 1e-3
 
@@ -188,7 +188,7 @@ def _scored(k: int, k1: float, b: float, avgdl: float, question_id: str, id_col:
             for r in range(batch.num_rows):
                 col = {c: batch.column(c)[r] for c in batch.schema.names}
                 if name != col["block"].as_py():
-                    name = col["block"].as_py()
+                    name, block = col["block"].as_py(), None  # of two blocks, one is held
                     docs = np.frombuffer(col["docs"].as_buffer(), np.uint16)
                     tfs = np.frombuffer(col["tfs"].as_buffer(), f"u{col['tfs'].as_buffer().size // max(1, len(docs)) or 1}")
                     block = _Postings(col["ids"].values, np.frombuffer(col["dls"].as_buffer(), np.int32), col["terms"].values, col["counts"].values.to_numpy(), docs, tfs, k1, b, avgdl)
